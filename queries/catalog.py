@@ -7,5 +7,6 @@ from queries import (  # noqa: F401
     request_texts,
     texts_and_samples,
     training,
+    trees,
 )
 from queries.registry import ORACLES, QUERIES  # noqa: F401

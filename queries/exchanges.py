@@ -255,17 +255,19 @@ def lang_codes_by_name(spark, sf_dir):
 
 
 @query(
-    f"""WITH codes AS ({SQL_SOURCE_CODES}),
-    present AS (SELECT DISTINCT source FROM documents WHERE lang = 'es' AND n_chars > 500),
-    chosen AS (SELECT name, min_by(code, ord) AS code FROM codes WHERE code IN (SELECT source FROM present) GROUP BY name)
-    SELECT name AS lang_name, doc_id FROM documents JOIN chosen ON source = code
-    WHERE lang = 'es' AND n_chars > 500"""
+    """WITH present AS (SELECT lang || '_' || source AS code, lang AS name, min(doc_id) AS ord FROM documents GROUP BY 1, 2),
+    chosen AS (SELECT name, min_by(code, ord) AS code FROM present GROUP BY name)
+    SELECT name AS lang_name, doc_id FROM documents JOIN chosen ON lang || '_' || source = code"""
 )
 def corpus_first_code(spark, sf_dir):
-    spanish = (F.col("lang") == "es") & (F.col("n_chars") > 500)
-    corpus = table(spark, sf_dir, "documents").filter(spanish).select("doc_id", "source")
-    chosen = langs.corpus_of_languages(corpus, "source", source_codes(spark, sf_dir))
-    return chosen.select("lang_name", "doc_id")
+    """Each language also lists a code before the others that the corpus does not have."""
+    corpus = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", F.concat_ws("_", "lang", "source").alias("code")
+    )
+    present = corpus.groupBy(F.col("lang").alias("name"), "code").agg(F.min("doc_id").alias("ord"))
+    absent = present.select("name", F.concat(F.lit("absent_"), "name").alias("code"), F.lit(-1).alias("ord")).distinct()
+    codes = present.unionByName(absent)
+    return langs.corpus_of_languages(corpus, "code", codes).select("lang_name", "doc_id")
 
 
 def _values(codes):

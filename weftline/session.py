@@ -29,6 +29,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: the stage boundary.
+
+    What follows starts from files, so a lost executor repeats nothing before this point.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def join_side(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``side`` with a broadcast hint when it is small, as it is otherwise.
 
