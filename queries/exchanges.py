@@ -35,7 +35,7 @@ from weftline.operators.exchange import attach, from_batch, pending, retry, teac
 from weftline.plans import prompt_jobs
 from weftline.plans import requests as ask
 from weftline.schemas import TEACHER_ANSWER
-from weftline.session import new_folder
+from weftline.session import new_folder, stored
 from weftline.sources import batches
 from weftline.sources.jsonl import read_jsonl, read_prompts, write_jsonl, write_prompts
 from weftline.streaming.collect import collect_stream
@@ -159,7 +159,7 @@ _RANKED = f"""SELECT *, row_number() OVER (PARTITION BY lang_name, subset ORDER
 )
 def combine_revisions(spark, sf_dir):
     base = prompts(spark, sf_dir)
-    requests = prompt_jobs.revision_requests(base, SEED)
+    requests = stored(prompt_jobs.revision_requests(base, SEED), "revision-requests")
     combined = prompt_jobs.combine_revisions(base, requests, revision_responses(requests))
     return combined.select("prompt_id", "lang_name", "subset", "revised_prompt")
 
@@ -211,8 +211,7 @@ def collect_stream_(spark, sf_dir):
     """Results arrive in two lots; the second repeats a part of the first and holds unknown ids."""
     ids = context_requests(spark, sf_dir).select("req_id", "doc_id")
     folder = new_folder(spark, "collect")
-    ids.write.parquet(f"{folder}/requests")
-    requests = spark.read.parquet(f"{folder}/requests")
+    requests = stored(ids, "collect-requests")
     lines = batch_lines(requests, "doc_id").join(
         requests.select(F.concat(F.lit("r-"), "req_id").alias("custom_id"), "doc_id"), "custom_id"
     )

@@ -19,14 +19,19 @@ from queries.inputs import (
 from queries.registry import query
 from weftline import fixed_values as fixed
 from weftline.plans import prompt_jobs, train_set
-from weftline.session import new_folder
+from weftline.session import new_folder, stored
 from weftline.sources.jsonl import write_jsonl
 
 
 def answered_prompts(spark, sf_dir):
-    """Prompts with answers, subset by subset, each with its own columns, then stacked."""
+    """Prompts of all subsets with their answers."""
     base = prompts(spark, sf_dir)
-    answered = prompt_jobs.combine_responses(base, answer_responses(prompt_jobs.answer_requests(base)))
+    return prompt_jobs.combine_responses(base, answer_responses(prompt_jobs.answer_requests(base)))
+
+
+def stacked_prompts(spark, sf_dir):
+    """The same from one table per subset, each with its own columns only."""
+    answered = stored(answered_prompts(spark, sf_dir), "answered")
     shared = ["prompt_id", "subset", "lang_name", "final_prompt", "response", "reasoning"]
     contextual = answered.filter("subset = 'contextual'").select(*shared, "prompt_type")
     scenario = answered.filter("subset = 'scenario'").select(*shared, "scenario")
@@ -48,7 +53,7 @@ _SYSTEM = quoted(fixed.REASONING_SYSTEM.format(start="<think>", end="</think>"))
     CAST({sql_tokens('final_prompt')} + {sql_tokens('response')} AS BIGINT) AS num_tokens FROM ({SQL_ANSWERED})"""
 )
 def train_generated(spark, sf_dir):
-    rows = train_set.answered_rows(answered_prompts(spark, sf_dir))
+    rows = train_set.answered_rows(stacked_prompts(spark, sf_dir))
     return rows.select(
         "prompt_id",
         "topic",
@@ -77,7 +82,9 @@ def reasoning_messages(spark, sf_dir):
 def full_train_set(spark, sf_dir):
     generated = train_set.generated_rows(answered_prompts(spark, sf_dir))
     translations = train_set.translated_rows(translated_table(spark, sf_dir))
-    return train_set.train_set(generated, translations, ["prompt_id", "conv_id"], SEED)
+    return train_set.train_set(
+        generated, translations, ["prompt_id", "conv_id"], SEED, train_set.TRAINING
+    )
 
 
 SQL_TRAIN_SET = f"""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from string import Formatter
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Fixed value: one token is a run of letters and digits or any single other
@@ -18,6 +19,7 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+#: from an array of texts to the array of their token counts
 TokenCounter = Callable[[Column], Column]
 
 
@@ -46,10 +48,30 @@ def filesafe(name: Column) -> Column:
 
 
 def token_count(text: Column, counter: TokenCounter | None = None) -> Column:
-    """Number of tokens; ``counter`` puts another tokenizer in (a pandas UDF, say)."""
+    """Number of tokens; ``counter`` puts another tokenizer in (see ``python_counter``)."""
     if counter is not None:
-        return counter(text)
-    return F.regexp_count(text, F.lit(TOKEN_PATTERN))
+        return F.try_element_at(counter(F.array(text)), F.lit(1))
+    return F.regexp_count(text, F.lit(TOKEN_PATTERN)).cast("long")
+
+
+def token_counts(texts: Column, counter: TokenCounter | None = None) -> Column:
+    """Token counts of an array of texts."""
+    return counter(texts) if counter is not None else F.transform(texts, lambda text: token_count(text))
+
+
+def python_counter(make_counter: Callable[[], Callable[[str], int]]) -> TokenCounter:
+    """A counter around a Python tokenizer; ``make_counter`` runs once per task."""
+
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count_one = make_counter()
+
+        def count_all(texts):
+            return None if texts is None else [None if t is None else count_one(t) for t in texts]
+
+        for batch in batches:
+            yield batch.map(count_all)
+
+    return F.pandas_udf(count, "array<bigint>")
 
 
 def truncate_tokens(text: Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from weftline import fixed_values as fixed
-from weftline.functions.text import TokenCounter, is_sound_text, render, token_count
+from weftline.functions.text import TokenCounter, is_sound_text, render, token_counts
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -43,22 +43,24 @@ def roles_known(messages: Column) -> Column:
     return F.forall(messages, lambda m: m["role"].isNotNull())
 
 
+def contents(messages: Column) -> Column:
+    return F.transform(messages, lambda m: m["content"])
+
+
 def conversation_tokens(messages: Column, counter: TokenCounter | None = None) -> Column:
-    return F.aggregate(
-        messages,
-        F.lit(0).cast("long"),
-        lambda total, m: total + token_count(m["content"], counter),
-    )
+    counts = token_counts(contents(messages), counter)
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda total, n: total + n)
 
 
-def no_banned_tokens(messages: Column, tokens: list[str] = fixed.BANNED_TOKENS) -> Column:
-    def clean(m: Column) -> Column:
-        found = F.lit(False)
-        for token in tokens:
-            found = found | m["content"].contains(token)
-        return ~found
+def free_of(text: Column, tokens: list[str] = fixed.BANNED_TOKENS) -> Column:
+    found = F.lit(False)
+    for token in tokens:
+        found = found | text.contains(token)
+    return ~found
 
-    return F.forall(messages, clean)
+
+def no_banned_tokens(messages: Column, tokens: list[str] = fixed.BANNED_TOKENS) -> Column:
+    return F.forall(messages, lambda m: free_of(m["content"], tokens))
 
 
 def well_formed_messages(parsed: Column) -> Column:
@@ -120,16 +122,14 @@ def length_ratio_ok(
     """
     pairs = F.least(F.size(original), F.size(translated))
 
-    def fits(first: Column, second: Column) -> Column:
-        ratio = F.try_divide(
-            token_count(second["content"], counter).cast("double"),
-            token_count(first["content"], counter).cast("double"),
-        )
+    def counts(messages: Column) -> Column:
+        return F.slice(token_counts(contents(messages), counter), F.lit(1), pairs)
+
+    def fits(before: Column, after: Column) -> Column:
+        ratio = F.try_divide(after.cast("double"), before.cast("double"))
         return F.coalesce(ratio.between(low, high), F.lit(False))
 
-    verdicts = F.zip_with(
-        F.slice(original, F.lit(1), pairs), F.slice(translated, F.lit(1), pairs), fits
-    )
+    verdicts = F.zip_with(counts(original), counts(translated), fits)
     return F.forall(verdicts, lambda verdict: verdict)
 
 

@@ -39,8 +39,8 @@ def to_batch(
     return requests.select(custom_id.alias("custom_id"), body.alias("body"))
 
 
-def from_batch(lines: DataFrame) -> DataFrame:
-    """``req_id, reasoning, response`` of batch result lines.
+def from_batch(lines: DataFrame, *keep: str) -> DataFrame:
+    """``req_id, reasoning, response`` of batch result lines (and the columns to ``keep``).
 
     Only a first choice that finished by itself counts; anything else is a null pair.
     """
@@ -50,6 +50,7 @@ def from_batch(lines: DataFrame) -> DataFrame:
         F.regexp_extract("custom_id", "^r-([0-9a-f]{32})", 1).alias("req_id"),
         finish_gate(choice["message"]["reasoning"], stopped).alias("reasoning"),
         finish_gate(choice["message"]["content"], stopped).alias("response"),
+        *keep,
     )
 
 
@@ -80,7 +81,7 @@ def attach(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 def pending(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Requests without any answer, not even a failed one."""
-    return requests.join(responses.select("req_id"), "req_id", "left_anti")
+    return requests.join(responses.select("req_id").distinct(), "req_id", "left_anti")
 
 
 def retry(
@@ -95,7 +96,7 @@ def retry(
     A new attempt is a new ``req_id``, so it is never taken for a copy of the old one.
     """
     next_attempt = F.col("attempt") + 1
-    failed = requests.join(answered.select("req_id"), "req_id", "left_anti")
+    failed = pending(requests, answered)
     return (
         failed.filter(next_attempt < max_attempts)
         .withColumn("attempt", next_attempt)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline import fixed_values as fixed
 from weftline.schemas import CODES
-from weftline.session import join_side
+from weftline.session import stored
 
 
 def _listed(spark: SparkSession, table: str) -> DataFrame:
@@ -47,8 +47,8 @@ def shortest_code(
     The short code is the two-letter one where there is one.  Of repeated
     names the last entry counts.
     """
-    two = join_side(_last_code(two_letter, "_two").withColumnRenamed("name", name_col))
-    three = join_side(_last_code(three_letter, "three_letter_code").withColumnRenamed("name", name_col))
+    two = _last_code(two_letter, "_two").withColumnRenamed("name", name_col)
+    three = _last_code(three_letter, "three_letter_code").withColumnRenamed("name", name_col)
     joined = df.join(three, name_col, "left").join(two, name_col, "left")
     short = F.when(
         F.col("three_letter_code").isNotNull(), F.coalesce("_two", "three_letter_code")
@@ -58,7 +58,7 @@ def shortest_code(
 
 def unknown_names(df: DataFrame, name_col: str, codes: DataFrame) -> DataFrame:
     """Names without an entry in a code table."""
-    known = join_side(codes.select(F.col("name").alias(name_col)).distinct())
+    known = codes.select(F.col("name").alias(name_col)).distinct()
     return df.select(name_col).distinct().join(known, name_col, "left_anti")
 
 
@@ -72,9 +72,13 @@ def first_corpus_code(corpus: DataFrame, code_col: str, codes: DataFrame) -> Dat
 def corpus_of_languages(
     corpus: DataFrame, code_col: str, codes: DataFrame, names: DataFrame | None = None
 ) -> DataFrame:
-    """Corpus rows of the chosen code of each language, with ``lang_name``."""
+    """Corpus rows of the chosen code of each language, with ``lang_name``.
+
+    The choice (a row per language) is stored first, so that its size is known and the
+    texts are joined where they are.
+    """
     chosen = first_corpus_code(corpus, code_col, codes)
     if names is not None:
         chosen = chosen.join(names.select(F.col("lang_name").alias("name")).distinct(), "name", "left_semi")
     chosen = chosen.select(F.col("code").alias(code_col), F.col("name").alias("lang_name"))
-    return corpus.join(join_side(chosen), code_col)
+    return corpus.join(stored(chosen, "chosen-codes"), code_col)

@@ -6,8 +6,10 @@ partitioning and in every engine.  The ids have to tell rows apart.
 Nothing here brings a whole sample to one task.  The hexadecimal key is counted
 by its first four digits (65,536 buckets, combined map-side); from the counts it
 follows which bucket holds the last row of the sample, and only that bucket's keys
-are ranked.  The sample itself is then a plain filter ``key <= cut``: the rows, with
-their long texts, are neither shuffled nor sorted.
+are ranked.  Both steps read the id columns only and run when the sample is
+defined.  The sample itself is then a plain filter ``key <= cut``: the rows, with
+their long texts, are neither shuffled nor sorted.  A ``df`` that is costly to compute
+should be a stored table.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftline.session import join_side, shared_dir
+from weftline.session import join_same, shared_dir, stored
 
 KEY = "_sample_key"
 BUCKET = "_sample_bucket"
@@ -51,33 +53,25 @@ def _find_edge(bins: Column, quota: Column) -> Column:
 
 
 def _cuts(keys: DataFrame, by: list[str], quota: Callable[[Column], Column]) -> DataFrame:
-    """Per group: number of rows and the largest key of its sample (null for an empty one)."""
+    """Per group the largest key of its sample; no row for an empty sample.
+
+    A row per group, stored twice on the way: each step reads the narrow key column once.
+    """
     bucketed = keys.withColumn(BUCKET, key_bucket(F.col(KEY)))
     counts = bucketed.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("n"))
-    folded = (
+    edges = (
         counts.groupBy(*by)
         .agg(
             F.sum("n").alias("total"),
             F.array_sort(F.collect_list(F.struct(F.col(BUCKET).alias("bucket"), "n"))).alias("bins"),
         )
-        .select(*by, "total", _find_edge(F.col("bins"), quota(F.col("total"))).alias("at"))
-        .select(*by, "total", F.col("at.edge").alias("edge"), F.col("at.rest").alias("rest"))
+        .select(*by, F.inline(F.array(_find_edge(F.col("bins"), quota(F.col("total"))))))
+        .select(*by, F.col("edge").alias(BUCKET), "rest")
     )
-    if by:
-        inner = bucketed.join(join_side(folded), by)
-        inner = inner.filter(F.col(BUCKET) == F.col("edge"))
-    else:
-        at = folded.select(F.struct("edge", "rest").alias("at")).scalar()
-        inner = bucketed.filter(F.col(BUCKET) == at["edge"]).withColumn("rest", at["rest"])
+    inside = join_same(bucketed, stored(edges, "sample-edges"), [*by, BUCKET])
     rank = F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(KEY))
-    cut = (
-        inner.withColumn("_rank", rank)
-        .filter(F.col("_rank") == F.col("rest"))
-        .select(*by, F.col(KEY).alias("cut"))
-    )
-    if by:
-        return folded.select(*by, "total").join(cut, by, "left")
-    return cut.agg(F.max("cut").alias("cut"))
+    cut = inside.withColumn("_rank", rank).filter(F.col("_rank") == F.col("rest"))
+    return stored(cut.select(*by, F.col(KEY).alias("_cut")), "sample-cuts")
 
 
 def _sample(
@@ -89,12 +83,11 @@ def _sample(
 ) -> DataFrame:
     by = list(by or [])
     key = sample_key(id_cols, seed)
-    keys = df.select(*by, key.alias(KEY))
-    cuts = _cuts(keys, by, quota)
-    if not by:
-        return df.filter(key <= cuts.scalar())
-    narrowed = df.join(join_side(cuts.select(*by, "cut")), by)
-    return narrowed.filter(key <= F.col("cut")).select(*df.columns)
+    cuts = _cuts(df.select(*by, key.alias(KEY)), by, quota)
+    if by:
+        return join_same(df, cuts, by).filter(key <= F.col("_cut")).drop("_cut")
+    only = cuts.first()
+    return df.filter(key <= F.lit(only["_cut"])) if only else df.filter(F.lit(False))
 
 
 def sample_n(
@@ -182,12 +175,8 @@ def with_hash_index(
     )
     before = bins.select(*by, F.inline(offsets)).withColumnsRenamed({"bucket": BUCKET, "n": "_before"})
     rank = F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(KEY))
-    return (
-        keyed.withColumn("_rank", rank)
-        .join(before, [*by, BUCKET])
-        .withColumn(name, F.col("_before") + F.col("_rank") - 1)
-        .select(*df.columns, name)
-    )
+    placed = join_same(keyed.withColumn("_rank", rank), before, [*by, BUCKET])
+    return placed.withColumn(name, F.col("_before") + F.col("_rank") - 1).select(*df.columns, name)
 
 
 def assign_round_robin(
@@ -205,14 +194,19 @@ def assign_round_robin(
     return numbered.withColumn(name, F.element_at(choices, position)).drop("_turn")
 
 
-def shuffle(df: DataFrame, id_cols: Sequence[str], seed: int) -> DataFrame:
-    """All rows in random order: sorted ranges of the key, one after the other."""
-    return (
-        df.withColumn(KEY, sample_key(id_cols, seed))
-        .repartitionByRange(KEY)
-        .sortWithinPartitions(KEY)
-        .drop(KEY)
-    )
+def shuffle(
+    df: DataFrame, id_cols: Sequence[str], seed: int, partitions: int | None = None
+) -> DataFrame:
+    """All rows in random order: partition after partition, sorted by key.
+
+    The key is uniform, so equal ranges of its first digits make equal partitions;
+    no sampling pass over the rows is needed to find their bounds.
+    """
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    target = F.floor(key_bucket(F.col(KEY)) * F.lit(partitions) / F.lit(1 << 16)).cast("int")
+    keyed = df.withColumn(KEY, sample_key(id_cols, seed))
+    return keyed.repartitionById(partitions, target).sortWithinPartitions(KEY).drop(KEY)
 
 
 def with_row_index(

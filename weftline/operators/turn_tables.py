@@ -25,7 +25,7 @@ def check_turns(turns: DataFrame, counter: TokenCounter | None = None) -> DataFr
     fits_odd = F.coalesce(sound & (F.col("role") == F.when(even, "assistant").otherwise("user")), F.lit(False))
     sums = turns.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_turns"),
-        F.sum(token_count(F.col("text"), counter)).cast("long").alias("n_tokens"),
+        F.sum(token_count(F.col("text"), counter)).alias("n_tokens"),
         F.min("turn").alias("first"),
         F.max("turn").alias("last"),
         F.count_if(~fits_even).alias("misfits_even"),

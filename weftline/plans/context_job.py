@@ -13,7 +13,7 @@ from weftline.operators.exchange import attach, request_id
 from weftline.operators.explode import explode_strings, pick_or_list
 from weftline.operators.sampling import assign_round_robin, cap_rows, sample_n
 from weftline.plans import requests as ask
-from weftline.session import join_side
+from weftline.session import join_same, stored
 
 JOB = "context_prompts"
 
@@ -42,7 +42,7 @@ def context_requests(
         cut, task_types(qa_weighting), [id_col], seed, "prompt_type", by=["lang_name"]
     )
     sizes = corpus.groupBy("lang_name").agg(F.count(F.lit(1)).alias("corpus_rows"))
-    keyed = dealt.join(join_side(sizes), "lang_name").withColumns(
+    keyed = join_same(dealt, stored(sizes, "corpus-sizes"), ["lang_name"]).withColumns(
         {"attempt": F.lit(0), "req_id": request_id(JOB, "lang_name", id_col)}
     )
     return ask.context_prompt_requests(keyed, n, template)
@@ -76,10 +76,17 @@ def context_prompts(
     offered = pick_or_list(
         F.col("prompts"), F.col("is_list"), F.col("corpus_rows"), num_contexts, ["req_id"], seed
     )
-    rows = explode_strings(listed, offered, "prompt", outer=True).withColumn(
-        "prompt_id", request_id("prompt", "req_id", "pos")
+    exploded = explode_strings(listed, offered, "prompt", outer=True)
+    rows = exploded.select(
+        request_id("prompt", "req_id", "pos").alias("prompt_id"),
+        "lang_name",
+        "text",
+        "prompt_type",
+        "prompts",
+        "prompt",
+        *keep,
     )
-    capped = cap_rows(rows, num_contexts, ["prompt_id"], seed, by=["lang_name"])
+    capped = cap_rows(stored(rows, "context-prompts"), num_contexts, ["prompt_id"], seed, by=["lang_name"])
     return capped.select(
         "prompt_id",
         F.lit("contextual").alias("subset"),

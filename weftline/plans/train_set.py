@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from weftline import fixed_values as fixed
-from weftline.functions.text import TokenCounter
+from weftline.functions.text import TokenCounter, token_count
 from weftline.functions.turns import (
     alternates,
-    conversation_tokens,
+    free_of,
     length_ratio_ok,
-    no_banned_tokens,
     reasoning_system,
     turns_match,
     two_turns,
@@ -20,6 +19,17 @@ from weftline.functions.turns import (
 )
 from weftline.operators.sampling import shuffle
 
+TRAINING = [
+    "prompt_id",
+    "conv_id",
+    "lang_name",
+    "topic",
+    "scenario",
+    "prompt_type",
+    "num_tokens",
+    "system",
+    "messages",
+]
 PUBLISHED = ["generation_method", "prompt_type", "scenario", "topic", "system", "messages"]
 
 
@@ -53,10 +63,11 @@ def answered_rows(
             F.count_if(no_answer).alias("no_answer"),
             F.count_if(~no_answer & F.col("reasoning").isNull()).alias("no_reasoning"),
         )
-    answered = prompts.filter(F.col("final_prompt").isNotNull() & F.col("response").isNotNull())
-    rows = answered.withColumn("messages", two_turns(F.col("final_prompt"), F.col("response")))
-    rows = rows.filter(no_banned_tokens(F.col("messages")))
-    return rows.withColumn("num_tokens", conversation_tokens(F.col("messages"), counter))
+    # checks on the two texts themselves, before any array is made of them
+    final, response = F.col("final_prompt"), F.col("response")
+    kept = prompts.filter(final.isNotNull() & response.isNotNull() & free_of(final) & free_of(response))
+    tokens = token_count(final, counter) + token_count(response, counter)
+    return kept.withColumns({"messages": two_turns(final, response), "num_tokens": tokens})
 
 
 def with_reasoning(
@@ -83,25 +94,6 @@ def generated_rows(
     return with_reasoning(answered_rows(prompts, observation, counter), start, end)
 
 
-def checked_translation(
-    original: Column,
-    parsed: Column,
-    low: float = fixed.MIN_LENGTH_RATIO,
-    high: float = fixed.MAX_LENGTH_RATIO,
-    counter: TokenCounter | None = None,
-) -> Column:
-    """The translated messages if they pass every check, else null; cheap checks come first."""
-    typed = F.when(
-        well_formed_messages(parsed) & (F.size(parsed) == F.size(original)), typed_messages(parsed)
-    )
-    # transform over a list of one names the typed messages, so they are built once
-    checked = F.transform(
-        F.array(typed),
-        lambda m: F.when(alternates(m) & length_ratio_ok(original, m, low, high, counter), m),
-    )
-    return F.element_at(checked, 1)
-
-
 def translated_rows(
     translated: DataFrame,
     low: float = fixed.MIN_LENGTH_RATIO,
@@ -110,22 +102,37 @@ def translated_rows(
 ) -> DataFrame:
     """Translations that are readable, well formed, complete and of plausible length.
 
-    The verdict leaves a generator as a list of one or none, so it is reached once per row.
+    Cheap checks come first.  The typed messages leave a generator as a list of one or
+    none, so they are built once per row; what cannot pass is gone before tokens
+    are counted.
     """
-    passed = checked_translation(
-        F.col("messages"), F.col("translated_messages"), low, high, counter
-    )
-    kept = translated.select("*", F.explode(F.array_compact(F.array(passed))).alias("_checked"))
+    original, parsed = F.col("messages"), F.col("translated_messages")
+    shaped = well_formed_messages(parsed) & turns_match(parsed, original)
+    typed = F.array_compact(F.array(F.when(shaped, typed_messages(parsed))))
+    rows = translated.select("*", F.explode(typed).alias("_typed")).drop("translated_messages")
+    rows = rows.filter(alternates(F.col("_typed")))
+    rows = rows.filter(length_ratio_ok(original, F.col("_typed"), low, high, counter))
     return (
-        kept.drop("messages", "translated_messages")
-        .withColumnRenamed("_checked", "messages")
+        rows.drop("messages")
+        .withColumnRenamed("_typed", "messages")
         .withColumn("system", F.lit(fixed.TRANSLATED_SYSTEM))
     )
 
 
-def train_set(generated: DataFrame, translations: DataFrame, id_cols: list[str], seed: int) -> DataFrame:
-    """Both kinds of rows, in random order."""
-    return shuffle(stack_subsets(generated, translations), id_cols, seed)
+def train_set(
+    generated: DataFrame,
+    translations: DataFrame,
+    id_cols: list[str],
+    seed: int,
+    columns: list[str] | None = None,
+) -> DataFrame:
+    """Both kinds of rows, in random order.
+
+    Only ``columns`` travel through the shuffle, where given: working columns such as the
+    single texts the messages were made of need not.
+    """
+    rows = stack_subsets(generated, translations)
+    return shuffle(rows.select(*columns) if columns else rows, id_cols, seed)
 
 
 def with_provenance(df: DataFrame) -> DataFrame:

@@ -1,27 +1,27 @@
-"""Session helpers: the shared scratch folder and size-checked broadcasts."""
+"""Session helpers: the shared folder and tables stored between stages."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: a side with at most this many narrow rows is sent to every executor
-BROADCAST_ROWS = 100_000
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+    if named is not None:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(named)
+        return named
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
+    return context.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -32,7 +32,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: the stage boundary.
 
-    What follows starts from files, so a lost executor repeats nothing before this point.
+    What follows starts from files, so a lost executor repeats nothing before this
+    point.  The size of the files is known when the next join is planned: a side
+    below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast, a larger one shuffled.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
@@ -40,13 +42,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_side(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``side`` with a broadcast hint when it is small, as it is otherwise.
-
-    The row count is checked, at most ``max_rows`` + 1 rows of it.  Beyond the bound the
-    join shuffles, and adaptive execution splits skewed partitions.  Meant for
-    narrow sides (keys, codes, thresholds), where rows bound bytes.
-    """
-    if side.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(side)
-    return side
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal ``keys`` where two nulls are equal, with the keys of the left."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    condition = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
+    return left.join(renamed, condition).drop(*[f"_same_{k}" for k in keys])

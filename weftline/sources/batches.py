@@ -8,10 +8,15 @@ from weftline.operators.exchange import from_batch, to_batch
 from weftline.schemas import BATCH_RESULT
 
 
-def write_requests(requests: DataFrame, path: str, max_records: int = 50_000, **settings) -> None:
-    """Write request lines, at most ``max_records`` per file (``settings`` as in ``to_batch``)."""
-    lines = to_batch(requests, **settings)
-    lines.write.mode("ignore").option("maxRecordsPerFile", max_records).json(path)
+def write_requests(
+    requests: DataFrame, path: str, max_records: int = 50_000, force: bool = False, **settings
+) -> None:
+    """Write request lines, at most ``max_records`` per file (``settings`` as in ``to_batch``).
+
+    A run that was written before is left as it is, unless ``force`` is set.
+    """
+    writer = to_batch(requests, **settings).write.mode("overwrite" if force else "ignore")
+    writer.option("maxRecordsPerFile", max_records).json(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

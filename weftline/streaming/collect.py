@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weftline.operators.exchange import from_batch
 from weftline.schemas import BATCH_RESULT
 
 
+#: tasks over which the copies of one result are spread before they are reduced to one
+SPREAD = 64
+
+
 def stream_results(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
     """Streaming ``req_id, reasoning, response`` of result files, one row per request.
 
     Unknown ids are dropped by the join with the request table first, so the state of
     the de-duplication never holds more ids than there are requests, and needs no
-    watermark that would lose late files.
+    watermark that would lose late files.  Copies are removed in two steps, first
+    within the files that share a salt: a result sent very often does not
+    end up in one task.
     """
     lines = spark.readStream.schema(BATCH_RESULT).json(path)
-    known = from_batch(lines).join(requests.select("req_id"), "req_id", "left_semi")
-    return known.dropDuplicates(["req_id"])
+    origin = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+    salted = lines.withColumn("salt", F.pmod(origin, F.lit(SPREAD)))
+    answers = from_batch(salted, "salt").join(requests.select("req_id"), "req_id", "left_semi")
+    return answers.dropDuplicates(["req_id", "salt"]).drop("salt").dropDuplicates(["req_id"])
 
 
 def collect_stream(
