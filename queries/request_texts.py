@@ -10,7 +10,6 @@ from queries.inputs import (
     SQL_NAMED_PARTS,
     SQL_PROMPTS,
     SQL_SERIALISED,
-    RUN_LANGUAGE,
     languages,
     named_parts,
     prompts,
@@ -135,14 +134,15 @@ def revision_requests(spark, sf_dir):
 
 
 @query(
-    f"""SELECT conv_id, md5({sql_render(fixed.TRANSLATION_SYSTEM, lang_name=quoted(RUN_LANGUAGE))}) AS system_md5,
-    md5(payload) AS prompt_md5 FROM ({SQL_SERIALISED}) WHERE {sql_tokens('payload')} <= 2048"""
+    f"""SELECT conv_id, lang_name, md5({sql_render(fixed.TRANSLATION_SYSTEM, lang_name='lang_name')}) AS system_md5,
+    md5(payload) AS prompt_md5 FROM ({SQL_SERIALISED}), (VALUES ('Basque'), ('Javanese')) l(lang_name)
+    WHERE {sql_tokens('payload')} <= 2048"""
 )
 def translation_requests(spark, sf_dir):
     source = gather_turns(source_turns(spark, sf_dir), fixed.TRANSLATION_MAX_INPUT_TOKENS)
     limited = translation.token_limit(translation.with_messages(source))
-    asked = translation.translation_requests(limited.withColumn("lang_name", F.lit(RUN_LANGUAGE)))
-    return _texts(asked, "conv_id")
+    asked = translation.translation_requests(translation.for_languages(limited, ["Basque", "Javanese"]))
+    return _texts(asked, "conv_id", "lang_name")
 
 
 @query(f"SELECT doc_id, md5(final_prompt) AS final_md5 FROM ({SQL_FINAL_PROMPTS}) WHERE final_prompt IS NOT NULL")

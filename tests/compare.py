@@ -40,7 +40,10 @@ def duck(sf_dir: str):
 
     con = duckdb.connect()
     for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+        path = f"{sf_dir}/{name}.parquet"
+        if os.path.exists(path):
+            files = f"{path}/*.parquet" if os.path.isdir(path) else path
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{files}'")
     return con
 
 

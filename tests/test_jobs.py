@@ -233,3 +233,28 @@ def test_request_texts_know_no_language_clause_for_general_topics(spark):
     general, target = [r["prompt"] for r in ask.topic_requests(df, 10).orderBy(F.col("target_lang").asc_nulls_first()).collect()]
     assert general.endswith("simple English.") and target.endswith("who speak Basque.")
     assert target.startswith(general)
+
+
+def test_english_sample_then_languages(spark):
+    from weftline.plans import translation
+
+    rows = [(i, "en" if i % 2 else "fr", [("human", "hi"), ("gpt", "yo")]) for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, langdetect string, conversations array<struct<`from`:string,value:string>>")
+    sample = translation.english_sample(df, seed=3, n=15)
+    assert sample.count() == 15 and sample.filter("langdetect <> 'en'").count() == 0
+    asked = translation.translation_requests(
+        translation.for_languages(translation.with_messages(sample), ["Basque", "Zulu"])
+    )
+    assert asked.count() == 30 and asked.select("req_id").distinct().count() == 30
+    assert asked.first()["prompt"] == '[{"role":"user","content":"hi"},{"role":"assistant","content":"yo"}]'
+    with pytest.raises(Exception, match="21 rows wanted, 20 present"):
+        translation.english_sample(df, seed=3, n=21)
+
+
+def test_a_cut_off_write_does_not_freeze(spark):
+    from weftline.sources.jsonl import freeze
+
+    path = new_folder(spark, "frozen")
+    spark.range(1).write.json(f"{path}/_temporary")
+    assert freeze(spark.range(5), path).count() == 5
+    assert freeze(spark.range(9), path).count() == 5

@@ -53,7 +53,7 @@ def _find_edge(bins: Column, quota: Column) -> Column:
 
 
 def _cuts(keys: DataFrame, by: list[str], quota: Callable[[Column], Column]) -> DataFrame:
-    """Per group the largest key of its sample; no row for an empty sample.
+    """Per group the largest key of its sample and its rows; nothing for an empty sample.
 
     A row per group, stored twice on the way: each step reads the narrow key column once.
     """
@@ -65,13 +65,13 @@ def _cuts(keys: DataFrame, by: list[str], quota: Callable[[Column], Column]) ->
             F.sum("n").alias("total"),
             F.array_sort(F.collect_list(F.struct(F.col(BUCKET).alias("bucket"), "n"))).alias("bins"),
         )
-        .select(*by, F.inline(F.array(_find_edge(F.col("bins"), quota(F.col("total"))))))
-        .select(*by, F.col("edge").alias(BUCKET), "rest")
+        .select(*by, "total", F.inline(F.array(_find_edge(F.col("bins"), quota(F.col("total"))))))
+        .select(*by, "total", F.col("edge").alias(BUCKET), "rest")
     )
     inside = join_same(bucketed, stored(edges, "sample-edges"), [*by, BUCKET])
     rank = F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(KEY))
     cut = inside.withColumn("_rank", rank).filter(F.col("_rank") == F.col("rest"))
-    return stored(cut.select(*by, F.col(KEY).alias("_cut")), "sample-cuts")
+    return stored(cut.select(*by, F.col(KEY).alias("_cut"), F.col("total").alias("_total")), "sample-cuts")
 
 
 def _sample(
@@ -80,14 +80,21 @@ def _sample(
     id_cols: Sequence[str],
     seed: int,
     by: Sequence[str] | None,
+    total_name: str | None = None,
 ) -> DataFrame:
     by = list(by or [])
     key = sample_key(id_cols, seed)
     cuts = _cuts(df.select(*by, key.alias(KEY)), by, quota)
     if by:
-        return join_same(df, cuts, by).filter(key <= F.col("_cut")).drop("_cut")
-    only = cuts.first()
-    return df.filter(key <= F.lit(only["_cut"])) if only else df.filter(F.lit(False))
+        placed = join_same(df, cuts, by)
+    else:
+        only = cuts.first()
+        cut, total = (only["_cut"], only["_total"]) if only else (None, None)
+        placed = df.withColumns(
+            {"_cut": F.lit(cut).cast("string"), "_total": F.lit(total).cast("long")}
+        )
+    kept = [F.col("_total").alias(total_name)] if total_name else []
+    return placed.filter(key <= F.col("_cut")).select(*df.columns, *kept)
 
 
 def sample_n(
@@ -97,10 +104,11 @@ def sample_n(
     seed: int,
     by: Sequence[str] | None = None,
     strict: bool = False,
+    total_name: str | None = None,
 ) -> DataFrame:
     """Exactly ``n`` rows without replacement (per ``by`` group), or all if there are fewer.
 
-    With ``strict`` fewer rows are an error.
+    With ``strict`` fewer rows are an error.  ``total_name`` adds the number of rows there were.
     """
 
     def quota(total: Column) -> Column:
@@ -110,7 +118,7 @@ def sample_n(
         short = F.raise_error(F.format_string("%d rows wanted, %d present", wanted, total))
         return F.when(total < wanted, short.cast("long")).otherwise(wanted)
 
-    return _sample(df, quota, id_cols, seed, by)
+    return _sample(df, quota, id_cols, seed, by, total_name)
 
 
 def cap_rows(

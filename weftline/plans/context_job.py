@@ -13,7 +13,7 @@ from weftline.operators.exchange import attach, request_id
 from weftline.operators.explode import explode_strings, pick_or_list
 from weftline.operators.sampling import assign_round_robin, cap_rows, sample_n
 from weftline.plans import requests as ask
-from weftline.session import join_same, stored
+from weftline.session import stored
 
 JOB = "context_prompts"
 
@@ -36,15 +36,14 @@ def context_requests(
 
     ``corpus_rows`` counts the language's corpus; the choice among the prompts depends on it.
     """
-    sample = sample_n(corpus, num_contexts, [id_col], seed, by=["lang_name"])
+    sample = sample_n(
+        corpus, num_contexts, [id_col], seed, by=["lang_name"], total_name="corpus_rows"
+    )
     cut = sample.withColumn("text", truncate_tokens(F.col("text"), first_n_tokens))
     dealt = assign_round_robin(
         cut, task_types(qa_weighting), [id_col], seed, "prompt_type", by=["lang_name"]
     )
-    sizes = corpus.groupBy("lang_name").agg(F.count(F.lit(1)).alias("corpus_rows"))
-    keyed = join_same(dealt, stored(sizes, "corpus-sizes"), ["lang_name"]).withColumns(
-        {"attempt": F.lit(0), "req_id": request_id(JOB, "lang_name", id_col)}
-    )
+    keyed = dealt.withColumns({"attempt": F.lit(0), "req_id": request_id(JOB, "lang_name", id_col)})
     return ask.context_prompt_requests(keyed, n, template)
 
 

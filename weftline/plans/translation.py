@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from weftline import fixed_values as fixed
@@ -22,6 +24,12 @@ def english_sample(
     return sample_n(conversations.filter(F.col("langdetect") == "en"), n, [id_col], seed, strict=True)
 
 
+def for_languages(conversations: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Every conversation once per language to translate it into."""
+    targets = F.array(*[F.lit(name) for name in names])
+    return conversations.withColumn("lang_name", F.explode(targets))
+
+
 def with_messages(conversations: DataFrame) -> DataFrame:
     """Source turns as ``messages``; conversations with an unknown role are left out."""
     mapped = conversations.withColumn("messages", map_roles(F.col("conversations")))

@@ -42,6 +42,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was finished, not only begun."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on equal ``keys`` where two nulls are equal, with the keys of the left."""
     renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})

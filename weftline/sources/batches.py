@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.operators.exchange import from_batch, to_batch
 from weftline.schemas import BATCH_RESULT
+from weftline.session import is_complete
 
 
 def write_requests(
@@ -13,10 +14,11 @@ def write_requests(
 ) -> None:
     """Write request lines, at most ``max_records`` per file (``settings`` as in ``to_batch``).
 
-    A run that was written before is left as it is, unless ``force`` is set.
+    A run that was written completely before is left as it is, unless ``force`` is set.
     """
-    writer = to_batch(requests, **settings).write.mode("overwrite" if force else "ignore")
-    writer.option("maxRecordsPerFile", max_records).json(path)
+    if force or not is_complete(requests.sparkSession, path):
+        writer = to_batch(requests, **settings).write.mode("overwrite")
+        writer.option("maxRecordsPerFile", max_records).json(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

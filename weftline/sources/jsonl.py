@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from weftline.schemas import PROMPTS
+from weftline.session import is_complete
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -53,6 +54,11 @@ def read_prompt_files(spark: SparkSession, root: str, schema: str = PROMPTS) ->
 
 
 def freeze(sample: DataFrame, path: str) -> DataFrame:
-    """The sample stored under ``path``; written the first time, only read after that."""
-    sample.write.mode("ignore").json(path)
-    return sample.sparkSession.read.schema(sample.schema).json(path)
+    """The sample stored under ``path``; written the first time, only read after that.
+
+    A write that was cut off does not count as the first time.
+    """
+    spark = sample.sparkSession
+    if not is_complete(spark, path):
+        sample.write.mode("overwrite").json(path)
+    return spark.read.schema(sample.schema).json(path)

@@ -16,17 +16,17 @@ SPREAD = 64
 def stream_results(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
     """Streaming ``req_id, reasoning, response`` of result files, one row per request.
 
-    Unknown ids are dropped by the join with the request table first, so the state of
-    the de-duplication never holds more ids than there are requests, and needs no
-    watermark that would lose late files.  Copies are removed in two steps, first
-    within the files that share a salt: a result sent very often does not
-    end up in one task.
+    Copies are removed in two steps, first among the files that share a salt: a result
+    sent very often reaches the join and the second step as at most ``SPREAD`` rows,
+    ever.  Unknown ids are dropped by the join with the request table.  The state is an
+    id per result and salt; no watermark would lose late files.
     """
     lines = spark.readStream.schema(BATCH_RESULT).json(path)
     origin = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
-    salted = lines.withColumn("salt", F.pmod(origin, F.lit(SPREAD)))
-    answers = from_batch(salted, "salt").join(requests.select("req_id"), "req_id", "left_semi")
-    return answers.dropDuplicates(["req_id", "salt"]).drop("salt").dropDuplicates(["req_id"])
+    salted = from_batch(lines.withColumn("salt", F.pmod(origin, F.lit(SPREAD))), "salt")
+    thinned = salted.dropDuplicates(["req_id", "salt"]).drop("salt")
+    known = thinned.join(requests.select("req_id"), "req_id", "left_semi")
+    return known.dropDuplicates(["req_id"])
 
 
 def collect_stream(
