@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from weftline import fixed_values as fixed
 from weftline.functions.text import TOKEN_PATTERN
 from weftline.functions.turns import map_role
+from weftline.session import spread
 
 SEED = 7
 RUN_LANGUAGE = "Basque"
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work on their texts, over all cores."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 # --- SQL text ------------------------------------------------------------------------
 
 
@@ -196,7 +202,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_context = F.col("subset") == "contextual"
     prompt = F.when(is_context, F.concat(F.lit("Discuss D"), number.cast("string"))).otherwise(F.col("text"))
     return (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .withColumn("subset", subset)
         .select(
             "doc_id",
@@ -244,9 +250,13 @@ def revision_responses(requests: DataFrame) -> DataFrame:
         .when(number % 10 == 5, '{"improved_prompt": 7}')
         .when(number % 10 != 0, better)
     )
-    return requests.filter(number % 17 != 0).select(
-        "req_id", F.lit(None).cast("string").alias("reasoning"), response.alias("response")
-    )
+    copies = F.when(number % 17 == 0, 0).otherwise(1)
+    return requests.select(
+        "req_id",
+        F.lit(None).cast("string").alias("reasoning"),
+        response.alias("response"),
+        F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"),
+    ).drop("copy")
 
 
 SQL_REVISED = "CASE WHEN doc_id % 10 NOT IN (0, 1, 4, 5) AND doc_id % 17 <> 0 THEN 'Better ' || doc_id END"

@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.inputs import SEED, quoted, sql_key, sql_list, sql_tokens, list_answer, table
+from queries.inputs import (
+    SEED,
+    documents,
+    list_answer,
+    quoted,
+    sql_key,
+    sql_list,
+    sql_tokens,
+    table,
+)
 from queries.registry import query
 from weftline.functions.answers import string_list, with_parsed_answer
 from weftline.functions.text import TOKEN_PATTERN, filesafe, token_count, truncate_tokens
@@ -26,8 +35,8 @@ DOC_KEY = sql_key("doc_id")
 
 @query(f"SELECT doc_id, CAST({sql_tokens('text')} AS BIGINT) AS n_tokens FROM documents")
 def token_count_(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", token_count(F.col("text")).cast("long").alias("n_tokens")
+    return documents(spark, sf_dir).select(
+        "doc_id", token_count(F.col("text")).alias("n_tokens")
     )
 
 
@@ -36,7 +45,7 @@ def token_count_(spark, sf_dir):
     FROM documents"""
 )
 def truncate_tokens_(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", truncate_tokens(F.col("text"), 50).alias("head")
     )
 
@@ -108,8 +117,7 @@ def frozen_sample(spark, sf_dir):
 
 @query("SELECT doc_id, n_chars FROM documents WHERE lang = 'en'")
 def source_lang_filter(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
-    return documents.filter(F.col("lang") == "en").select("doc_id", "n_chars")
+    return table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select("doc_id", "n_chars")
 
 
 _PICK = (

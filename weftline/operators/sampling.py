@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftline.session import join_same, shared_dir, stored
+from weftline.session import join_same, settled, shared_dir
 
 KEY = "_sample_key"
 BUCKET = "_sample_bucket"
@@ -55,7 +55,7 @@ def _find_edge(bins: Column, quota: Column) -> Column:
 def _cuts(keys: DataFrame, by: list[str], quota: Callable[[Column], Column]) -> DataFrame:
     """Per group the largest key of its sample and its rows; nothing for an empty sample.
 
-    A row per group, stored twice on the way: each step reads the narrow key column once.
+    A row per group, settled twice on the way: each step reads the narrow key column once.
     """
     bucketed = keys.withColumn(BUCKET, key_bucket(F.col(KEY)))
     counts = bucketed.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("n"))
@@ -68,10 +68,10 @@ def _cuts(keys: DataFrame, by: list[str], quota: Callable[[Column], Column]) ->
         .select(*by, "total", F.inline(F.array(_find_edge(F.col("bins"), quota(F.col("total"))))))
         .select(*by, "total", F.col("edge").alias(BUCKET), "rest")
     )
-    inside = join_same(bucketed, stored(edges, "sample-edges"), [*by, BUCKET])
+    inside = join_same(bucketed, settled(edges, "sample-edges"), [*by, BUCKET])
     rank = F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(KEY))
     cut = inside.withColumn("_rank", rank).filter(F.col("_rank") == F.col("rest"))
-    return stored(cut.select(*by, F.col(KEY).alias("_cut"), F.col("total").alias("_total")), "sample-cuts")
+    return settled(cut.select(*by, F.col(KEY).alias("_cut"), F.col("total").alias("_total")), "sample-cuts")
 
 
 def _sample(

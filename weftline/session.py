@@ -42,6 +42,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: a result with at most this many (narrow) rows may come to the driver
+SMALL_ROWS = 10_000
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """A narrow result computed now: held by the driver if small, else a stored table.
+
+    At most ``SMALL_ROWS`` + 1 rows are fetched to find out.
+    """
+    rows = df.limit(SMALL_ROWS + 1).collect()
+    if len(rows) <= SMALL_ROWS:
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    return stored(df, name)
+
+
+def spread(df: DataFrame, key: str, bytes_per_core: int = 64 << 20) -> DataFrame:
+    """A small table over all cores, by hash of ``key``; a large one as its files are split.
+
+    A file of one row group is read by one task, however many cores there are.  Beyond
+    ``bytes_per_core`` for every core the scan has tasks enough, and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= bytes_per_core * cores else df.repartition(cores, key)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a write to ``path`` was finished, not only begun."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
