@@ -76,7 +76,7 @@ def jsonl_roundtrip(spark, sf_dir):
 )
 def subset_discovery(spark, sf_dir):
     root = new_folder(spark, "prompts")
-    write_prompts(prompts(spark, sf_dir).withColumnRenamed("lang_name", "lang"), root)
+    write_prompts(prompts(spark, sf_dir), root)
     shards = read_prompts(spark, root)
     return shards.groupBy("lang", "subset", "has_context").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("prompt").alias("n_prompts")

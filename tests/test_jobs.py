@@ -107,6 +107,9 @@ def test_short_codes(spark):
     assert rows == {
         "French": ("fra", "fr"), "Zulu": ("zul", "zul"), "Simplified Chinese": (None, None), "Klingon": (None, None),
     }
+    many = spark.range(10**9).select(F.concat(F.lit("L"), "id").alias("lang_name"))
+    plan = plan_of(langs.shortest_code(many, "lang_name", two, three))
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
     missing = langs.unknown_names(names, "lang_name", three)
     assert sorted(r[0] for r in missing.collect()) == ["Klingon", "Simplified Chinese"]
     last = two.filter("name = 'Simplified Chinese'").agg(F.max_by("code", "ord")).first()[0]
@@ -258,3 +261,51 @@ def test_a_cut_off_write_does_not_freeze(spark):
     spark.range(1).write.json(f"{path}/_temporary")
     assert freeze(spark.range(5), path).count() == 5
     assert freeze(spark.range(9), path).count() == 5
+
+
+def test_unknown_roles_are_counted(spark):
+    from pyspark.sql import Observation
+
+    from weftline.plans import translation
+
+    rows = [(1, [("human", "hi")]), (2, [("system", "x"), ("human", "hi")])]
+    df = spark.createDataFrame(rows, "conv_id long, conversations array<struct<`from`:string,value:string>>")
+    seen = Observation("roles")
+    assert translation.with_messages(df, seen).count() == 1
+    assert seen.get == {"rows": 2, "unknown_role": 1}
+
+
+def test_bucketed_requests_are_not_moved_by_a_join(spark):
+    from weftline.session import stored
+
+    requests = spark.range(3000).select(
+        F.md5(F.col("id").cast("string")).alias("req_id"), F.repeat(F.lit("long text "), 20).alias("prompt")
+    )
+    kept = stored(requests, "bucketed-requests", by="req_id")
+    got = requests.select("req_id", F.lit("r").alias("reasoning"), F.lit("x").alias("response"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = attach(kept, got)
+        plan = plan_of(joined)
+        assert joined.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the only exchange is that of the answers
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_small_results_stay_on_the_driver_and_large_ones_do_not(spark):
+    from weftline import session
+
+    small = session.settled(spark.range(10).toDF("k"), "small")
+    assert "LocalTableScan" in plan_of(small) and small.count() == 10
+    large = session.settled(spark.range(session.SMALL_ROWS + 1).toDF("k"), "large")
+    assert "parquet" in plan_of(large) and large.count() == session.SMALL_ROWS + 1
+
+
+def test_only_small_tables_are_spread(spark, documents):
+    from weftline.session import spread
+
+    assert "hashpartitioning(doc_id" in plan_of(spread(documents, "doc_id"))
+    assert "Exchange" not in plan_of(spread(documents, "doc_id", bytes_per_core=1))

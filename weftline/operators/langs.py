@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline import fixed_values as fixed
@@ -10,10 +11,14 @@ from weftline.session import settled
 
 
 def _listed(spark: SparkSession, table: str) -> DataFrame:
-    rows = [
-        (ord_, *line.split(" ", 1)) for ord_, line in enumerate(table.strip().splitlines())
-    ]
-    return spark.createDataFrame(rows, CODES)
+    entries = [line.split(" ", 1) for line in table.strip().splitlines()]
+    columns = {
+        "ord": pa.array(range(len(entries)), pa.int32()),
+        "code": [code for code, _ in entries],
+        "name": [name for _, name in entries],
+    }
+    # from Arrow, so that the planner knows the size and broadcasts by itself
+    return spark.createDataFrame(pa.table(columns))
 
 
 def two_letter_codes(spark: SparkSession) -> DataFrame:

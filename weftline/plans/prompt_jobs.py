@@ -20,7 +20,10 @@ def revision_requests(
     share: float = fixed.REVISED_SHARE,
     template: str = fixed.REVISION_SYSTEM,
 ) -> DataFrame:
-    """Requests for ``share`` of the prompts of every language and subset."""
+    """Requests for ``share`` of the prompts of every language and subset.
+
+    The share is of all rows; sampled rows without a prompt have nothing to revise.
+    """
     sampled = sample_frac(prompts, share, ["prompt_id"], seed, by=["lang_name", "subset"])
     keyed = sampled.select(
         "prompt_id",
@@ -31,7 +34,7 @@ def revision_requests(
         F.lit(0).alias("attempt"),
         request_id(REVISION_JOB, "prompt_id").alias("req_id"),
     )
-    return ask.revision_requests(keyed, template)
+    return ask.revision_requests(keyed, template).filter(F.col("prompt").isNotNull())
 
 
 def combine_revisions(prompts: DataFrame, requests: DataFrame, responses: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from weftline import fixed_values as fixed
 from weftline.functions.answers import with_message_list
@@ -30,10 +30,20 @@ def for_languages(conversations: DataFrame, names: Sequence[str]) -> DataFrame:
     return conversations.withColumn("lang_name", F.explode(targets))
 
 
-def with_messages(conversations: DataFrame) -> DataFrame:
-    """Source turns as ``messages``; conversations with an unknown role are left out."""
+def with_messages(conversations: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """Source turns as ``messages``; conversations with an unknown role are left out.
+
+    ``observation`` counts the conversations seen and those left out.
+    """
     mapped = conversations.withColumn("messages", map_roles(F.col("conversations")))
-    return mapped.filter(roles_known(F.col("messages")))
+    known = roles_known(F.col("messages"))
+    if observation is not None:
+        mapped = mapped.observe(
+            observation,
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(~known).alias("unknown_role"),
+        )
+    return mapped.filter(known)
 
 
 def token_limit(

@@ -3,7 +3,7 @@
 MESSAGES = "ARRAY<STRUCT<role: STRING, content: STRING>>"
 
 PROMPTS = (
-    "prompt_id STRING, index BIGINT, topic STRING, scenario STRING, text STRING, "
+    "prompt_id STRING, lang_name STRING, index BIGINT, topic STRING, scenario STRING, text STRING, "
     "prompt_type STRING, prompts ARRAY<STRING>, prompt STRING, revised_prompt STRING, "
     "final_prompt STRING, system_prompt STRING, response STRING, reasoning STRING"
 )

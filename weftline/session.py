@@ -29,17 +29,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: the stage boundary.
 
     What follows starts from files, so a lost executor repeats nothing before this
     point.  The size of the files is known when the next join is planned: a side
     below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast, a larger one shuffled.
+
+    With ``by`` the table is bucketed on that key, one file per bucket and as many buckets
+    as shuffle partitions.  Requests kept this way are joined to every lot of
+    answers without moving their texts again.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    bucketed = df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by)
+    bucketed.option("path", path).saveAsTable(table)
+    return spark.table(table)
 
 
 #: a result with at most this many (narrow) rows may come to the driver
@@ -51,8 +61,9 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
     At most ``SMALL_ROWS`` + 1 rows are fetched to find out.
     """
-    rows = df.limit(SMALL_ROWS + 1).collect()
-    if len(rows) <= SMALL_ROWS:
+    rows = df.limit(SMALL_ROWS + 1).toArrow()
+    if rows.num_rows <= SMALL_ROWS:
+        # an Arrow table becomes a local relation, whose size the planner knows
         return df.sparkSession.createDataFrame(rows, df.schema)
     return stored(df, name)
 

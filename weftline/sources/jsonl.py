@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
 
+from weftline.functions.text import filesafe
 from weftline.schemas import PROMPTS
 from weftline.session import is_complete
 
@@ -30,8 +30,12 @@ def write_jsonl(
 
 
 def write_prompts(df: DataFrame, root: str) -> None:
-    """Write prompts as ``root/lang=../subset=../``; REBALANCE splits a dominant language."""
-    df.hint("rebalance", "lang", "subset").write.partitionBy("lang", "subset").json(root)
+    """Write prompts as ``root/lang=../subset=../``, ``lang`` being the file-safe ``lang_name``.
+
+    REBALANCE gathers the rows of a folder and splits a dominant language.
+    """
+    placed = df.withColumn("lang", filesafe(F.col("lang_name")))
+    placed.hint("rebalance", "lang", "subset").write.partitionBy("lang", "subset").json(root)
 
 
 def read_prompts(spark: SparkSession, root: str, schema: str = PROMPTS) -> DataFrame:
