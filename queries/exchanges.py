@@ -7,16 +7,13 @@ from pyspark.sql import functions as F
 from queries.inputs import (
     SEED,
     SQL_FINAL_PROMPTS,
-    SQL_LANGUAGES,
     SQL_PROMPTS,
     SQL_REASONING,
     SQL_RESPONSE,
     SQL_REVISED,
     answer_responses,
     batch_lines,
-    list_answer,
     list_responses,
-    languages,
     prompts,
     quoted,
     revision_responses,
@@ -31,10 +28,10 @@ from queries.registry import query
 from weftline import fixed_values as fixed
 from weftline.functions.answers import with_parsed_answer
 from weftline.operators import langs
-from weftline.operators.exchange import attach, from_batch, pending, retry, teacher_map, to_batch
+from weftline.operators.exchange import attach, from_batch, pending, request_id, retry, teacher_map
 from weftline.plans import prompt_jobs
 from weftline.plans import requests as ask
-from weftline.schemas import TEACHER_ANSWER
+from weftline.schemas import BATCH_REQUEST, TEACHER_ANSWER
 from weftline.session import new_folder, stored
 from weftline.sources import batches
 from weftline.sources.jsonl import read_jsonl, read_prompts, write_jsonl, write_prompts
@@ -45,8 +42,6 @@ _ID = sql_request_id("context_prompts", "lang", "doc_id")
 
 def context_requests(spark, sf_dir):
     """One request per document."""
-    from weftline.operators.exchange import request_id
-
     documents = table(spark, sf_dir, "documents").withColumns(
         {
             "lang_name": F.col("lang"),
@@ -92,8 +87,6 @@ def subset_discovery(spark, sf_dir):
 def batch_requests(spark, sf_dir):
     path = new_folder(spark, "requests")
     batches.write_requests(context_requests(spark, sf_dir), path, model="teacher")
-    from weftline.schemas import BATCH_REQUEST
-
     lines = spark.read.schema(BATCH_REQUEST).json(path)
     body = F.col("body")
     return lines.select(

@@ -212,7 +212,8 @@ def shuffle(
     """
     if partitions is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    target = F.floor(key_bucket(F.col(KEY)) * F.lit(partitions) / F.lit(1 << 16)).cast("int")
+    place = F.conv(F.substring(F.col(KEY), 1, 8), 16, 10).cast("long")
+    target = F.floor(place * F.lit(partitions) / F.lit(1 << 32)).cast("int")
     keyed = df.withColumn(KEY, sample_key(id_cols, seed))
     return keyed.repartitionById(partitions, target).sortWithinPartitions(KEY).drop(KEY)
 

@@ -125,6 +125,7 @@ def train_set(
     id_cols: list[str],
     seed: int,
     columns: list[str] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Both kinds of rows, in random order.
 
@@ -132,7 +133,7 @@ def train_set(
     single texts the messages were made of need not.
     """
     rows = stack_subsets(generated, translations)
-    return shuffle(rows.select(*columns) if columns else rows, id_cols, seed)
+    return shuffle(rows.select(*columns) if columns else rows, id_cols, seed, partitions)
 
 
 def with_provenance(df: DataFrame) -> DataFrame:
