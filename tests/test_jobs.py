@@ -309,3 +309,31 @@ def test_only_small_tables_are_spread(spark, documents):
 
     assert "hashpartitioning(doc_id" in plan_of(spread(documents, "doc_id"))
     assert "Exchange" not in plan_of(spread(documents, "doc_id", bytes_per_core=1))
+
+
+def test_stream_takes_each_result_once_however_often_it_is_sent(spark):
+    from weftline.streaming.collect import collect_stream
+
+    requests = spark.range(50).select(F.md5(F.col("id").cast("string")).alias("req_id"))
+    folder = new_folder(spark, "stream")
+
+    def send(ids):
+        choice = F.struct(
+            F.lit("stop").alias("finish_reason"),
+            F.struct(F.lit("r").alias("reasoning"), F.lit("x").alias("content")).alias("message"),
+        )
+        body = F.struct(F.struct(F.array(choice).alias("choices")).alias("body"))
+        lines = ids.select(F.concat(F.lit("r-"), "req_id").alias("custom_id"), body.alias("response"))
+        lines.repartition(10).write.mode("append").json(f"{folder}/results")
+        run = collect_stream(spark, f"{folder}/results", requests, f"{folder}/out", f"{folder}/state")
+        run.awaitTermination()
+        return sorted(r["req_id"] for r in spark.read.parquet(f"{folder}/out").collect())
+
+    hot = spark.range(500).select(F.md5(F.lit("7")).alias("req_id"))
+    unknown = spark.range(5).select(F.md5(F.lit("other")).alias("req_id"))
+    all_ids = sorted(r["req_id"] for r in requests.collect())
+    first = requests.filter("req_id < '8'")
+    assert send(first.unionByName(hot).unionByName(unknown)) == sorted(
+        {i for i in all_ids if i < "8"} | {r["req_id"] for r in hot.limit(1).collect()}
+    )
+    assert send(requests.unionByName(hot)) == all_ids

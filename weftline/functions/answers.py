@@ -113,13 +113,17 @@ def single_output(outputs: Column) -> Column:
 
 
 def parse_message_list(text: Column) -> Column:
-    """ARRAY<MAP<STRING, VARIANT>> of a JSON or single-quoted message list, else null."""
-    whole = F.from_json(text, MESSAGE_MAPS, _JSON_READ)
-    as_element = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<variant>", _JSON_READ)
-    as_member = F.from_json(
+    """ARRAY<MAP<STRING, VARIANT>> of a JSON or single-quoted message list, else null.
+
+    Read inside a list and inside an object, as in :func:`parse_json_strict`.
+    """
+    in_list = F.from_json(
+        F.concat(F.lit("["), text, F.lit("]")), f"array<{MESSAGE_MAPS}>", _JSON_READ
+    )
+    in_object = F.from_json(
         F.concat(F.lit('{"w":'), text, F.lit("}")), "map<string,variant>", _JSON_READ
     )
-    return F.when(as_element.isNotNull() & as_member.isNotNull(), whole)
+    return F.when(in_object.isNotNull(), F.try_element_at(in_list, F.lit(1)))
 
 
 def literal_messages(text: Column) -> Column:

@@ -15,7 +15,9 @@ should be a stored table.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.session import join_same, settled, shared_dir
@@ -233,12 +235,11 @@ def with_row_index(
     placed = ordered.withColumn("_mono", F.monotonically_increasing_id())
     placed = placed.withColumn("_part", F.shiftright("_mono", 33).cast("int"))
     # one row per partition comes to the driver
-    sizes = sorted(placed.groupBy("_part").count().collect())
-    offsets, before = [], 0
-    for part, rows in sizes:
-        offsets.append((part, before))
-        before += rows
-    starts = spark.createDataFrame(offsets, "_part int, _start bigint")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("_part")
+    before = [0, *accumulate(sizes["n"].to_pylist())][: sizes.num_rows]
+    starts = spark.createDataFrame(
+        pa.table({"_part": sizes["_part"], "_start": pa.array(before, pa.int64())})
+    )
     position = F.col("_start") + F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         placed.join(F.broadcast(starts), "_part")
