@@ -218,7 +218,7 @@ def collect_stream_(spark, sf_dir):
     for lot in lots:
         lot.drop("doc_id").write.mode("append").json(f"{folder}/results")
         run = collect_stream(
-            spark, f"{folder}/results", requests, f"{folder}/answers", f"{folder}/checkpoint"
+            spark, f"{folder}/results", requests, f"{folder}/answers", f"{folder}/checkpoint", partitions=8
         )
         run.awaitTermination()
     answers = spark.read.schema(TEACHER_ANSWER).parquet(f"{folder}/answers")

@@ -30,20 +30,34 @@ def stream_results(spark: SparkSession, path: str, requests: DataFrame) -> DataF
 
 
 def collect_stream(
-    spark: SparkSession, path: str, requests: DataFrame, out: str, checkpoint: str
+    spark: SparkSession,
+    path: str,
+    requests: DataFrame,
+    out: str,
+    checkpoint: str,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Append the results that have arrived since the last call to ``out``, then stop.
 
     Called again with the same checkpoint it takes only new files: submit once,
     collect as often as needed.  The file sink commits each batch once, also
-    when a task or the driver is lost on the way.
+    when a task or the driver is lost on the way.  ``partitions`` is the number of state
+    partitions (default: shuffle partitions); the first call settles it for the checkpoint.
     """
-    return (
-        stream_results(spark, path, requests)
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .outputMode("append")
-        .start()
-    )
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    if partitions is not None:
+        spark.conf.set(setting, str(partitions))
+    try:
+        # the stream keeps the settings it is started with
+        return (
+            stream_results(spark, path, requests)
+            .writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .outputMode("append")
+            .start()
+        )
+    finally:
+        spark.conf.set(setting, before)
