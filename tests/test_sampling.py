@@ -49,6 +49,8 @@ def test_strict_sample_of_too_few_rows_fails(spark):
 
 def test_empty_input(spark):
     none = spark.range(0)
+    with pytest.raises(ValueError, match="5 rows wanted, 0 present"):
+        sample_n(none, 5, ["id"], 3, strict=True)
     assert sample_n(none, 5, ["id"], 3).count() == 0
     assert sample_frac(none, 0.5, ["id"], 3).count() == 0
     assert with_hash_index(none, ["id"], 3).count() == 0

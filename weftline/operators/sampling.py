@@ -83,6 +83,7 @@ def _sample(
     seed: int,
     by: Sequence[str] | None,
     total_name: str | None = None,
+    required: int = 0,
 ) -> DataFrame:
     by = list(by or [])
     key = sample_key(id_cols, seed)
@@ -91,6 +92,8 @@ def _sample(
         placed = join_same(df, cuts, by)
     else:
         only = cuts.first()
+        if only is None and required:
+            raise ValueError(f"{required} rows wanted, 0 present")
         cut, total = (only["_cut"], only["_total"]) if only else (None, None)
         placed = df.withColumns(
             {"_cut": F.lit(cut).cast("string"), "_total": F.lit(total).cast("long")}
@@ -120,7 +123,7 @@ def sample_n(
         short = F.raise_error(F.format_string("%d rows wanted, %d present", wanted, total))
         return F.when(total < wanted, short.cast("long")).otherwise(wanted)
 
-    return _sample(df, quota, id_cols, seed, by, total_name)
+    return _sample(df, quota, id_cols, seed, by, total_name, required=n if strict else 0)
 
 
 def cap_rows(
