@@ -130,6 +130,10 @@ def as_spans(found: Column, kind: str, order: int) -> Column:
     )
 
 
+def n_of_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def listed(spans: Column) -> Column:
     """``kind:start:end`` of sorted spans, joined by commas."""
     return F.array_join(
@@ -156,3 +160,51 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+def packed(df: DataFrame, text: str) -> DataFrame:
+    """All columns as one struct ``_row`` beside ``_text`` (null: empty), so that no name can clash."""
+    return df.select(
+        F.struct(*[F.col(c) for c in df.columns]).alias("_row"), text_or_empty(text).alias("_text")
+    )
+
+
+def unpacked(df: DataFrame, columns: Sequence[str], **added: Column) -> DataFrame:
+    """The columns of ``_row`` again, with ``added`` ones in place of those of the same name."""
+    taken = {name.lower() for name in added}
+    kept = [F.col("_row")[c].alias(c) for c in columns if c.lower() not in taken]
+    return df.select(*kept, *[column.alias(name) for name, column in added.items()])
+
+
+def replaced(text: Column, spans: Column, put: dict[str, str]) -> Column:
+    """``text`` with sorted spans cut out and the text for their kind put in; overlapping ones count as one."""
+    names = F.create_map(*[F.lit(x) for pair in put.items() for x in pair])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
+        grown = F.struct(
+            s["end"].alias("at"),
+            F.concat(state["out"], F.array(gap, F.coalesce(names[s["kind"]], F.lit("")))).alias("out"),
+        )
+        longer = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
+        return F.when(s["start"] >= state["at"], grown).otherwise(longer)
+
+    done = F.aggregate(
+        spans,
+        start,
+        step,
+        lambda state: F.concat(
+            F.array_join(state["out"], ""),
+            F.substring(text, state["at"] + 1, F.length(text)),
+        ),
+    )
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def clear_of(spans: Column, others: Column) -> Column:
+    """Spans that overlap none of ``others``."""
+    return F.filter(
+        spans,
+        lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])),
+    )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import quality
+from weftline.llm import pii, quality, secrets
 from weftline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         failed.alias("base_failed"),
         (q["kept"] & ~failed).alias("kept"),
     )
+
+
+# --- 3: personal data ------------------------------------------------------------------
+
+
+@query()
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal values and disclosing terms of all documents."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    columns = pii.digests(found)
+    return found.select("doc_id", *[c.alias(n) for n, c in columns.items()])
+
+
+# --- 5: secrets ------------------------------------------------------------------------
+
+
+@query()
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, by fixed forms and the Markov models."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    columns = secrets.digests(found)
+    return found.select("doc_id", *[c.alias(n) for n, c in columns.items()])
