@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import pii, quality, secrets
-from weftline.llm.common import table
+from weftline.llm import (
+    block_knn,
+    mixing,
+    ngram_join,
+    packing,
+    pii,
+    quality,
+    secrets,
+    sentence_spans,
+    suffix_dedup,
+    toxicity,
+)
+from weftline.llm.common import n_words, table
+from weftline.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,3 +113,115 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     columns = secrets.digests(found)
     return found.select("doc_id", *[c.alias(n) for n, c in columns.items()])
+
+
+# --- 1: mixing -------------------------------------------------------------------------
+
+OP1_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, '')) AS k,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS total, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+  FROM d GROUP BY source
+), p AS (
+  SELECT *, sum(total) OVER () AS all_sizes, sum(w) OVER () AS all_w,
+         coalesce(sum(3 * total) OVER o, 0) AS caps, coalesce(sum(w) OVER o, 0) AS cap_w
+  FROM s WINDOW o AS (ORDER BY total / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), c AS (
+  SELECT *, 3 * total < w::DOUBLE * (all_sizes - caps)::DOUBLE / (all_w - cap_w)::DOUBLE AS capped FROM p
+), r AS (
+  SELECT all_sizes - coalesce(sum(3 * total) FILTER (capped) OVER (), 0) AS rest,
+         all_w - coalesce(sum(w) FILTER (capped) OVER (), 0) AS free, *
+  FROM c
+), t AS (
+  SELECT source, total AS source_size,
+         CASE WHEN capped THEN (3 * total)::DOUBLE
+              ELSE w::DOUBLE * rest::DOUBLE / free::DOUBLE END AS target,
+         ('0x' || substr(md5('{mixing.SEED}|' || coalesce(source, '')), 1, 5))::BIGINT::DOUBLE / 1048576::DOUBLE AS u
+  FROM r
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, k) - 1 AS i FROM d
+), e AS (
+  SELECT n.doc_id, n.size, t.source_size, t.target, n.i, t.u,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0::DOUBLE END AS x
+  FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       size * (floor((i + 1) * x + u) - floor(i * x + u))::BIGINT AS taken
+FROM e
+"""
+
+
+@query(OP1_SQL)
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents")
+    narrow = stored(docs.select("doc_id", "source", n_words("text").alias("size")), "sizes")
+    taken = mixing.with_copies(narrow, F.col("size"))
+    return taken.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
+# --- 2: toxicity -----------------------------------------------------------------------
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from the labels of three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return toxicity.scored(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted"
+    )
+
+
+# --- 9: nearest neighbours -------------------------------------------------------------
+
+
+@query()
+def op9_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every row whose id is divisible by 50."""
+    return block_knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+# --- 10: packing -----------------------------------------------------------------------
+
+
+@query()
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents")).drop("ids")
+
+
+# --- 7: sentence spans -----------------------------------------------------------------
+
+
+@query()
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without sentences that stand in an earlier one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_spans.deduplicated(docs)
+
+
+# --- 4: n-gram join --------------------------------------------------------------------
+
+
+@query()
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document; copies of one text share their links."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.joined(docs).select("doc_id", "class_id", "n_links", "first")
+
+
+# --- 8: repeated byte strings ----------------------------------------------------------
+
+
+@query()
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that occur elsewhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.deduplicated(docs, with_kept=False).drop("text")
