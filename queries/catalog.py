@@ -3,6 +3,7 @@
 from queries import (  # noqa: F401
     answers,
     conversations,
+    evidence,
     exchanges,
     request_texts,
     texts_and_samples,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.inputs import (
+    new_folder,
     SEED,
     SQL_FINAL_PROMPTS,
     SQL_PROMPTS,
@@ -28,11 +29,11 @@ from queries.registry import query
 from weftline import fixed_values as fixed
 from weftline.functions.answers import with_parsed_answer
 from weftline.operators import langs
-from weftline.operators.exchange import attach, from_batch, pending, request_id, retry, teacher_map
+from weftline.operators.exchange import attach, from_batch, one_answer, pending, request_id, retry, teacher_map
 from weftline.plans import prompt_jobs
 from weftline.plans import requests as ask
 from weftline.schemas import BATCH_REQUEST, TEACHER_ANSWER
-from weftline.session import new_folder, stored
+from weftline.session import stored
 from weftline.sources import batches
 from weftline.sources.jsonl import read_jsonl, read_prompts, write_jsonl, write_prompts
 from weftline.streaming.collect import collect_stream
@@ -208,9 +209,13 @@ def collect_stream_(spark, sf_dir):
     lines = batch_lines(requests, "doc_id").join(
         requests.select(F.concat(F.lit("r-"), "req_id").alias("custom_id"), "doc_id"), "custom_id"
     )
+    # the first lot has some results of the second cut off before their end
+    early = lines.filter((F.col("doc_id") % 2 == 1) & (F.col("doc_id") % 5 == 1))
+    cut = F.transform("response.body.choices", lambda c: c.withField("finish_reason", F.lit("length")))
+    early = early.withColumn("response", F.struct(F.struct(cut.alias("choices")).alias("body")))
     stranger = F.concat(F.lit("r-"), F.md5(F.reverse("custom_id")))
     lots = [
-        lines.filter(F.col("doc_id") % 2 == 0),
+        lines.filter(F.col("doc_id") % 2 == 0).unionByName(early),
         lines.filter((F.col("doc_id") % 2 == 1) | (F.col("doc_id") % 3 == 0)).unionByName(
             lines.withColumn("custom_id", stranger)
         ),
@@ -222,7 +227,7 @@ def collect_stream_(spark, sf_dir):
         )
         run.awaitTermination()
     answers = spark.read.schema(TEACHER_ANSWER).parquet(f"{folder}/answers")
-    return requests.join(answers, "req_id").select("doc_id", "reasoning", "response")
+    return requests.join(one_answer(answers), "req_id").select("doc_id", "reasoning", "response")
 
 
 # --- Languages -----------------------------------------------------------------------
@@ -263,8 +268,7 @@ def corpus_first_code(spark, sf_dir):
 
 
 def _values(codes):
-    rows = [line.split(" ", 1) for line in codes.strip().splitlines()]
-    listed = ", ".join(f"({i}, {quoted(c)}, {quoted(n)})" for i, (c, n) in enumerate(rows))
+    listed = ", ".join(f"({i}, {quoted(c)}, {quoted(n)})" for i, (c, n) in enumerate(codes))
     return f"(VALUES {listed})"
 
 

@@ -7,14 +7,14 @@ The SQL states the expected outcome of each rule directly; it does not parse.
 
 from __future__ import annotations
 
+import tempfile
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from weftline import fixed_values as fixed
+from weftline import fixed_values as fixed, session
 from weftline.functions.text import TOKEN_PATTERN
 from weftline.functions.turns import map_role
-from weftline.session import spread
 
 SEED = 7
 RUN_LANGUAGE = "Basque"
@@ -29,14 +29,29 @@ SCHEMAS = {
 }
 
 
+def own_shared_dir(spark: SparkSession) -> None:
+    """A folder for stage tables where the session names none (tests, a local trial)."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="weftline-"))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder."""
+    own_shared_dir(spark)
+    return session.new_folder(spark, name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, by its known schema: no job to find it out."""
+    own_shared_dir(spark)
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents for work on their texts, over all cores."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    """The documents, as their files are split."""
+    return table(spark, sf_dir, "documents")
 
 
 # --- SQL text ------------------------------------------------------------------------
@@ -278,12 +293,20 @@ def answer_responses(requests: DataFrame) -> DataFrame:
     copies = F.when(number % 17 == 0, 0).when(number % 19 == 0, 2).otherwise(1)
     return requests.select(
         "req_id",
+        "prompt_id",
         F.when((number % 13 != 0) & (number % 11 != 0), F.concat(F.lit("because "), number.cast("string"))).alias(
             "reasoning"
         ),
         F.when(number % 13 != 0, F.concat(F.lit("Answer "), number.cast("string"))).alias("response"),
-        F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"),
-    ).drop("copy")
+        F.posexplode(F.array_repeat(F.lit(1), copies)).alias("nth", "copy"),
+    ).select("req_id", "reasoning", later_copy("response", number).alias("response"))
+
+
+def later_copy(text: str, number: Column) -> Column:
+    """Copies differ: the first of two is another text, or was cut off."""
+    again = F.concat(text, F.lit(" again"))
+    other = F.when(number % 2 == 0, again)
+    return F.when((number % 19 == 0) & (F.col("nth") == 0), other).otherwise(F.col(text))
 
 
 SQL_RESPONSE = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.inputs import (
+    new_folder,
     SEED,
     documents,
     list_answer,
@@ -22,12 +23,12 @@ from weftline.operators.sampling import (
     assign_round_robin,
     cap_rows,
     sample_frac,
-    sample_key,
+    shuffle,
     sample_n,
     with_row_index,
 )
 from weftline.plans.context_job import task_types
-from weftline.session import new_folder
+from weftline.plans.translation import english_only
 from weftline.sources.jsonl import freeze
 
 DOC_KEY = sql_key("doc_id")
@@ -77,8 +78,12 @@ def sample_frac_(spark, sf_dir):
     f"""SELECT doc_id, CAST(row_number() OVER (ORDER BY {DOC_KEY}) - 1 AS BIGINT) AS place FROM documents"""
 )
 def shuffle_order(spark, sf_dir):
-    ids = table(spark, sf_dir, "documents").select("doc_id")
-    return with_row_index(ids.withColumn("key", sample_key(["doc_id"], SEED)), ["key"], "place").drop("key")
+    """The order of the written table: by file, and by place in the file."""
+    path = new_folder(spark, "shuffled")
+    shuffle(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SEED).write.parquet(path)
+    where = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
+    written = spark.read.schema("doc_id BIGINT").parquet(path).select("doc_id", *where)
+    return with_row_index(written, ["file", "row"], "place").select("doc_id", "place")
 
 
 @query(
@@ -117,7 +122,7 @@ def frozen_sample(spark, sf_dir):
 
 @query("SELECT doc_id, n_chars FROM documents WHERE lang = 'en'")
 def source_lang_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select("doc_id", "n_chars")
+    return english_only(table(spark, sf_dir, "documents"), "lang").select("doc_id", "n_chars")
 
 
 _PICK = (

@@ -11,6 +11,7 @@ from queries.inputs import (
     SQL_REASONING,
     SQL_RESPONSE,
     answer_responses,
+    new_folder,
     prompts,
     sql_render,
     quoted,
@@ -19,7 +20,7 @@ from queries.inputs import (
 from queries.registry import query
 from weftline import fixed_values as fixed
 from weftline.plans import prompt_jobs, train_set
-from weftline.session import new_folder, stored
+from weftline.session import stored
 from weftline.sources.jsonl import write_jsonl
 
 

@@ -135,7 +135,45 @@ def test_turn_checks_do_not_depend_on_where_counting_begins(spark):
     )
     gap = turns_of(spark, {7: (0, [("user", "a")])}).unionByName(turns_of(spark, {7: (3, [("assistant", "a")])}))
     rows = {r["conv_id"]: r["valid"] for r in check_turns(turns.unionByName(gap)).collect()}
-    assert rows == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 7: False}
+    assert rows == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 7: True}
+
+
+def turn_rows(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+
+def test_turn_numbers_only_give_the_order(spark):
+    turns = turn_rows(
+        spark,
+        [
+            (1, 9000, "user", "a"), (1, 9001, "assistant", "b"),
+            (2, 10, "user", "a"), (2, 20, "assistant", "b"),
+            (3, 0, "user", "a"), (3, 0, "user", "b"), (3, 2, "user", "c"),
+            (4, 0, "user", "a"), (4, 0, "user", "b"), (4, 3, "user", "c"), (4, 3, "assistant", "d"),
+            (5, 1_700_000_000_000, "user", "a"), (5, -4, "assistant", "b"),
+            (6, None, "user", "a"), (6, 1, "assistant", "b"), (None, 1, "user", "a"),
+        ],
+    )
+    rows = {r["conv_id"]: (r["n_turns"], r["valid"]) for r in check_turns(turns).collect()}
+    assert rows == {1: (2, True), 2: (2, True), 3: (3, False), 4: (4, False), 5: (2, False), 6: (2, False)}
+    gathered = {r["conv_id"]: [t["value"] for t in r["conversations"]] for r in gather_turns(turns, 2048).collect()}
+    assert gathered[1] == ["a", "b"] and gathered[5] == ["b", "a"] and len(gathered[4]) == 4
+    wide = turn_rows(spark, [(1, t, "human" if i % 2 == 0 else "gpt", "w") for i, t in enumerate([0, 1, 5000, 5001])])
+    assert len(gather_turns(wide, 2048).first()["conversations"]) == 4
+
+
+def test_a_conversation_of_a_million_turns_is_not_gathered(spark):
+    hot = spark.range(1_000_000).select(
+        F.lit(1).cast("long").alias("conv_id"),
+        (F.col("id") * 3 + 5).alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("").alias("text"),
+    )
+    small = turn_rows(spark, [(2, 4, "user", "a"), (2, 9, "assistant", "b")])
+    both = hot.unionByName(small)
+    rows = {r["conv_id"]: (r["n_turns"], r["valid"]) for r in check_turns(both).collect()}
+    assert rows == {1: (1_000_000, True), 2: (2, True)}
+    assert [r["conv_id"] for r in gather_turns(both, 2048).collect()] == [2]
 
 
 def test_gather_leaves_out_what_cannot_keep_the_limit(spark):
@@ -295,20 +333,72 @@ def test_bucketed_requests_are_not_moved_by_a_join(spark):
     assert plan.count("Exchange hashpartitioning") == 1, plan
 
 
-def test_small_results_stay_on_the_driver_and_large_ones_do_not(spark):
+def test_the_shared_folder_has_to_be_named(spark):
     from weftline import session
 
-    small = session.settled(spark.range(10).toDF("k"), "small")
-    assert "LocalTableScan" in plan_of(small) and small.count() == 10
-    large = session.settled(spark.range(session.SMALL_ROWS + 1).toDF("k"), "large")
-    assert "parquet" in plan_of(large) and large.count() == session.SMALL_ROWS + 1
+    class Unset:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Unset)
+
+
+def test_stages_are_removed_on_demand(spark):
+    from weftline import session
+
+    kept = session.stored(spark.range(10).toDF("k"), "gone-later")
+    assert kept.count() == 10
+    assert session.remove_stages(spark) >= 1
+    with pytest.raises(Exception):  # noqa: B017
+        kept.count()
+
 
+def test_numbering_moves_wide_rows_once(spark, documents):
+    from weftline.operators.sampling import with_hash_index
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(with_hash_index(documents, ["doc_id"], 3, by=["lang"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # one scan reads the texts, and one exchange stands above it
+    wide = [line for line in plan.splitlines() if "text#" in line and "Exchange" in line]
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "text" in line.split("ReadSchema")[-1]]
+    assert len(scans) == 1 and len(wide) <= 1, plan
 
-def test_only_small_tables_are_spread(spark, documents):
-    from weftline.session import spread
 
-    assert "hashpartitioning(doc_id" in plan_of(spread(documents, "doc_id"))
-    assert "Exchange" not in plan_of(spread(documents, "doc_id", bytes_per_core=1))
+def test_stream_gives_what_attach_gives_for_every_order(spark):
+    """A cut-off result, two different texts and a foreign line, in every order of two lots."""
+    from itertools import permutations
+
+    from weftline.operators.exchange import from_batch, one_answer
+    from weftline.schemas import BATCH_RESULT
+    from weftline.streaming.collect import collect_stream
+
+    ids = [f"{i:032x}" for i in range(2)]
+    requests = spark.createDataFrame([(i,) for i in ids], "req_id string")
+
+    def line(own, reason, text):
+        message = f'{{"reasoning": "r", "content": "{text}"}}'
+        return (f'{{"custom_id": "{own}", "response": {{"body": {{"choices": [{{"finish_reason": "{reason}", "message": {message}}}]}}}}}}',)
+
+    lots = [
+        [line(f"r-{ids[0]}", "length", "cut"), line("someone-else", "stop", "x")],
+        [line(f"r-{ids[0]}", "stop", "Beta"), line(f"r-{ids[1]}", "stop", "one")],
+        [line(f"r-{ids[0]}", "stop", "Alpha")],
+    ]
+    for order in permutations(range(3)):
+        folder = new_folder(spark, "orders")
+        for n in order:
+            spark.createDataFrame(lots[n], "value string").coalesce(1).write.mode("append").text(f"{folder}/in")
+            collect_stream(spark, f"{folder}/in", requests, f"{folder}/out", f"{folder}/state", partitions=2).awaitTermination()
+        streamed = {r["req_id"]: r["response"] for r in one_answer(spark.read.parquet(f"{folder}/out")).collect()}
+        batch = from_batch(spark.read.schema(BATCH_RESULT).json(f"{folder}/in"))
+        assert batch.filter("req_id IS NULL").count() == 1
+        whole = {r["req_id"]: r["response"] for r in attach(requests, batch).collect()}
+        assert streamed == whole == {ids[0]: "Alpha", ids[1]: "one"}
 
 
 def test_stream_takes_each_result_once_however_often_it_is_sent(spark):

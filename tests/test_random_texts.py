@@ -26,12 +26,6 @@ def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "i int, x string").repartition(8)
 
 
-def model_clean(text):
-    if text.strip().lower().startswith("json"):
-        text = text.strip()[4:]
-    return text.split("```json")[-1].replace("```", "")
-
-
 def model_loads(text):
     """JSON value, or the marker for unreadable; numbers out of the ordinary are left out of the texts."""
 
@@ -46,32 +40,43 @@ def model_loads(text):
         return Ellipsis
 
 
-JSON_PIECES = ["json", "JSON", "```json", "```", '{"k":', "}", '"a"', "[", "]", ",", " ", "\n", "1", "null", '["a", "b"]', " ", '{"k": ["x", 2]}']
+def known_answer(rng):
+    """An answer put together from known parts, and the part that has to be found in it."""
+    payload = rng.choice(['{"k": ["a", 7, "b"]}', '{"k": "lone"}', '{"k": 5}', "[1, 2]", "null", "1", "{", "text", '{"k": ["x"]} tail'])
+    payload = rng.choice(["", " ", "\n"]) + payload + rng.choice(["", "\n"])
+    kind = rng.randrange(4)
+    if kind == 0:  # bare; nothing is cut
+        return payload, payload
+    if kind == 1:  # the word first, white space around: the end is cut, the space behind the word stays
+        word = rng.choice(["json", "JSON", "Json"])
+        blank = rng.choice(["", " ", "\n \t"])
+        return blank + word + payload + blank, payload.rstrip()
+    before = rng.choice(["Here it is: ", "", "```json\n{}\n``` or "])
+    if kind == 2:  # a fence, closed or not
+        return f"{before}```json{payload}{rng.choice(['```', ''])}", payload
+    # fences without the word only disappear
+    lead = rng.choice(["Here: ", "so "])
+    return f"{lead}```{payload}```", f"{lead}{payload}"
 
 
 def test_json_answers(spark):
-    texts = random_texts(JSON_PIECES, 12000, 7, seed=1)
+    rng = random.Random(1)
+    pairs = dict(known_answer(rng) for _ in range(12000))
+    texts = list(pairs)
     parsed = with_parsed_answer(frame(spark, texts), "x")
     rows = parsed.select(
         "i", clean_json_answer(F.col("x")), F.col("parsed").isNotNull(), string_or_list(F.col("parsed"), "k")
     ).collect()
     assert len(rows) == len(texts)
+    lists = {'{"k": ["a", 7, "b"]}': ["a", "b"], '{"k": "lone"}': ["lone"]}
     readable = 0
     for i, cleaned, is_readable, found in rows:
-        text = texts[i]
-        assert cleaned == model_clean(text), repr(text)
-        value = model_loads(cleaned)
-        assert is_readable == (value is not Ellipsis), repr(text)
-        expected = value.get("k") if isinstance(value, dict) else None
-        if isinstance(expected, list):
-            expected = [e for e in expected if isinstance(e, str)]
-        elif isinstance(expected, str):
-            expected = [expected]
-        else:
-            expected = None
-        assert found == expected, repr(text)
+        part = pairs[texts[i]]
+        assert cleaned == part, repr(texts[i])
+        assert is_readable == (model_loads(part) is not Ellipsis), repr(texts[i])
+        assert found == lists.get(part.strip()), repr(texts[i])
         readable += is_readable
-    assert readable > 200
+    assert readable > 50
 
 
 def test_strict_json_on_tails(spark):
@@ -82,20 +87,22 @@ def test_strict_json_on_tails(spark):
 
 
 def test_reasoning_and_strip(spark):
-    pieces = ["analysis", "assistantfinal", "assistant", " ", "\n", "a", "　", "final"]
-    texts = random_texts(pieces, 3000, 7, seed=3)
-    split = split_reasoning(F.col("x"))
-    for i, pair, stripped in frame(spark, texts).select("i", split, strip(F.col("x"))).collect():
-        text = texts[i]
-        assert stripped == text.strip()
-        expected = (None, None)
-        if "assistantfinal" in text:
-            body = text.strip()
-            if body.startswith("analysis"):
-                body = body[len("analysis"):].strip()
-            parts = body.split("assistantfinal")
-            expected = (parts[0], parts[-1])
-        assert tuple(pair) == expected, repr(text)
+    """Answers out of a thinking part, markers and what is said; the parts are what has to come out."""
+    rng = random.Random(3)
+    blanks = ["", " ", "\n", "\u3000"]
+    known = {}
+    for _ in range(3000):
+        thinking = rng.choice(["a", "a b\nc", "final", "assist"])
+        said = rng.choice(["x", "x y", "final"])
+        middle = "".join(f"m{k}assistantfinal" for k in range(rng.randrange(3)))
+        start, around = rng.choice(["analysis", ""]), rng.choice(blanks)
+        text = f"{around}{start}{thinking}assistantfinal{middle}{said}{around}"
+        known[text] = (thinking, said)
+        known[f"{around}{start}{thinking}{said}{around}"] = (None, None)
+    texts = list(known)
+    for i, pair, stripped in frame(spark, texts).select("i", split_reasoning(F.col("x")), strip(F.col("x"))).collect():
+        assert tuple(pair) == known[texts[i]], repr(texts[i])
+        assert stripped == texts[i].strip()
 
 
 def test_message_lists(spark):

@@ -163,166 +163,166 @@ TRANSLATED_SYSTEM = "Be concise in your responses."
 # The script-code table (about 240 rows) is not kept here: it is a parameter, read with
 # ``weftline.operators.langs.read_codes`` from a file with columns ord, code, name.
 
-TWO_LETTER_CODES = """
-am Amharic
-ar Arabic
-as Assamese
-bn Bengali
-cs Czech
-da Danish
-de German
-el Greek
-en English
-es Spanish
-fa Persian
-fi Finnish
-fil Filipino
-fr French
-gu Gujarati
-ha Hausa
-he Hebrew
-hi Hindi
-hu Hungarian
-id Indonesian
-ig Igbo
-it Italian
-ja Japanese
-km Khmer
-kn Kannada
-ko Korean
-ky Kyrgyz
-lt Lithuanian
-mg Malagasy
-ml Malayalam
-mr Marathi
-ms Malay
-my Burmese
-ne Nepali
-nl Dutch
-no Norwegian
-ny Chichewa
-or Oriya
-pa Punjabi
-pl Polish
-pt Portuguese
-ro Romanian
-ru Russian
-si Sinhala
-sn Shona
-so Somali
-sr Serbian
-sv Swedish
-sw Swahili
-ta Tamil
-te Telugu
-th Thai
-tr Turkish
-uk Ukrainian
-vi Vietnamese
-yo Yoruba
-zh Simplified Chinese
-zh_cn Simplified Chinese
-zh_hk Hong Kong Chinese
-zh_tw Traditional Chinese
-"""
+TWO_LETTER_CODES = [
+    ("am", "Amharic"),
+    ("ar", "Arabic"),
+    ("as", "Assamese"),
+    ("bn", "Bengali"),
+    ("cs", "Czech"),
+    ("da", "Danish"),
+    ("de", "German"),
+    ("el", "Greek"),
+    ("en", "English"),
+    ("es", "Spanish"),
+    ("fa", "Persian"),
+    ("fi", "Finnish"),
+    ("fil", "Filipino"),
+    ("fr", "French"),
+    ("gu", "Gujarati"),
+    ("ha", "Hausa"),
+    ("he", "Hebrew"),
+    ("hi", "Hindi"),
+    ("hu", "Hungarian"),
+    ("id", "Indonesian"),
+    ("ig", "Igbo"),
+    ("it", "Italian"),
+    ("ja", "Japanese"),
+    ("km", "Khmer"),
+    ("kn", "Kannada"),
+    ("ko", "Korean"),
+    ("ky", "Kyrgyz"),
+    ("lt", "Lithuanian"),
+    ("mg", "Malagasy"),
+    ("ml", "Malayalam"),
+    ("mr", "Marathi"),
+    ("ms", "Malay"),
+    ("my", "Burmese"),
+    ("ne", "Nepali"),
+    ("nl", "Dutch"),
+    ("no", "Norwegian"),
+    ("ny", "Chichewa"),
+    ("or", "Oriya"),
+    ("pa", "Punjabi"),
+    ("pl", "Polish"),
+    ("pt", "Portuguese"),
+    ("ro", "Romanian"),
+    ("ru", "Russian"),
+    ("si", "Sinhala"),
+    ("sn", "Shona"),
+    ("so", "Somali"),
+    ("sr", "Serbian"),
+    ("sv", "Swedish"),
+    ("sw", "Swahili"),
+    ("ta", "Tamil"),
+    ("te", "Telugu"),
+    ("th", "Thai"),
+    ("tr", "Turkish"),
+    ("uk", "Ukrainian"),
+    ("vi", "Vietnamese"),
+    ("yo", "Yoruba"),
+    ("zh", "Simplified Chinese"),
+    ("zh_cn", "Simplified Chinese"),
+    ("zh_hk", "Hong Kong Chinese"),
+    ("zh_tw", "Traditional Chinese"),
+]
 
-THREE_LETTER_CODES = """
-afr Afrikaans
-amh Amharic
-ara Arabic
-asm Assamese
-aym Aymara
-aze Azerbaijani
-bem Bemba
-ben Bengali
-bod Tibetan
-bos Bosnian
-bul Bulgarian
-cat Catalan
-ces Czech
-cym Welsh
-deu German
-ell Greek
-eng English
-epo Esperanto
-ewe Ewe
-fas Persian
-fil Filipino
-fon Fon
-fra French
-gla Scottish Gaelic
-gle Irish
-guj Gujarati
-hat Haitian Creole
-hau Hausa
-heb Hebrew
-hin Hindi
-hrv Croatian
-hun Hungarian
-hye Armenian
-ibo Igbo
-ind Indonesian
-isl Icelandic
-ita Italian
-jpn Japanese
-kan Kannada
-kat Georgian
-khm Khmer
-kin Kinyarwanda
-kir Kirghiz
-kor Korean
-kur Kurdish
-lao Lao
-lav Latvian
-lin Lingala
-lit Lithuanian
-lug Luganda
-mal Malayalam
-mar Marathi
-mkd Macedonian
-mlg Malagasy
-mon Mongolian
-mya Burmese
-nde North Ndebele
-nep Nepali
-nld Dutch
-ori Oriya
-orm Oromo
-pan Panjabi
-pol Polish
-por Portuguese
-prs Dari
-pus Pushto
-ron Romanian
-run Rundi
-rus Russian
-sin Sinhala
-slk Slovak
-slv Slovenian
-sna Shona
-som Somali
-sot Sotho
-spa Spanish
-sqi Albanian
-srp Serbian
-swa Swahili
-swe Swedish
-tam Tamil
-tel Telugu
-tgk Tajik
-tha Thai
-tir Tigrinya
-tur Turkish
-twi Twi
-ukr Ukrainian
-urd Urdu
-uzb Uzbek
-vai Vai
-vie Vietnamese
-wol Wolof
-xho Xhosa
-yor Yoruba
-yue Yue Chinese
-zho Chinese
-zul Zulu
-"""
+THREE_LETTER_CODES = [
+    ("afr", "Afrikaans"),
+    ("amh", "Amharic"),
+    ("ara", "Arabic"),
+    ("asm", "Assamese"),
+    ("aym", "Aymara"),
+    ("aze", "Azerbaijani"),
+    ("bem", "Bemba"),
+    ("ben", "Bengali"),
+    ("bod", "Tibetan"),
+    ("bos", "Bosnian"),
+    ("bul", "Bulgarian"),
+    ("cat", "Catalan"),
+    ("ces", "Czech"),
+    ("cym", "Welsh"),
+    ("deu", "German"),
+    ("ell", "Greek"),
+    ("eng", "English"),
+    ("epo", "Esperanto"),
+    ("ewe", "Ewe"),
+    ("fas", "Persian"),
+    ("fil", "Filipino"),
+    ("fon", "Fon"),
+    ("fra", "French"),
+    ("gla", "Scottish Gaelic"),
+    ("gle", "Irish"),
+    ("guj", "Gujarati"),
+    ("hat", "Haitian Creole"),
+    ("hau", "Hausa"),
+    ("heb", "Hebrew"),
+    ("hin", "Hindi"),
+    ("hrv", "Croatian"),
+    ("hun", "Hungarian"),
+    ("hye", "Armenian"),
+    ("ibo", "Igbo"),
+    ("ind", "Indonesian"),
+    ("isl", "Icelandic"),
+    ("ita", "Italian"),
+    ("jpn", "Japanese"),
+    ("kan", "Kannada"),
+    ("kat", "Georgian"),
+    ("khm", "Khmer"),
+    ("kin", "Kinyarwanda"),
+    ("kir", "Kirghiz"),
+    ("kor", "Korean"),
+    ("kur", "Kurdish"),
+    ("lao", "Lao"),
+    ("lav", "Latvian"),
+    ("lin", "Lingala"),
+    ("lit", "Lithuanian"),
+    ("lug", "Luganda"),
+    ("mal", "Malayalam"),
+    ("mar", "Marathi"),
+    ("mkd", "Macedonian"),
+    ("mlg", "Malagasy"),
+    ("mon", "Mongolian"),
+    ("mya", "Burmese"),
+    ("nde", "North Ndebele"),
+    ("nep", "Nepali"),
+    ("nld", "Dutch"),
+    ("ori", "Oriya"),
+    ("orm", "Oromo"),
+    ("pan", "Panjabi"),
+    ("pol", "Polish"),
+    ("por", "Portuguese"),
+    ("prs", "Dari"),
+    ("pus", "Pushto"),
+    ("ron", "Romanian"),
+    ("run", "Rundi"),
+    ("rus", "Russian"),
+    ("sin", "Sinhala"),
+    ("slk", "Slovak"),
+    ("slv", "Slovenian"),
+    ("sna", "Shona"),
+    ("som", "Somali"),
+    ("sot", "Sotho"),
+    ("spa", "Spanish"),
+    ("sqi", "Albanian"),
+    ("srp", "Serbian"),
+    ("swa", "Swahili"),
+    ("swe", "Swedish"),
+    ("tam", "Tamil"),
+    ("tel", "Telugu"),
+    ("tgk", "Tajik"),
+    ("tha", "Thai"),
+    ("tir", "Tigrinya"),
+    ("tur", "Turkish"),
+    ("twi", "Twi"),
+    ("ukr", "Ukrainian"),
+    ("urd", "Urdu"),
+    ("uzb", "Uzbek"),
+    ("vai", "Vai"),
+    ("vie", "Vietnamese"),
+    ("wol", "Wolof"),
+    ("xho", "Xhosa"),
+    ("yor", "Yoruba"),
+    ("yue", "Yue Chinese"),
+    ("zho", "Chinese"),
+    ("zul", "Zulu"),
+]

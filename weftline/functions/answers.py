@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline import fixed_values as fixed
-from weftline.functions.text import WHITE_SPACE, strip
+from weftline.functions.text import strip
 
 MESSAGE_MAPS = "array<map<string,variant>>"
 _JSON_READ = {"allowBackslashEscapingAnyCharacter": "true"}
@@ -26,8 +26,9 @@ def clean_json_answer(answer: Column) -> Column:
     An answer that begins with the word json, whatever its case, is stripped and
     loses that word first.
     """
-    space = f"[{WHITE_SPACE}]*"
-    cut = F.regexp_replace(answer, f"(?is)^{space}json(.*?){space}\\z", "$1")
+    bare = strip(answer)
+    has_word = F.lower(F.substring(bare, 1, 4)) == "json"
+    cut = F.when(has_word, F.substring(bare, F.lit(5), F.length(bare))).otherwise(answer)
     return F.replace(F.split_part(cut, F.lit("```json"), F.lit(-1)), F.lit("```"), F.lit(""))
 
 

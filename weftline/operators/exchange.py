@@ -11,6 +11,7 @@ from weftline import fixed_values as fixed
 from weftline.functions.answers import finish_gate
 from weftline.functions.turns import chat_payload
 from weftline.schemas import TEACHER_ANSWER
+from weftline.session import stored
 
 
 def request_id(job: str, *key: Column | str, attempt: Column | int = 0) -> Column:
@@ -42,12 +43,13 @@ def to_batch(
 def from_batch(lines: DataFrame, *keep: str) -> DataFrame:
     """``req_id, reasoning, response`` of batch result lines (and the columns to ``keep``).
 
-    Only a first choice that finished by itself counts; anything else is a null pair.
+    Only a first choice that finished by itself counts; anything else is a null pair.  A line
+    of somebody else has a null ``req_id``.
     """
     choice = F.try_element_at(F.col("response.body.choices"), F.lit(1))
     stopped = choice["finish_reason"]
     return lines.select(
-        F.regexp_extract("custom_id", "^r-([0-9a-f]{32})", 1).alias("req_id"),
+        F.nullif(F.regexp_extract("custom_id", "^r-([0-9a-f]{32})", 1), F.lit("")).alias("req_id"),
         finish_gate(choice["message"]["reasoning"], stopped).alias("reasoning"),
         finish_gate(choice["message"]["content"], stopped).alias("response"),
         *keep,
@@ -128,6 +130,9 @@ def teacher_map(
     ``make_client`` is called once per task.  What it returns is called with
     (system prompt, prompt) and gives ``{"reasoning": ..., "response": ...}``; an
     exception makes a null pair of that row only.
+
+    The answers are stored before anything uses them: a second action, or a task run again
+    after it, does not ask (and pay) again.
     """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,4 +156,5 @@ def teacher_map(
             )
 
     asked = requests.select("req_id", "system_prompt", "prompt")
-    return asked.repartition(partitions, "req_id").mapInPandas(call, TEACHER_ANSWER)
+    answers = asked.repartition(partitions, "req_id").mapInPandas(call, TEACHER_ANSWER)
+    return stored(answers, "teacher-answers")

@@ -7,11 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline import fixed_values as fixed
 from weftline.schemas import CODES
-from weftline.session import settled
+from weftline.session import stored
 
 
-def _listed(spark: SparkSession, table: str) -> DataFrame:
-    entries = [line.split(" ", 1) for line in table.strip().splitlines()]
+def _listed(spark: SparkSession, entries: list[tuple[str, str]]) -> DataFrame:
     columns = {
         "ord": pa.array(range(len(entries)), pa.int32()),
         "code": [code for code, _ in entries],
@@ -79,11 +78,11 @@ def corpus_of_languages(
 ) -> DataFrame:
     """Corpus rows of the chosen code of each language, with ``lang_name``.
 
-    The choice (a row per language) is settled first, so that its size is known and the
+    The choice (a row per language) is stored first, so that its size is known and the
     texts are joined where they are.
     """
     chosen = first_corpus_code(corpus, code_col, codes)
     if names is not None:
         chosen = chosen.join(names.select(F.col("lang_name").alias("name")).distinct(), "name", "left_semi")
     chosen = chosen.select(F.col("code").alias(code_col), F.col("name").alias("lang_name"))
-    return corpus.join(settled(chosen, "chosen-codes"), code_col)
+    return corpus.join(stored(chosen, "chosen-codes"), code_col)

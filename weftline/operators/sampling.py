@@ -20,7 +20,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftline.session import join_same, settled, shared_dir
+from weftline.session import join_same, shared_dir, stored
 
 KEY = "_sample_key"
 BUCKET = "_sample_bucket"
@@ -57,7 +57,7 @@ def _find_edge(bins: Column, quota: Column) -> Column:
 def _cuts(keys: DataFrame, by: list[str], quota: Callable[[Column], Column]) -> DataFrame:
     """Per group the largest key of its sample and its rows; nothing for an empty sample.
 
-    A row per group, settled twice on the way: each step reads the narrow key column once.
+    A row per group, stored twice on the way: each step reads the narrow key column once.
     """
     bucketed = keys.withColumn(BUCKET, key_bucket(F.col(KEY)))
     counts = bucketed.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("n"))
@@ -70,10 +70,10 @@ def _cuts(keys: DataFrame, by: list[str], quota: Callable[[Column], Column]) ->
         .select(*by, "total", F.inline(F.array(_find_edge(F.col("bins"), quota(F.col("total"))))))
         .select(*by, "total", F.col("edge").alias(BUCKET), "rest")
     )
-    inside = join_same(bucketed, settled(edges, "sample-edges"), [*by, BUCKET])
+    inside = join_same(bucketed, stored(edges, "sample-edges"), [*by, BUCKET])
     rank = F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(KEY))
     cut = inside.withColumn("_rank", rank).filter(F.col("_rank") == F.col("rest"))
-    return settled(cut.select(*by, F.col(KEY).alias("_cut"), F.col("total").alias("_total")), "sample-cuts")
+    return stored(cut.select(*by, F.col(KEY).alias("_cut"), F.col("total").alias("_total")), "sample-cuts")
 
 
 def _sample(
@@ -157,18 +157,15 @@ def with_hash_index(
 ) -> DataFrame:
     """Number rows from 0 in random order (within ``by`` groups).
 
-    Rows are numbered inside their bucket; the rows of the buckets before are added
-    from the bucket counts.  One shuffle of the rows by (group, bucket), so a group of
-    any size is spread over 4,096 sort groups, and nothing needs a checkpoint.
+    Only keys are numbered: inside their bucket, plus the rows of the buckets before, so a group of any
+    size is spread over 4,096 sort groups.  The numbers are then joined to the rows, whose
+    long columns go through one exchange, or none where the numbers are small.
     """
-    by = list(by or [])
-    keyed = df.withColumn(KEY, sample_key(id_cols, seed))
+    by, ids = list(by or []), list(id_cols)
+    own = [*by, *[c for c in ids if c not in by]]
+    keyed = df.select(*own, sample_key(ids, seed).alias(KEY))
     keyed = keyed.withColumn(BUCKET, key_bucket(F.col(KEY), 3))
-    counts = (
-        df.select(*by, sample_key(id_cols, seed).alias(KEY))
-        .groupBy(*by, key_bucket(F.col(KEY), 3).alias(BUCKET))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = keyed.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("n"))
     bins = counts.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct(F.col(BUCKET).alias("bucket"), "n"))).alias("bins")
     )
@@ -188,8 +185,9 @@ def with_hash_index(
     )
     before = bins.select(*by, F.inline(offsets)).withColumnsRenamed({"bucket": BUCKET, "n": "_before"})
     rank = F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(KEY))
-    placed = join_same(keyed.withColumn("_rank", rank), before, [*by, BUCKET])
-    return placed.withColumn(name, F.col("_before") + F.col("_rank") - 1).select(*df.columns, name)
+    placed = join_same(keyed.withColumn("_rank", rank), before, by, BUCKET)
+    numbers = placed.select(*own, (F.col("_before") + F.col("_rank") - 1).alias(name))
+    return join_same(df, numbers, own).select(*df.columns, name)
 
 
 def assign_round_robin(

@@ -1,7 +1,7 @@
 """Conversations kept one turn per row (``conv_id, turn, role, text``).
 
-``turn`` counts without gaps from the conversation's lowest value, and is
-unique inside it.
+``turn`` gives the order of a conversation's turns and nothing else: numbers may begin anywhere, have gaps
+or be timestamps.  Rows without a ``conv_id`` belong to no conversation and are left out.
 """
 
 from __future__ import annotations
@@ -9,64 +9,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.functions.text import TokenCounter, is_sound_text, token_count
+from weftline.operators.sampling import with_row_index
 
 
 def check_turns(turns: DataFrame, counter: TokenCounter | None = None) -> DataFrame:
     """Per conversation: turns, tokens and whether it is well formed.
 
-    Well formed: user and assistant in turn, the user first, all texts sound, no turn
-    missing.  Sums only, combined map-side, so one conversation with very many
-    turns is no burden: whether the first turn is an even or an odd one is not known
-    before the end, so misfits are counted for both cases.
+    Well formed: user and assistant by turns, the user first, all texts sound, no turn number
+    missing its value or given twice.  The place of a turn is its row number over all turns in
+    order, less the smallest of its conversation; rows are numbered without gathering a conversation.
+    Whether the smallest is even is not known before the end, so misfits are counted for both
+    cases, in sums that are combined before they are shuffled.
     """
-    even = F.pmod(F.col("turn"), F.lit(2)) == 0
-    sound = is_sound_text(F.col("text"))
-    fits_even = F.coalesce(sound & (F.col("role") == F.when(even, "user").otherwise("assistant")), F.lit(False))
-    fits_odd = F.coalesce(sound & (F.col("role") == F.when(even, "assistant").otherwise("user")), F.lit(False))
-    sums = turns.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_turns"),
-        F.sum(token_count(F.col("text"), counter)).alias("n_tokens"),
-        F.min("turn").alias("first"),
-        F.max("turn").alias("last"),
-        F.count_if(~fits_even).alias("misfits_even"),
-        F.count_if(~fits_odd).alias("misfits_odd"),
+    narrow = turns.filter(F.col("conv_id").isNotNull()).select(
+        "conv_id",
+        "turn",
+        "role",
+        is_sound_text(F.col("text")).alias("sound"),
+        token_count(F.col("text"), counter).alias("tokens"),
+    )
+    placed = with_row_index(narrow, ["conv_id", "turn"], "_place")
+    even = F.pmod(F.col("_place"), F.lit(2)) == 0
+    sound = F.col("sound") & F.col("turn").isNotNull()
+    fits_even = sound & (F.col("role") == F.when(even, "user").otherwise("assistant"))
+    fits_odd = sound & (F.col("role") == F.when(even, "assistant").otherwise("user"))
+    by_turn = placed.groupBy("conv_id", "turn").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("tokens").alias("tokens"),
+        F.min("_place").alias("first"),
+        F.count_if(~F.coalesce(fits_even, F.lit(False))).alias("misfits_even"),
+        F.count_if(~F.coalesce(fits_odd, F.lit(False))).alias("misfits_odd"),
+    )
+    sums = by_turn.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"),
+        F.sum("tokens").alias("n_tokens"),
+        F.max("n").alias("most"),
+        F.min("first").alias("first"),
+        F.sum("misfits_even").alias("misfits_even"),
+        F.sum("misfits_odd").alias("misfits_odd"),
     )
     misfits = F.when(F.pmod(F.col("first"), F.lit(2)) == 0, F.col("misfits_even")).otherwise(
         F.col("misfits_odd")
     )
-    whole = F.col("last") - F.col("first") + 1 == F.col("n_turns")
-    return sums.select("conv_id", "n_turns", "n_tokens", ((misfits == 0) & whole).alias("valid"))
+    valid = (misfits == 0) & (F.col("most") == 1)
+    return sums.select("conv_id", "n_turns", "n_tokens", valid.alias("valid"))
 
 
 def gather_turns(
-    turns: DataFrame,
-    max_tokens: int,
-    lowest_turn: int = 0,
-    counter: TokenCounter | None = None,
+    turns: DataFrame, max_tokens: int, counter: TokenCounter | None = None
 ) -> DataFrame:
-    """``conv_id, conversations`` of the conversations that can keep a token limit.
+    """``conv_id, conversations`` of the conversations that can keep a token limit, turns in order.
 
-    A turn costs at least one token, so a conversation within ``max_tokens`` has no
-    turn numbered ``lowest_turn + 1 + max_tokens`` or more (numbering may begin at
-    ``lowest_turn`` or one later), and no turn above the limit by itself.  The rows
-    past that are left out before the shuffle and over-long texts travel as nulls,
-    which bounds every gathered group; a conversation that lost something this way
-    is over the limit and is not returned.  What is returned is whole.
+    A conversation's texts have no more tokens than any form it is sent in, and it has no more turns (every
+    such form has a sign of its own for a turn), so both are summed first.  Only conversations with at most ``max_tokens``
+    of either are gathered, whole, and no group is larger than that.  The rows of a long one are dropped by a
+    semi-join with the conversations that stay, whose large partitions Spark splits.
     """
-    last_allowed = lowest_turn + max_tokens + 1
-    fits = token_count(F.col("text"), counter) <= max_tokens
-    entry = F.struct(
-        "turn",
-        F.col("role").alias("from"),
-        F.when(fits, F.col("text")).alias("value"),
-        (F.col("text").isNotNull() & ~F.coalesce(fits, F.lit(True))).alias("too_long"),
+    sizes = turns.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_turns"),
+        F.sum(F.coalesce(token_count(F.col("text"), counter), F.lit(0))).alias("n_tokens"),
     )
+    fits = (F.col("n_turns") <= max_tokens) & (F.col("n_tokens") <= max_tokens)
+    kept = sizes.filter(fits).select("conv_id")
+    entry = F.struct("turn", F.col("role").alias("from"), F.col("text").alias("value"))
     gathered = (
-        turns.filter(F.col("turn") <= last_allowed)
+        turns.join(kept, "conv_id", "left_semi")
         .groupBy("conv_id")
         .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-        .filter(F.size("entries") <= max_tokens)
-        .filter(~F.exists("entries", lambda e: e["too_long"]))
     )
-    source = F.transform("entries", lambda e: F.struct(e["from"].alias("from"), e["value"].alias("value")))
+    source = F.transform(
+        "entries", lambda e: F.struct(e["from"].alias("from"), e["value"].alias("value"))
+    )
     return gathered.select("conv_id", source.alias("conversations"))

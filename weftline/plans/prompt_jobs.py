@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftline import fixed_values as fixed
 from weftline.functions.answers import string_value, with_parsed_answer
-from weftline.operators.exchange import attach, coalesce_update, request_id
+from weftline.operators.exchange import attach, coalesce_update, one_answer, request_id
 from weftline.operators.sampling import sample_frac
 from weftline.plans import requests as ask
 
@@ -66,10 +66,11 @@ def combine_responses(
     """All prompts with ``final_prompt``, ``system_prompt``, ``response``, ``reasoning``.
 
     The request id follows from the prompt id, so the answers are joined to the
-    prompts themselves and the request table is not read again.
+    prompts themselves and the request table is not read again.  Of several answers to one
+    request the same one counts as in ``attach``.
     """
     placed = prompts.withColumn("has_context", F.col("subset") == "contextual")
     final = ask.answer_requests(placed, template)
     final = final.withColumn("_key", request_id(ANSWER_JOB, "prompt_id"))
-    answers = responses.select(F.col("req_id").alias("_key"), "response", "reasoning")
+    answers = one_answer(responses).withColumnRenamed("req_id", "_key")
     return coalesce_update(final, answers, "_key", ["response", "reasoning"]).drop("_key")

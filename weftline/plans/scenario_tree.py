@@ -27,7 +27,13 @@ def roots(langs: DataFrame) -> DataFrame:
     )
 
 
-def scenario_requests(scenarios: DataFrame, n: Column | int = fixed.BROAD_SCENARIOS) -> DataFrame:
+def scenarios_wanted() -> Column:
+    """How many scenarios a request asks for: broad ones at the root, detailed ones below."""
+    return F.when(F.col("level") == 0, fixed.BROAD_SCENARIOS).otherwise(fixed.DETAILED_SCENARIOS)
+
+
+def scenario_requests(scenarios: DataFrame, n: Column | int | None = None) -> DataFrame:
+    n = scenarios_wanted() if n is None else n
     keyed = scenarios.withColumns(
         {
             "target_lang": F.when(F.col("branch") == "target", F.col("lang_name")),

@@ -10,9 +10,10 @@ from weftline import fixed_values as fixed
 from weftline.functions.answers import with_message_list
 from weftline.functions.text import TokenCounter, within_tokens
 from weftline.functions.turns import map_roles, roles_known
-from weftline.operators.exchange import attach, request_id
+from weftline.operators.exchange import attach, request_id, to_batch
 from weftline.operators.sampling import sample_n
 from weftline.plans import requests as ask
+from weftline.sources.jsonl import freeze
 
 JOB = "translations"
 
@@ -21,7 +22,12 @@ def english_sample(
     conversations: DataFrame, seed: int, n: int = fixed.TRANSLATION_ROWS, id_col: str = "conv_id"
 ) -> DataFrame:
     """Exactly ``n`` conversations detected as English; fewer are an error."""
-    return sample_n(conversations.filter(F.col("langdetect") == "en"), n, [id_col], seed, strict=True)
+    return sample_n(english_only(conversations), n, [id_col], seed, strict=True)
+
+
+def english_only(rows: DataFrame, column: str = "langdetect") -> DataFrame:
+    """Rows whose detected language is English."""
+    return rows.filter(F.col(column) == "en")
 
 
 def for_languages(conversations: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -59,6 +65,29 @@ def translation_requests(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return ask.translation_requests(keyed)
 
 
+def translation_batch(requests: DataFrame, model: str, **settings) -> DataFrame:
+    """Batch lines of translation requests, with the longer output that translations need."""
+    longest = settings.pop("max_tokens", fixed.TRANSLATION_MAX_OUTPUT_TOKENS)
+    return to_batch(requests, model, max_tokens=longest, **settings)
+
+
+def english_requests(
+    conversations: DataFrame,
+    names: Sequence[str],
+    path: str,
+    seed: int,
+    n: int = fixed.TRANSLATION_ROWS,
+    limit: int = fixed.TRANSLATION_MAX_INPUT_TOKENS,
+    id_col: str = "conv_id",
+    counter: TokenCounter | None = None,
+) -> DataFrame:
+    """The head of the job: exact sample of the English conversations, frozen at ``path``, and
+    requests for those within the token limit, one per language."""
+    frozen = freeze(english_sample(conversations, seed, n, id_col), path)
+    limited = token_limit(with_messages(frozen), limit, counter)
+    return translation_requests(for_languages(limited, names), id_col)
+
+
 def translated(
     requests: DataFrame, responses: DataFrame, python_literals: bool = True
 ) -> DataFrame:

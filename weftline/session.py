@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -10,18 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    context = spark.sparkContext
+    """The folder named by ``spark.checkpoint.dir``; it has to be set, also in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is not None:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
-    return context.getCheckpointDir()
+    if named is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -29,6 +23,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: folders of stage tables that this process has written and not yet removed
+_STAGES: list[str] = []
+
+
+def remove_stages(spark: SparkSession) -> int:
+    """Delete the stage tables written so far; to be called once a job's output is complete.
+
+    DataFrames that start from them can no longer be used.  Returns how many there were.
+    """
+    removed = 0
+    while _STAGES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
+
+
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: the stage boundary.
 
@@ -42,6 +52,7 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    _STAGES.append(path)
     if by is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
@@ -52,41 +63,19 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.table(table)
 
 
-#: a result with at most this many (narrow) rows may come to the driver
-SMALL_ROWS = 10_000
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """A narrow result computed now: held by the driver if small, else a stored table.
-
-    At most ``SMALL_ROWS`` + 1 rows are fetched to find out.
-    """
-    rows = df.limit(SMALL_ROWS + 1).toArrow()
-    if rows.num_rows <= SMALL_ROWS:
-        # an Arrow table becomes a local relation, whose size the planner knows
-        return df.sparkSession.createDataFrame(rows, df.schema)
-    return stored(df, name)
-
-
-def spread(df: DataFrame, key: str, bytes_per_core: int = 64 << 20) -> DataFrame:
-    """A small table over all cores, by hash of ``key``; a large one as its files are split.
-
-    A file of one row group is read by one task, however many cores there are.  Beyond
-    ``bytes_per_core`` for every core the scan has tasks enough, and nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if size >= bytes_per_core * cores else df.repartition(cores, key)
-
-
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a write to ``path`` was finished, not only begun."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
-def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on equal ``keys`` where two nulls are equal, with the keys of the left."""
-    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], *plain: str) -> DataFrame:
+    """Inner join on equal ``keys`` where two nulls are equal, with the keys of the left.
+
+    ``plain`` names further keys that are never null.
+    """
+    both = [*keys, *plain]
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in both})
     condition = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
-    return left.join(renamed, condition).drop(*[f"_same_{k}" for k in keys])
+    condition += [F.col(k) == F.col(f"_same_{k}") for k in plain]
+    return left.join(renamed, condition).drop(*[f"_same_{k}" for k in both])

@@ -14,19 +14,21 @@ SPREAD = 64
 
 
 def stream_results(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
-    """Streaming ``req_id, reasoning, response`` of result files, one row per request.
+    """Streaming ``req_id, reasoning, response`` of result files, each different answer once.
 
-    Copies are removed in two steps, first among the files that share a salt: a result
-    sent very often reaches the join and the second step as at most ``SPREAD`` rows,
-    ever.  Unknown ids are dropped by the join with the request table.  The state is an
-    id per result and salt; no watermark would lose late files.
+    Lines of unknown requests are dropped first, so they leave no state.  Copies are removed in two
+    steps, first among the files that share a salt: a result sent very often reaches the second step
+    as at most ``SPREAD`` rows, ever.  Different answers to one request are all kept, and
+    ``one_answer`` chooses among them on reading, whatever order they came in.  The
+    state is a hash per answer and salt; no watermark would lose late files.
     """
     lines = spark.readStream.schema(BATCH_RESULT).json(path)
     origin = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
-    salted = from_batch(lines.withColumn("salt", F.pmod(origin, F.lit(SPREAD))), "salt")
-    thinned = salted.dropDuplicates(["req_id", "salt"]).drop("salt")
-    known = thinned.join(requests.select("req_id"), "req_id", "left_semi")
-    return known.dropDuplicates(["req_id"])
+    results = from_batch(lines.withColumn("salt", F.pmod(origin, F.lit(SPREAD))), "salt")
+    known = results.join(requests.select("req_id"), "req_id", "left_semi")
+    hashed = known.withColumn("pair", F.xxhash64("reasoning", "response"))
+    thinned = hashed.dropDuplicates(["req_id", "pair", "salt"])
+    return thinned.dropDuplicates(["req_id", "pair"]).select("req_id", "reasoning", "response")
 
 
 def collect_stream(
@@ -40,7 +42,8 @@ def collect_stream(
     """Append the results that have arrived since the last call to ``out``, then stop.
 
     Called again with the same checkpoint it takes only new files: submit once,
-    collect as often as needed.  The file sink commits each batch once, also
+    collect as often as needed.  A closed lot of requests gets a checkpoint of its own.  Read ``out``
+    by ``attach`` or ``one_answer``: a request may have several answers there.  The file sink commits each batch once, also
     when a task or the driver is lost on the way.  ``partitions`` is the number of state
     partitions (default: shuffle partitions); the first call settles it for the checkpoint.
     """
