@@ -26,6 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from weftline.session import stored
+
 #: labelled rows the model is fitted on, at most
 TRAIN_ROWS = 20_000
 MAX_ENTRIES = 2_000
@@ -171,12 +173,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
         .limit(limit)
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(chosen, "doc_id").select("text", "toxic")
+    # at most ``limit`` ids and labels, so their size is bounded
+    return texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
     """Learn lexicon, exceptions and curve from labelled rows."""
-    rows = training_rows(docs, labels, limit)
+    rows = stored(training_rows(docs, labels, limit), "training-texts")
     schema = "feature string, pos long, neg long"
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
