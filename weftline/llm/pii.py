@@ -101,7 +101,7 @@ def terms_of(text: Column) -> Column:
 
 
 def entity_contexts(df: DataFrame) -> DataFrame:
-    """Distinct ``(entity, terms)``: what stands around each occurrence of a personal value."""
+    """Distinct ``(entity, terms)`` and one text of each: what stands around each occurrence of a personal value."""
     found = base_found(df.select("_text"))
 
     def around(m: Column) -> Column:
@@ -123,8 +123,11 @@ def entity_contexts(df: DataFrame) -> DataFrame:
             ),
         )
 
-    near = found.select(F.explode(F.concat(*[entities(kind) for kind, _ in BASE])).alias("e")).select("e.entity", "e.context")
-    return near.select("entity", F.array_sort(terms_of(F.col("context"))).alias("terms")).distinct()
+    every = F.concat(*[entities(kind) for kind, _ in BASE])
+    near = found.select(F.xxhash64("_text").alias("text_hash"), F.explode(every).alias("e"))
+    terms = F.array_sort(terms_of(F.col("e.context"))).alias("terms")
+    near = near.select(F.col("e.entity").alias("entity"), terms, "text_hash")
+    return near.groupBy("entity", "terms").agg(F.min("text_hash").alias("text_hash"))
 
 
 def disclosing_terms(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -144,7 +147,16 @@ def disclosing_terms(df: DataFrame, text: str = "text") -> tuple[DataFrame, Data
         .agg(F.count(F.lit(1)).alias("n_both"))
         .filter(F.col("n_both") >= SUPPORT)
     )
-    pairs = stored(pairs, "entity-terms")
+    # texts with the term near some entity are part of all texts with it: what already fails
+    # against their number cannot pass against all
+    near = (
+        contexts.select("text_hash", F.explode("terms").alias("term"))
+        .distinct()
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("n_near"))
+    )
+    can_pass = F.col("n_both") >= F.col("n_near") * F.lit(2.0**-GENERALISED_BITS)
+    pairs = stored(pairs.join(near, "term").filter(can_pass).drop("n_near"), "entity-terms")
     candidates = pairs.select("term").distinct()
     held = (
         rows.select(F.xxhash64("_text").alias("text_hash"), F.explode(terms_of(F.col("_text"))).alias("term"))
