@@ -9,6 +9,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from weftline.session import stored
+
 #: a word: code points other than ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -208,3 +210,31 @@ def clear_of(spans: Column, others: Column) -> Column:
         spans,
         lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])),
     )
+
+
+#: bits of a key filter: one megabyte, whatever the number of keys
+FILTER_BITS = 1 << 23
+_CHUNK = 1 << 15
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the hashes of ``keys``, at most ``FILTER_BITS`` long: ``(_chunk, _bits)``, at most 256 rows of 4 KB."""
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(FILTER_BITS))
+    hashed = keys.select(F.floor(place / _CHUNK).cast("int").alias("_chunk"), (place % _CHUNK).alias("_at"))
+    bits = hashed.groupBy("_chunk").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    return stored(bits, "key-filter")
+
+
+def may_match(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """``df`` with ``_may``: false only where ``key`` is none of the filter's keys.
+
+    Rows that cannot match need not be shuffled for a join.  The bitmap has a fixed size, so it is broadcast; with more
+    keys than it can tell apart it lets more rows through, and the join decides as before.
+    """
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(FILTER_BITS))
+    own = df.withColumn("_chunk", F.floor(place / _CHUNK).cast("int"))
+    joined = own.join(F.broadcast(bitmap), "_chunk", "left")
+    at = place % _CHUNK
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2.0), at % 8)) % 2 == 1
+    return joined.withColumn("_may", F.coalesce(bit, F.lit(False))).drop("_chunk", "_bits")

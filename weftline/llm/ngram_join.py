@@ -7,6 +7,9 @@ to the smallest set under their prefix, so edges grow with the sets and not with
 then verified exactly against each other, all of them, in tiles of at most twice ``BLOCK`` sets: a tile is a matrix
 product over their common shingles, and gives each set its number of links and its class.  Copies count once.
 
+Joins are by shuffle at every size; of the texts only those that can be candidates by a bitmap of fixed size
+go through one.
+
 Words are what stands between white space, in lower case.  A text of one to four words has them
 as its only shingle.
 
@@ -23,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftline.llm.common import packed, unpacked
+from weftline.llm.common import key_filter, may_match, packed, unpacked
 from weftline.llm.components import components
 from weftline.session import stored
 
@@ -187,12 +190,12 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
         .agg(F.min("_set").alias("a"), F.max("_set").alias("z"))
         .filter(F.col("a") < F.col("z"))
     )
-    edges = under.join(least.select("label", "a"), "label").select("a", F.col("_set").alias("b"))
+    edges = under.join(least.select("label", "a").hint("merge"), "label").select("a", F.col("_set").alias("b"))
     hanging = components(edges, "candidates").select(F.col("node").alias("_set"), "root")
     # one row for each candidate set carries its shingles on
     one = (
         rows.select("_set", "_uid")
-        .join(hanging, "_set")
+        .join(hanging.hint("merge"), "_set")
         .groupBy("_set", "root")
         .agg(F.min("_uid").alias("_uid"))
     )
@@ -202,7 +205,9 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     placed = one.join(sizes, "root").withColumns(
         {"blocks": blocks, "block": F.pmod(F.xxhash64("_set", F.lit(1)), blocks).cast("int")}
     )
-    members = with_shingles(rows.select("_uid", "_text").join(placed, "_uid"))
+    texts = may_match(rows.select("_uid", "_text"), "_uid", key_filter(one, "_uid"))
+    texts = texts.filter("_may").drop("_may")
+    members = with_shingles(texts.join(placed.hint("merge"), "_uid"))
     tiles = members.select(
         "root",
         "block",
