@@ -17,6 +17,7 @@ other columns of the input are not looked at.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -36,47 +37,93 @@ GROUP = 8192
 SEARCH_STEPS = 1500
 #: a bin with less than this share filled is packed again in the next round
 UNDERFULL = 0.97
-#: parts of texts whose ids are kept in a task, and their longest length
-KEPT_PARTS = 300_000
+#: parts of texts whose ids are kept in a task before the table is emptied, and their longest length
+KEPT_PARTS = 600_000
 LONGEST_PART = 64
+#: what often stands behind a word
+MARKS = ".,;:!?"
 
 
 class PartCodes:
-    """Token ids of texts as little-endian unsigned 32-bit numbers."""
+    """Token ids of texts as little-endian unsigned 32-bit numbers.
+
+    Parts that are words of letters are encoded together, as one text: every word is one unit of the tokenizer,
+    and its last token ends in ``WORD_END``.  If there are not as many ends as words (letters that
+    fall apart when they are normalised), each is encoded by itself, as are all other parts.
+    """
+
+    WORD_END = "</w>"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        tokens = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(tokens.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in tokens.items() if t.endswith(self.WORD_END)]] = True
+        self.marks: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {"": b""}
 
+    def each(self, parts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def words(self, parts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(parts), 2000):
+            own = parts[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(own):
+                out += self.each(own)
+                continue
+            code, start = ids.tobytes(), 0
+            for stop in stops:
+                out.append(code[start:stop])
+                start = stop
+        return out
+
+    def learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Codes of parts; marks behind a word and capitals in plain letters need no encoding of their own."""
+        words: dict[str, None] = {}
+        made, others = [], []
+        for part in missing:
+            base = part.rstrip(MARKS)
+            mark = part[len(base) :]
+            if not base.isalpha():
+                others.append(part)
+                continue
+            if base.isascii():
+                base = base.lower()
+            elif not unicodedata.normalize("NFC", base).lower().isalpha():
+                others.append(part)  # falls apart into letters and accents
+                continue
+            if mark and mark not in self.marks:
+                (self.marks[mark],) = self.each([mark])
+            made.append((part, base, mark))
+            if base not in self.known:
+                words[base] = None
+        new = dict(zip(words, self.words(list(words)), strict=True))
+        for part, base, mark in made:
+            code = new[base] if base in new else self.known[base]
+            new[part] = code + self.marks[mark] if mark else code
+        new.update(zip(others, self.each(others), strict=True))
+        return new
+
     def codes(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list({p for ps in parts for p in ps if p not in self.known})
-        found = self.known
+        if len(self.known) > KEPT_PARTS:
+            self.known, self.marks = {"": b""}, {}
+        known = self.known
+        missing = list({p for ps in parts for p in ps if p not in known})
         if missing:
-            encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            new = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(missing, encoded, strict=True)}
-            if len(self.known) + len(new) > KEPT_PARTS:
-                self.known = {"": b""}
-            found = self.known | new if len(missing) > KEPT_PARTS else self.known
-            if found is self.known:
-                found.update(new)
-        joined = []
-        for ps in parts:
-            try:
-                joined.append(b"".join(map(found.__getitem__, ps)))
-            except KeyError:  # the table was emptied for this batch
-                joined.append(self.plain(ps))
+            known.update(self.learn(missing))
+        joined = [b"".join(map(known.__getitem__, ps)) for ps in parts]
         for part in missing:
             if len(part) > LONGEST_PART:
-                self.known.pop(part, None)
+                del known[part]
         return joined
 
-    def plain(self, parts: list[str]) -> bytes:
-        encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return b"".join(np.array(e.ids, "<u4").tobytes() for e in encoded)
-
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, ids binary"
 
