@@ -70,27 +70,31 @@ def only_digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def base_found(df: DataFrame) -> DataFrame:
-    """Add ``_found_<kind>`` of the fixed forms for ``_text``, failing matches dropped."""
-    text = F.col("_text")
-    df = matched(df, "_text", BASE, {"email": text.contains("@"), "phone": text.contains("+")})
-
-    def card(m: Column) -> Column:
-        digits = only_digits(m["value"])
+def holds(kind: str, value: Column) -> Column:
+    """Whether a match of a form is a value of its kind."""
+    if kind == "ip":
+        return F.forall(F.split(value, r"\."), lambda p: p.rlike(AT_MOST_255))
+    if kind == "card":
+        digits = only_digits(value)
         return (F.length(digits) <= 19) & luhn(digits)
+    if kind == "phone":
+        return F.length(only_digits(value)).between(9, 15)
+    return F.lit(True)
+
+
+def can_hold(text: Column) -> dict[str, Column]:
+    """Cheap conditions without which a text has no match of a kind."""
+    return {"email": text.contains("@"), "phone": text.contains("+")}
 
-    return df.withColumns(
-        {
-            "_found_ip": F.filter(
-                "_found_ip",
-                lambda m: F.forall(F.split(m["value"], r"\."), lambda p: p.rlike(AT_MOST_255)),
-            ),
-            "_found_card": F.filter("_found_card", card),
-            "_found_phone": F.filter(
-                "_found_phone", lambda m: F.length(only_digits(m["value"])).between(9, 15)
-            ),
-        }
-    )
+
+def kept_matches(kind: str) -> Column:
+    return F.filter(f"_found_{kind}", lambda m: holds(kind, m["value"]))
+
+
+def base_found(df: DataFrame) -> DataFrame:
+    """Add ``_found_<kind>`` of the fixed forms for ``_text``, failing matches dropped."""
+    df = matched(df, "_text", BASE, can_hold(F.col("_text")))
+    return df.withColumns({f"_found_{kind}": kept_matches(kind) for kind, _ in BASE[1:]})
 
 
 def terms_of(text: Column) -> Column:
@@ -101,27 +105,46 @@ def terms_of(text: Column) -> Column:
 
 
 def entity_contexts(df: DataFrame) -> DataFrame:
-    """Distinct ``(entity, terms)`` and one text of each: what stands around each occurrence of a personal value."""
-    found = base_found(df.select("_text"))
-
-    def around(m: Column) -> Column:
-        left = F.substring(F.col("_text"), F.greatest(m["start"] - CONTEXT, F.lit(0)) + 1,
-                           F.least(m["start"], F.lit(CONTEXT)))
-        right = F.substring(F.col("_text"), m["end"] + 1, F.lit(CONTEXT))
-        # words that the window cuts in two are left out
-        return F.concat(
-            F.regexp_replace(left, r"^\S*", ""), F.lit(" "), F.regexp_replace(right, r"\S*$", "")
-        )
+    """Distinct ``(entity, terms)`` and one text of each: what stands around each occurrence of a personal value.
+
+    A text is cut at the matches of a form; the pieces before and behind a match give its context, so no text is
+    gone through once for each match.
+    """
+    found = df.select("_text")
+    needs = can_hold(F.col("_text"))
+    none = F.array().cast("array<string>")
+    for kind, pattern in BASE:
+        values = F.regexp_extract_all(F.col("_text"), F.lit(f"({pattern})"), F.lit(0))
+        values = F.when(needs.get(kind, F.lit(True)), values)
+        found = found.withColumn(f"_v_{kind}", F.coalesce(values, none))
+    for kind, pattern in BASE:
+        cut = F.when(F.size(f"_v_{kind}") > 0, F.split(F.col("_text"), pattern, -1)).otherwise(none)
+        found = found.withColumn(f"_p_{kind}", cut)
 
     def entities(kind: str) -> Column:
         same = F.lower if kind in ("email", "ip") else only_digits
-        return F.transform(
-            f"_found_{kind}",
-            lambda m: F.struct(
-                F.concat(F.lit(f"{kind}:"), same(m["value"])).alias("entity"),
-                around(m).alias("context"),
-            ),
-        )
+        values, pieces = F.col(f"_v_{kind}"), F.col(f"_p_{kind}")
+
+        def one(value: Column, i: Column) -> Column:
+            # words that the window cuts in two are left out
+            before, behind = F.get(pieces, i), F.get(pieces, i + 1)
+            left = F.when(
+                F.length(before) > CONTEXT,
+                F.regexp_replace(F.substring(before, -CONTEXT, CONTEXT), r"^\S*+", ""),
+            ).otherwise(before)
+            right = F.when(
+                F.length(behind) > CONTEXT,
+                F.regexp_replace(F.substring(behind, 1, CONTEXT), r"\S*+$", ""),
+            ).otherwise(behind)
+            return F.when(
+                holds(kind, value),
+                F.struct(
+                    F.concat(F.lit(f"{kind}:"), same(value)).alias("entity"),
+                    F.concat(left, F.lit(" "), right).alias("context"),
+                ),
+            )
+
+        return F.array_compact(F.transform(values, one))
 
     every = F.concat(*[entities(kind) for kind, _ in BASE])
     near = found.select(F.xxhash64("_text").alias("text_hash"), F.explode(every).alias("e"))
