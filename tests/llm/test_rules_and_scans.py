@@ -98,15 +98,18 @@ def test_many_matches_in_one_text_keep_their_places(spark):
 
 def test_long_runs_take_linear_time(spark):
     text = "a" * 300_000 + " " + "1." * 100_000 + " x@" + "a." * 50_000 + " " + "9" * 200_000
-    row = pii.find(docs(spark, [text])).first()
-    assert as_tuples(row["base_spans"]) == plain_personal(text[:300_001] + text[300_001:])
+    spans = as_tuples(pii.find(docs(spark, [text])).first()["base_spans"])
+    kinds = [s[3] for s in spans]
+    start = text.index("x@")
+    assert kinds.count("ip") == 25_000 and len(kinds) == 25_001
+    assert spans[-1] == (start, 0, start + 2 + 99_999, "email")
     assert secrets.scan(docs(spark, ["f" * 300_000])).first()["spans"][0]["end"] == 300_000
 
 
 def test_disclosing_terms_are_found_by_corpus_evidence(spark):
     near = [f"Call Quillfeather about matter {w} at ann@mail.example.com before noon" for w in ("red", "blue", "green", "grey")]
     other = [f"the matter {w} came up before noon and nobody minded at all" for w in ("oak", "elm", "ash", "fir", "yew")]
-    copies = ["Call Onlyonce at bob@mail.example.com now"] * 6
+    copies = ["Ring Onlyonce at bob@mail.example.com now"] * 6
     table = docs(spark, near + other + copies + ["Quillfeather wrote about oak trees"])
     rows = {r["doc_id"]: r for r in pii.find(table).collect()}
     for i in range(4):
@@ -124,7 +127,7 @@ def test_disclosing_terms_are_found_by_corpus_evidence(spark):
 
 def test_disclosing_terms_equal_a_plain_count(spark):
     """Shares of texts, counted by hand on a fixture."""
-    texts = [f"Alder meets Birch number {i} near 10.0.0.1 today ok{chr(97 + i)}" for i in range(4)]
+    texts = [f"So Alder meets Birch {w} near 10.0.0.1 today" for w in ("one", "two", "three", "four")]
     texts += [f"Birch alone again {chr(97 + i)}" for i in range(3)]
     terms, _ = pii.disclosing_terms(docs(spark, texts))
     found = {r["term"]: round(r["bits"], 6) for r in terms.collect()}
@@ -196,7 +199,7 @@ def test_repeated_windows_equal_a_plain_count(spark, texts):
 
 
 def test_rules_name_what_fails(spark):
-    good = " ".join(f"the w{i} of" for i in range(60))
+    good = " ".join(f"the word{i} of" for i in range(60))
     rows = quality.judge(docs(spark, [good, "# " * 100, None])).orderBy("doc_id").collect()
     assert rows[0]["quality"]["kept"] and not rows[0]["quality"]["failed"]
     assert "symbols" in rows[1]["quality"]["failed"] and not rows[2]["quality"]["kept"]

@@ -1,8 +1,8 @@
 """Secret scan: fixed forms, and a character Markov model against ordinary identifiers.
 
 Two first-order Markov models over :data:`ALPHABET` give every token a log-likelihood ratio.  They are trained from
-labelled samples of the corpus itself: strings inside the fixed forms (and base64 texts of
-their digests, so that random strings are not only hexadecimal) are the random ones, words
+labelled samples of the corpus itself: strings inside the fixed forms (and ``DIGESTS`` base64 texts of
+digests, so that random strings are not only hexadecimal) are the random ones, words
 that read as identifiers the ordinary ones, each distinct string once.  What
 comes to the driver are the transition counts, at most 2 x 68 x 68 rows.
 
@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weftline.llm.common import (
     Span,
     as_spans,
-    clear_of,
     listed,
     matched,
     n_of_kind,
@@ -42,6 +41,11 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 
 BASE = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))
 
+#: random strings made besides those found in the corpus
+DIGESTS = 2048
+#: weight of a character's overall share in its share after another one
+BACKOFF = 10.0
+
 #: a token is taken as random at this mean log ratio per transition and this sum, in nats
 MEAN_RATIO = 0.5
 SUM_RATIO = 12.0
@@ -77,8 +81,9 @@ def samples(df: DataFrame) -> DataFrame:
         F.transform("_found_hex", lambda m: m["value"]),
     )
     known = found.select(F.explode(inside).alias("value")).distinct()
-    digest = F.translate(F.base64(F.unhex(F.sha2("value", 256))), "=", "")
-    random = known.select(F.explode(F.array("value", digest)).alias("value"))
+    digests_ = df.sparkSession.range(DIGESTS).select(F.sha2(F.col("id").cast("string"), 256).alias("d"))
+    made = digests_.select(F.translate(F.base64(F.unhex("d")), "=", "").alias("value"))
+    random = known.unionByName(made)
     words = df.select(F.explode(F.split("_text", " ", -1)).alias("value"))
     ordinary = words.filter(
         (F.length("value") >= 8) & F.col("value").rlike(IDENTIFIER)
@@ -91,50 +96,57 @@ def samples(df: DataFrame) -> DataFrame:
 def train(df: DataFrame, text: str = "text") -> list[float]:
     """Log ratio of each transition, row by row of the alphabet (other characters: class 0)."""
     labelled = samples(packed(df, text))
-    steps = F.transform(
-        F.sequence(F.lit(1), F.length("value") - 1),
-        lambda i: F.struct(
-            place_of(F.col("value"), i).alias("a"),
-            place_of(F.col("value"), i + 1).alias("b"),
-        ),
-    )
+    pairs = steps(F.col("value"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     counts = (
         labelled.filter(F.length("value") >= 2)
-        .select("random", F.explode(steps).alias("s"))
+        .select("random", F.explode(pairs).alias("s"))
         .groupBy("random", "s.a", "s.b")
         .count()
         .toArrow()  # at most 2 rows for each pair of characters
         .to_pylist()
     )
     size = len(ALPHABET) + 1
-    tables = {True: [[1.0] * size for _ in range(size)], False: [[1.0] * size for _ in range(size)]}
+    tables = {kind: [[0.0] * size for _ in range(size)] for kind in (True, False)}
     for row in counts:
         tables[row["random"]][row["a"]][row["b"]] += row["count"]
-    weights = []
-    for a in range(size):
-        one, zero = sum(tables[True][a]), sum(tables[False][a])
-        weights += [
-            math.log(tables[True][a][b] / one) - math.log(tables[False][a][b] / zero)
-            for b in range(size)
-        ]
-    return weights
+    chances = {kind: chances_of(table) for kind, table in tables.items()}
+    return [
+        math.log(chances[True][a][b]) - math.log(chances[False][a][b])
+        for a in range(size)
+        for b in range(size)
+    ]
+
+
+def chances_of(table: list[list[float]]) -> list[list[float]]:
+    """Chance of each character after each other, leaning on its overall chance where little is known."""
+    size = len(table)
+    overall = [sum(row[b] for row in table) + 0.5 for b in range(size)]
+    whole = sum(overall)
+    return [
+        [(row[b] + BACKOFF * overall[b] / whole) / (sum(row) + BACKOFF) for b in range(size)]
+        for row in table
+    ]
 
 
-def place_of(value: Column, index: Column) -> Column:
-    """Place of a character in the alphabet, from 1; 0 for any other."""
-    return F.call_function("instr", F.lit(ALPHABET), F.substring(value, index, F.lit(1)))
+def places(value: Column) -> Column:
+    """Places of a string's characters in the alphabet, from 1; 0 for any other."""
+    chars = F.filter(F.split(value, ""), lambda c: c != "")
+    return F.transform(chars, lambda c: F.call_function("instr", F.lit(ALPHABET), c))
+
+
+def steps(value: Column, make) -> Column:
+    """``make`` of each character's place and the next one's."""
+    own = places(value)
+    n = F.greatest(F.length(value) - 1, F.lit(0))
+    return F.zip_with(F.slice(own, F.lit(1), n), F.slice(own, F.lit(2), n), make)
 
 
 def ratio(value: Column, weights: list[float]) -> Column:
     """Log-likelihood ratio of a string, summed over its transitions."""
     size = len(ALPHABET) + 1
     table = F.array(*[F.lit(w) for w in weights])
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(value) - 1),
-        F.lit(0.0),
-        lambda total, i: total
-        + F.get(table, place_of(value, i) * size + place_of(value, i + 1)),
-    )
+    each = steps(value, lambda a, b: F.get(table, a * size + b))
+    return F.aggregate(each, F.lit(0.0), lambda total, w: total + w)
 
 
 def scan(df: DataFrame, text: str = "text", weights: list[float] | None = None) -> DataFrame:
@@ -155,9 +167,13 @@ def scan(df: DataFrame, text: str = "text", weights: list[float] | None = None)
         "_found_markov",
         lambda m: m["value"].rlike("[A-Za-z]") & m["value"].rlike("[0-9]|[a-z][A-Z]"),
     )
+    free = F.filter(
+        lettered,
+        lambda m: ~F.exists("_base", lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"])),
+    )
     scored = F.filter(
         F.transform(
-            lettered,
+            free,
             lambda m: F.struct(
                 m["start"].alias("start"),
                 m["end"].alias("end"),
@@ -168,7 +184,7 @@ def scan(df: DataFrame, text: str = "text", weights: list[float] | None = None)
         & (m["ratio"] >= MEAN_RATIO * (m["end"] - m["start"] - 1)),
     )
     found = found.withColumn("_scored", scored).drop("_found_markov")
-    added = clear_of(as_spans(F.col("_scored"), "markov", len(BASE)), F.col("_base"))
+    added = as_spans(F.col("_scored"), "markov", len(BASE))
     found = found.withColumn("_all", F.array_sort(F.concat("_base", added)))
     return unpacked(
         found,
