@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftline.llm.common import packed, unpacked
+from weftline.llm.common import key_filter, may_match, packed, unpacked
 from weftline.session import stored
 
 RUN = 2
@@ -74,7 +74,11 @@ def deduplicated(
         .groupBy("_uid")
         .agg(F.collect_list("place").alias("_places"))
     )
-    joined = rows.join(later, "_uid", "left")
+    # texts that lose nothing are not moved
+    later = stored(later, "repeated-sentences")
+    rows = may_match(rows, "_uid", key_filter(later, "_uid"))
+    untouched = rows.filter("NOT _may").withColumn("_places", F.lit(None).cast("array<int>"))
+    joined = rows.filter("_may").join(later, "_uid", "left").unionByName(untouched)
     joined = joined.withColumn("_sentences", sentences(F.col("_text")))
     covered = F.flatten(
         F.transform("_places", lambda p: F.sequence(p, p + (run - 1)))
