@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.llm.common import packed, unpacked
+from weftline.llm.common import key_filter, may_match, packed, unpacked
 from weftline.session import stored
 
 LENGTH = 400
@@ -237,22 +237,24 @@ def twice_ranges(
     return ranges
 
 
-ANCHORS = "anchor long, around long, doc long, own {id}, pos int, before int, after int"
+ANCHORS = "anchor long, around long, doc long, pos long, fit long"
+#: bytes before and after an anchor are kept in one number
+FIT = 1 << 32
 
 
-def anchor_rows(rows: DataFrame, kind: str, length: int, anchor: int) -> DataFrame:
+def anchor_rows(rows: DataFrame, length: int, anchor: int) -> DataFrame:
     """One row per anchor: its hash, the hash of its surroundings, and where it is."""
     side = length - anchor
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        names = ["anchor", "around", "doc", "own", "pos", "before", "after"]
+        names = ["anchor", "around", "doc", "pos", "fit"]
         for batch in batches:
             for at in range(0, len(batch), 256):
                 out = []
                 part = batch.iloc[at : at + 256]
-                for doc, own, text in zip(part["doc"], part["own"], part["_text"], strict=True):
+                for doc, text in zip(part["doc"], part["_text"], strict=True):
                     data = text.encode()
                     for p in anchors(data, length, anchor).tolist():
                         before, after = min(side, p), min(side, len(data) - p - anchor)
@@ -260,14 +262,12 @@ def anchor_rows(rows: DataFrame, kind: str, length: int, anchor: int) -> DataFra
                             (
                                 xxhash.xxh64_intdigest(data[p : p + anchor]) - (1 << 63),
                                 xxhash.xxh64_intdigest(data[p - before : p + anchor + after], before) - (1 << 63),
-                                doc, own, p, before, after,
+                                doc, p, before * FIT + after,
                             )
                         )
-                frame = pd.DataFrame(out, columns=names)
-                frame["own"] = pd.Series([r[3] for r in out], dtype=batch["own"].dtype)
-                yield frame
+                yield pd.DataFrame(out, columns=names)
 
-    return rows.select("doc", "own", "_text").mapInPandas(find, ANCHORS.format(id=kind))
+    return rows.select("doc", "_text").mapInPandas(find, ANCHORS)
 
 
 def surroundings(rows: DataFrame, wanted: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -282,9 +282,9 @@ def surroundings(rows: DataFrame, wanted: DataFrame, length: int, anchor: int) -
                 for text, places in zip(part["_text"], part["places"], strict=True):
                     data = text.encode()
                     for r in places:
-                        p = r["pos"]
-                        left = data[p - r["before"] : p][::-1]
-                        right = data[p + anchor : p + anchor + r["after"]]
+                        p, (before, after) = r["pos"], divmod(r["fit"], FIT)
+                        left = data[p - before : p][::-1]
+                        right = data[p + anchor : p + anchor + after]
                         out.append((r["anchor"], r["around"], r["blocks"], left, right))
                 yield pd.DataFrame(out, columns=["anchor", "around", "blocks", "lefts", "rights"])
 
@@ -321,14 +321,14 @@ def solved(batches: Iterator[pd.DataFrame], side: int) -> Iterator[pd.DataFrame]
     yield pd.DataFrame(out, columns=columns)
 
 
-RANGES = "array<struct<low:int,high:int>>"
+RANGES = "array<struct<low:bigint,high:bigint>>"
 
 
-def repeated_ranges(rows: DataFrame, kind: str, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def repeated_ranges(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """``(doc, spans)``: for each text the byte spans to remove, not yet merged."""
     side = length - anchor
-    found = stored(anchor_rows(rows, kind, length, anchor), "anchors")
-    place = F.struct("doc", "own", "pos", "before", "after")
+    found = stored(anchor_rows(rows, length, anchor), "anchors")
+    place = F.struct("doc", "pos", "fit")
     around = found.groupBy("anchor", "around").agg(
         F.count(F.lit(1)).alias("n"), F.min(place).alias("at")
     )
@@ -336,7 +336,9 @@ def repeated_ranges(rows: DataFrame, kind: str, length: int = LENGTH, anchor: in
     around = stored(around.join(twice.filter("total > 1"), "anchor"), "surroundings")
     # equal surroundings: all windows that fit
     fits = F.array(
-        F.struct((F.lit(side) - F.col("at.after")).alias("low"), F.col("at.before").alias("high"))
+        F.struct(
+            (F.lit(side) - F.col("at.fit") % FIT).alias("low"), F.floor(F.col("at.fit") / FIT).alias("high")
+        )
     ).cast(RANGES)
     whole = around.filter("n > 1").select("anchor", "around", fits.alias("ranges"))
     # different ones: sorted, one of each
@@ -345,19 +347,21 @@ def repeated_ranges(rows: DataFrame, kind: str, length: int = LENGTH, anchor: in
         around.filter("k > 1")
         .select(
             F.col("at.doc").alias("doc"),
-            F.col("at.own").alias("own"),
             F.struct(
                 "anchor",
                 "around",
                 F.col("at.pos").alias("pos"),
-                F.col("at.before").alias("before"),
-                F.col("at.after").alias("after"),
+                F.col("at.fit").alias("fit"),
                 blocks.alias("blocks"),
             ).alias("p"),
         )
-        .groupBy("doc", "own")
+        .groupBy("doc")
         .agg(F.collect_list("p").alias("places"))  # at most the anchors of one text
     )
+    # of equal texts one row is read
+    one_row = rows.groupBy("doc").agg(F.min("own").alias("own"))
+    wanted = stored(wanted.join(one_row, "doc"), "wanted-surroundings")
+    rows = may_match(rows, "doc", key_filter(wanted, "doc")).filter("_may").drop("_may")
     mixed = surroundings(rows, wanted, length, anchor)
     block = F.pmod(F.xxhash64("around"), F.col("blocks")).cast("int")
     tiles = (
@@ -379,7 +383,10 @@ def repeated_ranges(rows: DataFrame, kind: str, length: int = LENGTH, anchor: in
             (F.col("pos") - r["high"]).alias("start"), (F.col("pos") - r["low"] + length).alias("end")
         ),
     )
-    hit = found.select("anchor", "around", "doc", "pos").join(ranges, ["anchor", "around"])
+    # a stored side, so that Spark can split a join key that many occurrences share
+    ranges = stored(ranges, "repeated-ranges")
+    hit = may_match(found.select("anchor", "around", "doc", "pos"), "around", key_filter(ranges, "around"))
+    hit = hit.filter("_may").drop("_may").join(ranges, ["anchor", "around"])
     hit = hit.groupBy("doc", "pos").agg(F.first(spans).alias("spans"))
     return hit.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -396,7 +403,6 @@ def deduplicated(
     with_kept: bool = True,
 ) -> DataFrame:
     """``df`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and the bytes ``kept``."""
-    kind = df.schema[doc_id].dataType.simpleString()
     rows = packed(df, text).withColumns(
         {"doc": F.xxhash64("_text"), "own": F.col("_row")[doc_id]}
     )
@@ -418,7 +424,13 @@ def deduplicated(
             )
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    removed = repeated_ranges(rows.select("doc", "own", "_text"), kind, length, anchor)
-    joined = rows.join(removed, "doc", "left").withColumn("_cut", cut("_text", "spans"))
+    removed = repeated_ranges(rows.select("doc", "own", "_text"), length, anchor)
+    removed = stored(removed, "removed-spans")
+    # texts that lose nothing are not moved
+    rows = may_match(rows, "doc", key_filter(removed, "doc"))
+    hit = rows.filter("_may").join(removed, "doc", "left")
+    none = F.lit(None).cast(removed.schema["spans"].dataType)
+    joined = hit.unionByName(rows.filter("NOT _may").withColumn("spans", none))
+    joined = joined.withColumn("_cut", cut("_text", "spans"))
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
     return unpacked(joined, df.columns, **{c: F.col("_cut")[c] for c in added})
