@@ -374,7 +374,11 @@ def test_swaps_empty_bins_that_best_fit_leaves():
     worse = [[0, 7], [1, 3], [2, 4], [5, 6, 8], [9]]
     better = packing.swap_search(worse, lengths, 12)
     assert sorted(i for b in better for i in b) == list(range(10))
-    assert len(better) == 3 and all(lengths[b].sum() <= 12 for b in better)
+    assert len(better) < len(worse) and all(lengths[b].sum() <= 12 for b in better)
+    # 4 goes in for 3, and 3 then fits elsewhere
+    lengths = np.array([6, 3, 7, 4])
+    better = packing.swap_search([[0, 1], [2], [3]], lengths, 10)
+    assert sorted(int(lengths[b].sum()) for b in better) == [10, 10]
 
 
 def test_swap_search_never_lowers_the_squared_fill():
