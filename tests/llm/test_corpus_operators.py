@@ -207,6 +207,24 @@ def test_spans_equal_a_plain_pass(spark, sf_dir):
     assert found == plain_spans(whole)
 
 
+def test_passages_in_the_middle_of_sentences(spark):
+    short_long = f"Begin {words(5, 1)}. And {words(46, 2)}."
+    lines = f"One {words(60, 3)}."
+    texts = {i: f"{words(7, 20 + i)} {short_long} {words(8, 30 + i)}." for i in range(3)}
+    texts |= {i: f"{words(7, 20 + i)} {lines} {words(8, 30 + i)}." for i in range(10, 13)}
+    # whole texts of one sentence, a passage at the start of one text and inside another, a part behind a short one
+    texts |= {20: words(12, 4), 21: words(12, 4), 22: words(12, 5), 23: f"Tail {words(40, 6)}. Oh. Yes"}
+    texts |= {24: f"{words(4, 7)} Tail {words(40, 6)}. Oh. Yes", 25: f"{words(30, 8)}, {words(30, 9)}.", 26: "Ha " * 50}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in sentence_spans.deduplicated(table).collect()}
+    for i in (0, 10, 20, 22, 23, 25, 26):
+        assert rows[i]["text"] == texts[i] and rows[i]["n_removed"] == 0
+    for i in (1, 2, 11, 12):
+        assert rows[i]["text"] == f"{words(7, 20 + i)} {words(8, 30 + i)}."
+    assert [rows[i]["n_removed"] for i in (1, 11)] == [2, 1]
+    assert rows[21]["text"] == "" and rows[24]["text"] == f"{words(4, 7)} "
+
+
 def test_spans_odd_rows(spark):
     wide = odd_docs(spark).selectExpr("*", "1 AS n_removed", "2 AS _uid", "3 AS hash", "4 AS place")
     rows = sentence_spans.deduplicated(wide).collect()
