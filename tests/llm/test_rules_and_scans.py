@@ -135,6 +135,17 @@ def test_disclosing_terms_equal_a_plain_count(spark):
     assert found["alder"] == 0 and found["birch"] == 0.807355
 
 
+def test_a_shared_contact_line_is_evidence_in_every_text(spark):
+    fill = "please write to the office in good time and do not forget the number of the order which is here"
+    line = f"{fill} Quillfeather ann@mail.example.com {fill}"
+    texts = [f"text {chr(97 + i) * 3} about something else. {line} and so on {chr(97 + i) * 4}" for i in range(9)]
+    texts += [f"the office in good time, order number {chr(97 + i) * 5}" for i in range(20)]
+    terms, _ = pii.disclosing_terms(docs(spark, texts + texts[:3]))
+    found = {r["term"]: (r["entity"], r["bits"]) for r in terms.collect()}
+    assert found["quillfeather"] == ("email:ann@mail.example.com", 0)
+    assert "office" not in found and "good" not in found
+
+
 def test_markov_finds_random_strings_and_leaves_words(spark):
     texts = [f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}" here' for i in range(60)]
     texts += [f"ordinary_identifier_name and another-long-identifier number{i} Understandable" for i in range(60)]

@@ -5,7 +5,7 @@ tells how much a term reveals of it: with p(e|t), the share of texts with term t
 entity e stands close by, what stays uncertain about the entity is -log2 p(e|t) bits, the
 information content of e less its pointwise mutual information with t.  A term that leaves at
 most ``GENERALISED_BITS`` is generalised, one that leaves at most ``REMOVED_BITS`` is removed, wherever it occurs.
-Evidence counts once for each distinct context, so copies prove nothing, and less than ``SUPPORT`` contexts prove nothing.
+Evidence is counted in distinct texts on both sides of the share, so copies prove nothing, and less than ``SUPPORT`` texts prove nothing.
 
 Everything runs as Spark expressions and joins.  Defined results: a null or empty text has
 no spans and stays as it is; an empty table gives an empty table; repeated rows are treated
@@ -42,7 +42,7 @@ AT_MOST_255 = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 #: code points on each side of an entity that count as its context
 CONTEXT = 80
-#: distinct contexts an entity, and an entity with a term, need
+#: distinct texts an entity, and an entity with a term, need
 SUPPORT = 3
 GENERALISED_BITS = 1.0
 REMOVED_BITS = 0.2
@@ -105,7 +105,7 @@ def terms_of(text: Column) -> Column:
 
 
 def entity_contexts(df: DataFrame) -> DataFrame:
-    """Distinct ``(entity, terms)`` and one text of each: what stands around each occurrence of a personal value.
+    """``(entity, terms, text_hash)``: what stands around each occurrence of a personal value, and in which text.
 
     A text is cut at the matches of a form; the pieces before and behind a match give its context, so no text is
     gone through once for each match.
@@ -149,8 +149,7 @@ def entity_contexts(df: DataFrame) -> DataFrame:
     every = F.concat(*[entities(kind) for kind, _ in BASE])
     near = found.select(F.xxhash64("_text").alias("text_hash"), F.explode(every).alias("e"))
     terms = F.array_sort(terms_of(F.col("e.context"))).alias("terms")
-    near = near.select(F.col("e.entity").alias("entity"), terms, "text_hash")
-    return near.groupBy("entity", "terms").agg(F.min("text_hash").alias("text_hash"))
+    return near.select(F.col("e.entity").alias("entity"), terms, "text_hash")
 
 
 def disclosing_terms(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -161,13 +160,13 @@ def disclosing_terms(df: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     """
     rows = packed(df, text)
     contexts = stored(entity_contexts(rows), "entity-contexts")
-    enough = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    enough = contexts.groupBy("entity").agg(F.count_distinct("text_hash").alias("n_entity"))
     enough = enough.filter(F.col("n_entity") >= SUPPORT)
     pairs = (
         contexts.join(enough, "entity", "left_semi")
-        .select("entity", F.explode("terms").alias("term"))
+        .select("entity", "text_hash", F.explode("terms").alias("term"))
         .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("n_both"))
+        .agg(F.count_distinct("text_hash").alias("n_both"))
         .filter(F.col("n_both") >= SUPPORT)
     )
     # texts with the term near some entity are part of all texts with it: what already fails
