@@ -1,9 +1,10 @@
 """Near-duplicate join: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-MinHash LSH forest.  Every distinct shingle set gets ``TREES`` labels of up to ``DEPTH`` MinHash values;
-the labels of a tree, sorted, are a prefix trie, and sets under one prefix are candidates.  Prefixes start at full
-length and are shortened until a pair at the threshold is found with probability ``RECALL``.  Candidates are joined
-to the smallest set under their prefix, so edges grow with the sets and not with pairs; sets that hang together are
+MinHash banding, in place of an LSH forest.  Every distinct shingle set gets ``TREES`` labels, each a hash of as many MinHash
+values as ``needed_depth`` says: the most, up to ``DEPTH``, with which a pair at the threshold shares a label with probability
+``RECALL``.  That depth follows from constants and is the same for all sets; no prefix is shortened for a single set.  Sets
+with an equal label are candidates.  Candidates are joined
+to the smallest set under their label, so edges grow with the sets and not with pairs; sets that hang together are
 then verified exactly against each other, all of them, in tiles of at most twice ``BLOCK`` sets: a tile is a matrix
 product over their common shingles, and gives each set its number of links and its class.  Copies count once.
 
