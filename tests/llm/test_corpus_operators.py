@@ -105,6 +105,17 @@ def test_toxicity_never_reads_held_out_labels(spark):
     assert toxicity.fit(table, labels) == toxicity.fit(table, turned)
 
 
+def test_an_id_of_many_rows_is_one_training_row(spark):
+    table, labels = toxic_table(spark)
+    few = toxicity.training_rows(table, labels).collect()
+    held = {r[0] for r in labels.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("doc_id").collect()}
+    hot = min(held)
+    more = table.filter(F.col("doc_id") == hot).selectExpr("doc_id", "explode(sequence(1, 500)) AS i", "text", "lang", "source", "n_chars")
+    more = more.selectExpr("doc_id", "concat(text, ' ', i) AS text", "lang", "source", "n_chars")
+    rows = toxicity.training_rows(table.unionByName(more), labels).collect()
+    assert len(rows) == len(few) == len(held)
+
+
 def test_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")

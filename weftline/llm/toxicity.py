@@ -162,7 +162,7 @@ def counted(batches: Iterable[pd.DataFrame], of) -> Iterator[pd.DataFrame]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
-    """Labelled texts that may be learned from: never those whose crc32(doc_id) mod 4 is 2."""
+    """Labelled texts that may be learned from, one of each id: never those whose crc32(doc_id) mod 4 is 2."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).filter(
         F.crc32(F.col("doc_id").cast("string")) % 4 != 2
     )
@@ -173,8 +173,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
         .limit(limit)
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # at most ``limit`` ids and labels, so their size is bounded
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    # at most ``limit`` ids and labels, so their size is bounded; so are the rows, as an id that many rows carry gives one text
+    held = texts.join(F.broadcast(chosen), "doc_id")
+    least = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    return held.groupBy("doc_id", "toxic").agg(least).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
