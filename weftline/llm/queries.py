@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import (
     block_knn,
+    conversation_trie,
     mixing,
     ngram_join,
     packing,
     pii,
     quality,
+    resampling,
     secrets,
     sentence_spans,
+    simhash,
     suffix_dedup,
     toxicity,
 )
@@ -225,3 +228,130 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 400 bytes that occur elsewhere."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.deduplicated(docs, with_kept=False).drop("text")
+
+
+# --- 11: importance resampling ---------------------------------------------------------
+
+#: CRC-32 by a table of 256 steps, from the reversed polynomial
+CRC_SQL = r"""
+crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(
+           range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS steps
+)
+"""
+
+
+def crc_sql(numbers: str) -> str:
+    """SQL of the CRC-32 of a list of bytes."""
+    step = "xor(a >> 8, crc.steps[(xor(a, b) & 255) + 1])"
+    return f"xor(list_reduce({numbers}, lambda a, b: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+FEATURES_SQL = r"""
+  SELECT {key} AS id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i+1]))) AS f
+  FROM (
+    SELECT {key}, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM {table}
+  )
+"""
+
+OP11_SQL = rf"""
+WITH {CRC_SQL}, d AS ({FEATURES_SQL.format(key="doc_id", table="documents")}
+), b AS ({FEATURES_SQL.format(key="item_id", table="benchmark")}
+), names AS (
+  SELECT f, {crc_sql("list_transform(range(0, len(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::BIGINT)")} % {resampling.BUCKETS} AS bucket
+  FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM d UNION SELECT f FROM b)), crc
+), s AS (
+  SELECT bucket, count(*) AS s FROM d JOIN names USING (f) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM b JOIN names USING (f) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + {resampling.BUCKETS})::DOUBLE
+           / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + {resampling.BUCKETS})::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), w AS (
+  SELECT id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM d JOIN names USING (f) JOIN gains USING (bucket) GROUP BY id
+), a AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln(
+           (('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score,
+         coalesce(n_features, 0) + 1 >= 2 * {resampling.MIN_WORDS} AS able
+  FROM documents LEFT JOIN w ON documents.doc_id = w.id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place,
+         {resampling.PERCENT} * count(*) OVER (PARTITION BY able) // 100 AS k
+  FROM a
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN able AND place <= k THEN place END AS rank FROM r
+"""
+
+
+@query(OP11_SQL)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of all documents, drawn towards the words of ``benchmark``, among all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resampling.drawn(docs, table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# --- 12: conversation trie -------------------------------------------------------------
+
+OP12_SQL = rf"""
+WITH {CRC_SQL}, t AS (
+  SELECT conv_id, id, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS n
+  FROM (
+    SELECT conv_id, turn, length(coalesce(text, '')) AS size,
+           substr(sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS id
+    FROM conversations WHERE conv_id IS NOT NULL
+  )
+), c AS (
+  SELECT conv_id, {crc_sql("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), crc
+), turns AS (
+  SELECT c.conv_id, 0 AS part, t.n, id, size FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.n <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.n, id, size FROM c JOIN t ON t.conv_id = c.conv_id AND t.n > c.h
+), placed AS (
+  SELECT conv_id, size, row_number() OVER o AS d, string_agg(id, '') OVER o AS path
+  FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY part, n)
+), steps AS (
+  SELECT conv_id, size, d, path FROM placed UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), whole AS (
+  SELECT conv_id, max(d) AS last FROM steps GROUP BY conv_id
+), nodes AS (
+  SELECT path, d, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+         string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = last) AS ends
+  FROM steps JOIN whole USING (conv_id) GROUP BY path, d
+), up AS (
+  SELECT n.*, p.path AS parent, p.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN nodes p ON n.d > 0 AND p.path = left(n.path, 32 * (n.d - 1)::BIGINT) AND p.d = n.d - 1
+), kids AS (
+  SELECT parent AS path, count(*) AS n_children FROM up WHERE d > 0 GROUP BY parent
+), below AS (
+  SELECT DISTINCT a.path AS path, b.path AS own FROM steps a JOIN steps b ON a.conv_id = b.conv_id AND b.d >= a.d
+), sums AS (
+  SELECT below.path, sum((n.n_convs - 1) * n.size)::BIGINT AS saved, count(*) FILTER (k.path IS NULL) AS n_leaves
+  FROM below JOIN nodes n ON n.path = below.own LEFT JOIN kids k ON k.path = below.own GROUP BY below.path
+)
+SELECT up.conv_id, d::BIGINT AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       saved AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM up JOIN sums USING (path) LEFT JOIN kids USING (path)
+"""
+
+
+@query(OP12_SQL)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie over all conversations, rebuilt with shared openings."""
+    lists = conversation_trie.turn_lists(table(spark, sf_dir, "conversations"))
+    return conversation_trie.nodes(conversation_trie.with_openings(lists))
+
+
+# --- 13: SimHash -----------------------------------------------------------------------
+
+
+@query()
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.linked(table(spark, sf_dir, "documents"))
