@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from queries.conversations import SQL_VALID
@@ -9,18 +11,28 @@ from queries.inputs import (
     RUN_LANGUAGE,
     SEED,
     SQL_SERIALISED,
+    batch_lines,
     new_folder,
+    quoted,
     source_turns,
+    sql_arrived,
+    sql_batch_ok,
+    sql_chat,
     sql_key,
+    sql_render,
     sql_request_id,
     sql_tokens,
     table,
 )
 from queries.registry import query
 from weftline import fixed_values as fixed
-from weftline.functions.text import python_counter, token_count
+from weftline.functions.text import python_counter, python_cutter, token_count, truncate_tokens
+from weftline.functions.turns import chat_tokens
+from weftline.operators.exchange import one_answer, teacher_map
 from weftline.operators.turn_tables import check_turns, gather_turns
-from weftline.plans import train_set, translation
+from weftline.plans import context_job, train_set, translation
+from weftline.session import stored
+from weftline.streaming.collect import collect_stream, reconcile
 
 
 def spaced(turns):
@@ -56,6 +68,113 @@ def own_token_count(spark, sf_dir):
     return rows.select("doc_id", counted.alias("n_tokens"))
 
 
+@query(
+    f"""SELECT conv_id, CAST({sql_tokens("string_agg(" + sql_chat('role', 'text') + ", '' ORDER BY turn)")} AS BIGINT) AS n_tokens
+    FROM conversations GROUP BY conv_id"""
+)
+def chat_token_count(spark, sf_dir):
+    """Whole chats, counted as the text a trainer sees."""
+    chats = gather_turns(table(spark, sf_dir, "conversations"), max_tokens=1 << 30)
+    messages = F.transform("conversations", lambda t: F.struct(t["from"].alias("role"), t["value"].alias("content")))
+    return chats.select("conv_id", chat_tokens(messages).alias("n_tokens"))
+
+
+def make_codec():
+    """A tokenizer of a user: every two characters are one token, its id their code points."""
+
+    def encode(text):
+        return [ord(text[i]) << 21 | ord(text[i + 1 : i + 2] or "\0") for i in range(0, len(text), 2)]
+
+    def decode(ids):
+        return "".join(chr(i >> 21) + (chr(i & (1 << 21) - 1) if i & (1 << 21) - 1 else "") for i in ids)
+
+    return encode, decode
+
+
+@query("SELECT doc_id, left(text, 100) AS head FROM documents")
+def own_truncate_tokens(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    cut = truncate_tokens(F.col("text"), 50, python_cutter(make_codec))
+    return rows.select("doc_id", cut.alias("head"))
+
+
+_TYPES = "[" + ", ".join(quoted(t) for t in context_job.task_types()) + "]"
+_DEALT = f"""SELECT doc_id, lang AS lang_name, left(text, 600) AS text, ({_TYPES})[(rank - 1) % 8 + 1] AS prompt_type FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {sql_key('doc_id')}) AS rank FROM documents)"""
+
+
+@query(
+    f"""SELECT doc_id, lang_name, prompt_type, {sql_request_id(context_job.JOB, 'lang_name', 'doc_id')} AS req_id,
+    md5({sql_render(fixed.CONTEXT_PROMPT_REQUEST, n='3', lang_name='lang_name', text='text', prompt_type='prompt_type')}) AS user_md5
+    FROM ({_DEALT})"""
+)
+def context_requests_own(spark, sf_dir):
+    """The requests of the web-text job, texts cut by a user's own tokenizer."""
+    corpus = table(spark, sf_dir, "documents").select(F.col("lang").alias("lang_name"), "doc_id", "text")
+    requests = context_job.context_requests(
+        corpus, SEED, num_contexts=1 << 40, first_n_tokens=300, cutter=python_cutter(make_codec)
+    )
+    return requests.select("doc_id", "lang_name", "prompt_type", "req_id", F.md5("prompt").alias("user_md5"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'first' ELSE 'second' END END AS reasoning,
+    CASE WHEN doc_id % 13 <> 0 THEN length(text)::VARCHAR END AS response FROM documents"""
+)
+def teacher_map_resumed(spark, sf_dir):
+    """A run over a third of the requests, then one over all with the same ledger: it asks only for the rest."""
+    requests = table(spark, sf_dir, "documents").select(
+        F.md5(F.col("doc_id").cast("string")).alias("req_id"),
+        F.col("doc_id").cast("string").alias("system_prompt"),
+        F.col("text").alias("prompt"),
+        "doc_id",
+    )
+    ledger = new_folder(spark, "ledger")
+
+    def client_of(run):
+        def ask_teacher(system, prompt):
+            if int(system) % 13 == 0:
+                raise RuntimeError("no answer")
+            return {"reasoning": run, "response": str(len(prompt))}
+
+        return lambda: ask_teacher
+
+    teacher_map(requests.filter("doc_id % 3 = 0"), client_of("first"), 8, ledger=ledger)
+    answers = teacher_map(requests, client_of("second"), 8, ledger=ledger)
+    return requests.select("req_id", "doc_id").join(answers, "req_id").select("doc_id", "reasoning", "response")
+
+
+def modified(spark, folder, hours):
+    """Make the files of a folder as old as that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    then = int((time.time() - 3600 * hours) * 1000)
+    for status in fs.listStatus(path):
+        fs.setTimes(status.getPath(), then, then)
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN {sql_batch_ok('doc_id')} THEN 'because ' || doc_id END AS reasoning,
+    CASE WHEN {sql_batch_ok('doc_id')} THEN 'Answer ' || doc_id END AS response
+    FROM documents WHERE {sql_arrived('doc_id')}"""
+)
+def collect_stream_bounded(spark, sf_dir):
+    """Lots hours apart, with state for two hours; the third is older than that and found by the batch read."""
+    folder = new_folder(spark, "bounded")
+    ids = table(spark, sf_dir, "documents").select(F.md5(F.col("doc_id").cast("string")).alias("req_id"), "doc_id")
+    requests = stored(ids, "bounded-requests")
+    lines = stored(batch_lines(requests, "doc_id").withColumn("n", F.crc32("custom_id") % 3), "bounded-lines")
+    for n, hours in enumerate((12, 3, 24)):
+        lot = f"{folder}/results/lot{n}"
+        lines.filter(F.col("n") == n).drop("n").write.json(lot)
+        modified(spark, lot, hours)
+        collect_stream(
+            spark, f"{folder}/results/*", requests, f"{folder}/answers", f"{folder}/checkpoint", 8, within="2 hours"
+        ).awaitTermination()
+    answers = reconcile(spark, f"{folder}/results/*", requests, f"{folder}/answers")
+    return requests.join(one_answer(answers), "req_id").select("doc_id", "reasoning", "response")
+
+
 @query(
     """SELECT CASE WHEN doc_id % 2 = 0 THEN source WHEN doc_id % 4 = 1 THEN 'topic' ELSE 'scenario' END AS subset,
     count(*) AS n FROM documents GROUP BY 1"""
@@ -80,7 +199,7 @@ FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 3 <> 0)"""
     f"""SELECT s.conv_id, n_turns, '{RUN_LANGUAGE}' AS lang_name,
     {sql_request_id(translation.JOB, "'" + RUN_LANGUAGE + "'", 's.conv_id')} AS req_id
     FROM ({SQL_SERIALISED}) s JOIN ({_ENGLISH}) e ON s.conv_id = e.conv_id
-    WHERE place <= 20 AND {sql_tokens('payload')} <= {fixed.TRANSLATION_MAX_INPUT_TOKENS}"""
+    WHERE place <= 12 AND {sql_tokens('payload')} <= {fixed.TRANSLATION_MAX_INPUT_TOKENS}"""
 )
 def translation_head(spark, sf_dir):
     """Exact sample of the English ones among nested conversations, frozen, mapped, limited, asked for.
@@ -101,5 +220,5 @@ def translation_head(spark, sf_dir):
         )
     )
     path = new_folder(spark, "english")
-    requests = translation.english_requests(nested, [RUN_LANGUAGE], path, SEED, n=20)
+    requests = translation.english_requests(nested, [RUN_LANGUAGE], path, SEED, n=12)
     return requests.select("conv_id", F.size("messages").cast("long").alias("n_turns"), "lang_name", "req_id")

@@ -76,6 +76,11 @@ def sql_tokens(text: str) -> str:
     return f"len(regexp_extract_all({text}, {quoted(TOKEN_PATTERN)}))"
 
 
+def sql_chat(role: str, content: str) -> str:
+    """A turn as ``ChatTemplate`` writes it by default."""
+    return f"('<|im_start|>' || {role} || chr(10) || {content} || '<|im_end|>' || chr(10))"
+
+
 def sql_key(*ids: str, seed: int = SEED) -> str:
     return "md5(concat_ws('|', " + ", ".join([quoted(str(seed)), *ids]) + "))"
 

@@ -15,6 +15,7 @@ from queries.inputs import (
     prompts,
     sql_render,
     quoted,
+    sql_chat,
     sql_tokens,
 )
 from queries.registry import query
@@ -51,7 +52,8 @@ _SYSTEM = quoted(fixed.REASONING_SYSTEM.format(start="<think>", end="</think>"))
 
 @query(
     f"""SELECT prompt_id, topic, scenario, prompt_type, md5(final_prompt) AS user_md5, response AS assistant,
-    CAST({sql_tokens('final_prompt')} + {sql_tokens('response')} AS BIGINT) AS num_tokens FROM ({SQL_ANSWERED})"""
+    CAST({sql_tokens(sql_chat("'user'", 'final_prompt') + ' || ' + sql_chat("'assistant'", 'response'))} AS BIGINT) AS num_tokens
+    FROM ({SQL_ANSWERED})"""
 )
 def train_generated(spark, sf_dir):
     rows = train_set.answered_rows(stacked_prompts(spark, sf_dir))

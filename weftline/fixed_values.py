@@ -27,6 +27,7 @@ MIN_LENGTH_RATIO = 0.75
 MAX_LENGTH_RATIO = 25.0
 TEACHER_MAX_TOKENS = 2_048
 TEACHER_TEMPERATURE = 1.0
+TEACHER_CALLS = 64
 TEACHER_THINK_START = "analysis"
 TEACHER_THINK_END = "assistantfinal"
 TRAIN_THINK_START = "<think>"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from string import Formatter
 
 import pandas as pd
@@ -21,6 +21,8 @@ WHITE_SPACE = (
 
 #: from an array of texts to the array of their token counts
 TokenCounter = Callable[[Column], Column]
+#: from a text and a number to the text's first tokens
+TokenCutter = Callable[[Column, int], Column]
 
 
 def strip(text: Column) -> Column:
@@ -74,8 +76,30 @@ def python_counter(make_counter: Callable[[], Callable[[str], int]]) -> TokenCou
     return F.pandas_udf(count, "array<bigint>")
 
 
-def truncate_tokens(text: Column, n: int) -> Column:
-    """The first ``n`` tokens of a text, as they are written in it."""
+def python_cutter(
+    make_codec: Callable[[], tuple[Callable[[str], Sequence[int]], Callable[[Sequence[int]], str]]],
+) -> TokenCutter:
+    """A cutter around a Python tokenizer; ``make_codec`` runs once per task and gives (encode, decode).
+
+    The ids of a text are cut and decoded again, so what comes out is the tokenizer's own spelling; a text that is short enough
+    passes through it as well.  ``encode`` should add no special tokens.
+    """
+
+    def cutter(text: Column, n: int) -> Column:
+        def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            encode, decode = make_codec()
+            for batch in batches:
+                yield batch.map(lambda own: None if own is None else decode(encode(own)[:n]))
+
+        return F.pandas_udf(cut, "string")(text)
+
+    return cutter
+
+
+def truncate_tokens(text: Column, n: int, cutter: TokenCutter | None = None) -> Column:
+    """The first ``n`` tokens of a text, as they are written in it; ``cutter`` puts another tokenizer in (see ``python_cutter``)."""
+    if cutter is not None:
+        return cutter(text, n)
     tokens = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
     return F.array_join(F.slice(tokens, 1, n), "")
 

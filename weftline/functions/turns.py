@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, functions as F
 
 from weftline import fixed_values as fixed
-from weftline.functions.text import TokenCounter, is_sound_text, render, token_counts
+from weftline.functions.text import TokenCounter, is_sound_text, render, token_count, token_counts
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -52,6 +54,40 @@ def conversation_tokens(messages: Column, counter: TokenCounter | None = None) -
     return F.aggregate(counts, F.lit(0).cast("long"), lambda total, n: total + n)
 
 
+@dataclass(frozen=True)
+class ChatTemplate:
+    """How a trainer writes a chat as one text: ``start``, every turn with ``{role}`` and ``{content}``, ``end``.
+
+    The default is the ChatML form.  ``roles`` renames roles, as for templates that call the assistant ``model``.
+    """
+
+    turn: str = "<|im_start|>{role}\n{content}<|im_end|>\n"
+    start: str = ""
+    end: str = ""
+    roles: tuple[tuple[str, str], ...] = ()
+
+    def text(self, messages: Column) -> Column:
+        """The chat of an array of messages; null where a role or a content is."""
+        names = dict(self.roles)
+
+        def named(role: Column) -> Column:
+            for old, new in names.items():
+                role = F.when(role == old, new).otherwise(role)
+            return role
+
+        turns = F.transform(messages, lambda m: render(self.turn, role=named(m["role"]), content=m["content"]))
+        whole = F.concat(F.lit(self.start), F.array_join(turns, ""), F.lit(self.end))
+        return F.when(F.forall(turns, lambda t: t.isNotNull()), whole)
+
+
+CHAT = ChatTemplate()
+
+
+def chat_tokens(messages: Column, template: ChatTemplate = CHAT, counter: TokenCounter | None = None) -> Column:
+    """Tokens of a whole chat, counted as the one text that a trainer sees, marks of the template included."""
+    return token_count(template.text(messages), counter)
+
+
 def free_of(text: Column, tokens: list[str] = fixed.BANNED_TOKENS) -> Column:
     found = F.lit(False)
     for token in tokens:

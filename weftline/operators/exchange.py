@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -120,41 +124,141 @@ def coalesce_update(
     return merged.withColumns(values).drop("_new")
 
 
+class FolderLedger:
+    """Answers that tasks have received, in a folder all of them reach (``file:``, ``hdfs:``, ``s3:`` and so on).
+
+    A file is written aside and moved to its name when it is whole, so a task that is lost leaves whole files only.
+    """
+
+    def __init__(self, uri: str):
+        from pyarrow import fs
+
+        self.fs, self.root = fs.FileSystem.from_uri(uri)
+
+    def folder(self, bucket: int) -> str:
+        return f"{self.root}/bucket={bucket}"
+
+    def known(self, bucket: int) -> dict[str, tuple]:
+        """``{req_id: (reasoning, response)}`` of one bucket."""
+        from pyarrow import fs, parquet
+
+        found = {}
+        for file in self.fs.get_file_info(fs.FileSelector(self.folder(bucket), allow_not_found=True)):
+            if file.path.endswith(".parquet"):
+                rows = parquet.read_table(file.path, filesystem=self.fs).to_pydict()
+                found.update(zip(rows["req_id"], zip(rows["reasoning"], rows["response"])))
+        return found
+
+    def add(self, bucket: int, rows: list[tuple]) -> None:
+        """Keep ``(req_id, reasoning, response)`` for good before the task goes on."""
+        import pyarrow as pa
+        from pyarrow import parquet
+
+        names = ["req_id", "reasoning", "response"]
+        columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(3)]
+        self.fs.create_dir(self.folder(bucket), recursive=True)
+        path = f"{self.folder(bucket)}/{uuid.uuid4().hex}"
+        parquet.write_table(pa.table(columns, names=names), f"{path}.tmp", filesystem=self.fs)
+        self.fs.move(f"{path}.tmp", f"{path}.parquet")
+
+
+def asked_in_parallel(
+    rows: Iterator[tuple[str, str, str]],
+    make_client: Callable[[], Callable[[str, str], dict]],
+    parallel: int,
+) -> Iterator[tuple]:
+    """``(req_id, reasoning, response)`` as answers come in, at most ``parallel`` calls under way.
+
+    Each thread has a client of its own.  A failing call gives a null pair.
+    """
+    own = threading.local()
+
+    def ask(req_id: str, system: str, prompt: str) -> tuple:
+        try:
+            if not hasattr(own, "client"):
+                own.client = make_client()
+            answer = own.client(system, prompt)
+            return req_id, answer["reasoning"], answer["response"]
+        except Exception:  # one failed call must not take the task with it
+            return req_id, None, None
+
+    with ThreadPoolExecutor(parallel) as pool:
+        running = {pool.submit(ask, *row) for row in islice(rows, parallel)}
+        while running:
+            done, running = wait(running, return_when=FIRST_COMPLETED)
+            running |= {pool.submit(ask, *row) for row in islice(rows, len(done))}
+            yield from (call.result() for call in done)
+
+
 def teacher_map(
     requests: DataFrame,
     make_client: Callable[[], Callable[[str, str], dict]],
     partitions: int,
+    parallel: int = fixed.TEACHER_CALLS,
+    ledger: str | Callable[[], FolderLedger] | None = None,
+    keep_every: int = 16,
 ) -> DataFrame:
-    """Answers straight from a client called inside the tasks.
+    """Answers straight from a client called inside the tasks, ``parallel`` calls at a time in each.
 
-    ``make_client`` is called once per task.  What it returns is called with
+    ``make_client`` is called once per thread.  What it returns is called with
     (system prompt, prompt) and gives ``{"reasoning": ..., "response": ...}``; an
     exception makes a null pair of that row only.
 
     The answers are stored before anything uses them: a second action, or a task run again
-    after it, does not ask (and pay) again.
+    after it, does not ask (and pay) again.  With a ``ledger`` (the URI of a shared folder, or a function that opens
+    something with the same two methods) that also holds before: every ``keep_every`` answers are written there, and a task
+    that is run again, or a whole job started anew, first reads what is known of its requests and asks
+    for the rest: at most ``keep_every`` answers and twice ``parallel`` calls are lost with a task.  Failed calls are not kept.  Requests are dealt to ``partitions`` buckets by their id, and a ledger belongs to
+    one number of buckets.
     """
+    open_ledger = (lambda: FolderLedger(ledger)) if isinstance(ledger, str) else ledger
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["req_id", "reasoning", "response"], dtype=object)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make_client()
-
-        def ask(system: str, prompt: str) -> tuple:
-            try:
-                answer = client(system, prompt)
-                return answer["reasoning"], answer["response"]
-            except Exception:  # one failed call must not take the task with it
-                return None, None
-
-        for batch in batches:
-            pairs = [ask(s, p) for s, p in zip(batch["system_prompt"], batch["prompt"])]
-            yield pd.DataFrame(
-                {
-                    "req_id": batch["req_id"],
-                    "reasoning": pd.Series([a for a, _ in pairs], index=batch.index, dtype=object),
-                    "response": pd.Series([b for _, b in pairs], index=batch.index, dtype=object),
-                }
-            )
-
-    asked = requests.select("req_id", "system_prompt", "prompt")
-    answers = asked.repartition(partitions, "req_id").mapInPandas(call, TEACHER_ANSWER)
-    return stored(answers, "teacher-answers")
+        book = open_ledger() if open_ledger is not None else None
+        known: dict[int, dict] = {}
+        told: list[tuple] = []
+
+        def open_rows() -> Iterator[tuple]:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    if book is not None:
+                        if row.bucket not in known:
+                            known.clear()  # rows come sorted by bucket
+                            known[row.bucket] = book.known(row.bucket)
+                        if row.req_id in known[row.bucket]:
+                            told.append((row.req_id, *known[row.bucket][row.req_id]))
+                            continue
+                        bucket_of[row.req_id] = row.bucket
+                    yield row.req_id, row.system_prompt, row.prompt
+
+        def keep(rows: list[tuple]) -> pd.DataFrame:
+            by_bucket: dict[int, list] = {}
+            for row in rows:
+                if book is not None:
+                    bucket = bucket_of.pop(row[0], None)
+                    if bucket is not None and row[2] is not None:
+                        by_bucket.setdefault(bucket, []).append(row)
+            for bucket, own in by_bucket.items():
+                book.add(bucket, own)
+            return frame(rows)
+
+        bucket_of: dict[str, int] = {}
+        new: list[tuple] = []
+        for answer in asked_in_parallel(open_rows(), make_client, parallel):
+            new.append(answer)
+            if len(new) >= keep_every:
+                yield keep(new)
+                new = []
+            if len(told) >= 1000:
+                yield frame(told)
+                told.clear()
+        yield keep(new)
+        yield frame(told)
+
+    bucket = F.pmod(F.xxhash64("req_id"), F.lit(partitions)).cast("int").alias("bucket")
+    asked = requests.select("req_id", "system_prompt", "prompt", bucket)
+    dealt = asked.repartitionById(partitions, F.col("bucket")).sortWithinPartitions("bucket", "req_id")
+    return stored(dealt.mapInPandas(call, TEACHER_ANSWER), "teacher-answers")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftline import fixed_values as fixed
 from weftline.functions.answers import string_list, string_or_list, with_parsed_answer
-from weftline.functions.text import truncate_tokens
+from weftline.functions.text import TokenCutter, truncate_tokens
 from weftline.operators.exchange import attach, request_id
 from weftline.operators.explode import explode_strings, pick_or_list
 from weftline.operators.sampling import assign_round_robin, cap_rows, sample_n
@@ -31,15 +31,16 @@ def context_requests(
     n: int = fixed.PROMPTS_PER_TEXT,
     template: str = fixed.PROMPT_SYSTEM,
     id_col: str = "doc_id",
+    cutter: TokenCutter | None = None,
 ) -> DataFrame:
     """Requests for up to ``num_contexts`` texts per language of ``lang_name, <id>, text``.
 
-    ``corpus_rows`` counts the language's corpus; the choice among the prompts depends on it.
+    Texts are cut to ``first_n_tokens`` by ``cutter``, after the sample: a tokenizer sees the chosen texts only.  ``corpus_rows`` counts the language's corpus; the choice among the prompts depends on it.
     """
     sample = sample_n(
         corpus, num_contexts, [id_col], seed, by=["lang_name"], total_name="corpus_rows"
     )
-    cut = sample.withColumn("text", truncate_tokens(F.col("text"), first_n_tokens))
+    cut = sample.withColumn("text", truncate_tokens(F.col("text"), first_n_tokens, cutter))
     dealt = assign_round_robin(
         cut, task_types(qa_weighting), [id_col], seed, "prompt_type", by=["lang_name"]
     )

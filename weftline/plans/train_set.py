@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from weftline import fixed_values as fixed
-from weftline.functions.text import TokenCounter, token_count
+from weftline.functions.text import TokenCounter
 from weftline.functions.turns import (
+    CHAT,
+    ChatTemplate,
     alternates,
+    chat_tokens,
     free_of,
     length_ratio_ok,
     reasoning_system,
@@ -51,10 +54,14 @@ def require_subsets(prompts: DataFrame) -> None:
 
 
 def answered_rows(
-    prompts: DataFrame, observation: Observation | None = None, counter: TokenCounter | None = None
+    prompts: DataFrame,
+    observation: Observation | None = None,
+    counter: TokenCounter | None = None,
+    template: ChatTemplate = CHAT,
 ) -> DataFrame:
     """Rows with prompt and response as two-turn ``messages``, without banned tokens.
 
+    ``num_tokens`` counts the whole chat as ``template`` writes it.
     ``observation`` counts rows seen and rows lacking an answer or a reasoning.
     """
     if observation is not None:
@@ -68,8 +75,8 @@ def answered_rows(
     # checks on the two texts themselves, before any array is made of them
     final, response = F.col("final_prompt"), F.col("response")
     kept = prompts.filter(final.isNotNull() & response.isNotNull() & free_of(final) & free_of(response))
-    tokens = token_count(final, counter) + token_count(response, counter)
-    return kept.withColumns({"messages": two_turns(final, response), "num_tokens": tokens})
+    turns = two_turns(final, response)
+    return kept.withColumns({"messages": turns, "num_tokens": chat_tokens(turns, template, counter)})
 
 
 def with_reasoning(
@@ -92,8 +99,9 @@ def generated_rows(
     start: str = fixed.TRAIN_THINK_START,
     end: str = fixed.TRAIN_THINK_END,
     counter: TokenCounter | None = None,
+    template: ChatTemplate = CHAT,
 ) -> DataFrame:
-    return with_reasoning(answered_rows(prompts, observation, counter), start, end)
+    return with_reasoning(answered_rows(prompts, observation, counter, template), start, end)
 
 
 def translated_rows(
