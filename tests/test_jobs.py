@@ -1,5 +1,7 @@
 """Joins, write-backs, languages, skewed inputs, streaming and plan shapes."""
 
+import random
+
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
@@ -176,6 +178,41 @@ def test_a_conversation_of_a_million_turns_is_not_gathered(spark):
     assert [r["conv_id"] for r in gather_turns(both, 2048).collect()] == [2]
 
 
+@pytest.mark.parametrize("stretch", [1, 7, 1000])
+def test_stretches_of_turns_fit_together(spark, stretch):
+    """Faults anywhere, also where two stretches meet; numbers crowded at one end; some texts many times."""
+    draw = random.Random(4)
+    convs, expected = {}, {}
+    for c in range(60):
+        n = draw.choice([1, 2, 3, 40, 150])
+        roles = ["user" if i % 2 == 0 else "assistant" for i in range(n)]
+        numbers = sorted(draw.sample(range(10**6), n)) if c % 2 else [2**i if i < 40 else 2**40 + i for i in range(n)]
+        fault = draw.randrange(6)
+        at = draw.randrange(n)
+        if fault == 0:
+            roles[at] = draw.choice(["system", None])
+        elif fault == 1 and n > 1:
+            numbers[at] = numbers[at - 1] if at else numbers[1]
+        elif fault == 2:
+            roles = roles[1:] + ["user"]
+        elif fault == 3:
+            numbers[at] = None
+        order = sorted(range(n), key=lambda i: (numbers[i] is not None, numbers[i] or 0))
+        sound = len(set(numbers)) == n and None not in numbers
+        expected[c] = (n, sound and [roles[i] for i in order] == ["user" if i % 2 == 0 else "assistant" for i in range(n)])
+        convs[c] = [(c, t, r, "w") for t, r in zip(numbers, roles)]
+    rows = [row for own in convs.values() for row in own]
+    draw.shuffle(rows)
+    found = {r["conv_id"]: (r["n_turns"], r["valid"]) for r in check_turns(turn_rows(spark, rows), stretch=stretch).collect()}
+    assert found == expected
+    assert {v for _, v in expected.values()} == {True, False}
+
+
+def test_turns_are_not_ordered_all_together(spark, sf_dir):
+    plan = plan_of(check_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    assert "rangepartitioning" not in plan and "SinglePartition" not in plan
+
+
 def test_gather_leaves_out_what_cannot_keep_the_limit(spark):
     long_one = [("human" if i % 2 == 0 else "gpt", "w") for i in range(500)]
     wordy = [("human", "w " * 60), ("gpt", "w")]

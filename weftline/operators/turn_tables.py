@@ -6,53 +6,99 @@ or be timestamps.  Rows without a ``conv_id`` belong to no conversation and are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from weftline.functions.text import TokenCounter, is_sound_text, token_count
-from weftline.operators.sampling import with_row_index
+from weftline.session import stored
 
 
-def check_turns(turns: DataFrame, counter: TokenCounter | None = None) -> DataFrame:
+#: turns of a conversation that are put in order together, about
+STRETCH = 100_000
+#: stretches that a longer conversation is cut into
+STRETCHES = 64
+
+
+def with_stretch(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Add ``stretch``: which part of its conversation a turn lies in, 0 for all up to ``stretch`` turns.
+
+    Longer ones are cut at quantiles of their turn numbers, so stretches are about equal however the numbers lie.  Turns
+    of one number share a stretch.
+    """
+    narrow = turns.select("conv_id", "turn")
+    long = narrow.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > stretch)
+    long = stored(long.select("conv_id"), "long-conversations")
+    if long.isEmpty():
+        return turns.withColumn("stretch", F.lit(0))
+    shares = [i / STRETCHES for i in range(1, STRETCHES)]
+    cuts = (
+        narrow.join(long, "conv_id", "left_semi")
+        .groupBy("conv_id")
+        .agg(F.array_distinct(F.percentile_approx("turn", shares)).alias("_cuts"))
+    )
+    cut = turns.join(stored(cuts, "turn-cuts"), "conv_id", "left")
+    before = F.size(F.filter("_cuts", lambda c: c < F.col("turn")))
+    return cut.withColumn("stretch", F.when(F.col("_cuts").isNull(), 0).otherwise(before)).drop("_cuts")
+
+
+def check_turns(
+    turns: DataFrame, counter: TokenCounter | None = None, stretch: int = STRETCH
+) -> DataFrame:
     """Per conversation: turns, tokens and whether it is well formed.
 
     Well formed: user and assistant by turns, the user first, all texts sound, no turn number
-    missing its value or given twice.  The place of a turn is its row number over all turns in
-    order, less the smallest of its conversation; rows are numbered without gathering a conversation.
-    Whether the smallest is even is not known before the end, so misfits are counted for both
-    cases, in sums that are combined before they are shuffled.
+    missing its value or given twice.  A stretch of turns is known by its first role, its last role and the number of
+    its misfits; a conversation is well formed if its stretches are and if they fit together in order.  So no
+    conversation is ordered by one task, and nothing is numbered.
     """
+    speaks = F.col("role").isin("user", "assistant")
     narrow = turns.filter(F.col("conv_id").isNotNull()).select(
         "conv_id",
         "turn",
         "role",
-        is_sound_text(F.col("text")).alias("sound"),
+        F.coalesce(is_sound_text(F.col("text")) & speaks, F.lit(False)).alias("sound"),
         token_count(F.col("text"), counter).alias("tokens"),
     )
-    placed = with_row_index(narrow, ["conv_id", "turn"], "_place")
-    even = F.pmod(F.col("_place"), F.lit(2)) == 0
-    sound = F.col("sound") & F.col("turn").isNotNull()
-    fits_even = sound & (F.col("role") == F.when(even, "user").otherwise("assistant"))
-    fits_odd = sound & (F.col("role") == F.when(even, "assistant").otherwise("user"))
-    by_turn = placed.groupBy("conv_id", "turn").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("tokens").alias("tokens"),
-        F.min("_place").alias("first"),
-        F.count_if(~F.coalesce(fits_even, F.lit(False))).alias("misfits_even"),
-        F.count_if(~F.coalesce(fits_odd, F.lit(False))).alias("misfits_odd"),
+    by_turn = (
+        with_stretch(narrow, stretch)
+        .groupBy("conv_id", "stretch", "turn")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("tokens").alias("tokens"),
+            F.min("role").alias("role"),
+            F.bool_and("sound").alias("sound"),
+        )
+    )
+    before = F.lag("role").over(Window.partitionBy("conv_id", "stretch").orderBy("turn"))
+    single = F.col("sound") & (F.col("n") == 1) & F.col("turn").isNotNull()
+    fits = single & F.coalesce(F.col("role") != before, F.lit(True))
+    own = F.struct("turn", "role")
+    stretches = (
+        by_turn.withColumn("fits", fits)
+        .groupBy("conv_id", "stretch")
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum("tokens").alias("tokens"),
+            F.bool_and("fits").alias("fits"),
+            F.min(own).alias("first"),
+            F.max(own).alias("last"),
+        )
     )
-    sums = by_turn.groupBy("conv_id").agg(
+    ends = F.struct("stretch", F.col("first.role").alias("first"), F.col("last.role").alias("last"))
+    whole = stretches.groupBy("conv_id").agg(
         F.sum("n").alias("n_turns"),
         F.sum("tokens").alias("n_tokens"),
-        F.max("n").alias("most"),
-        F.min("first").alias("first"),
-        F.sum("misfits_even").alias("misfits_even"),
-        F.sum("misfits_odd").alias("misfits_odd"),
+        F.bool_and("fits").alias("fits"),
+        # at most STRETCHES of them
+        F.sort_array(F.collect_list(ends)).alias("ends"),
     )
-    misfits = F.when(F.pmod(F.col("first"), F.lit(2)) == 0, F.col("misfits_even")).otherwise(
-        F.col("misfits_odd")
+    joined = F.forall(
+        F.sequence(F.lit(1), F.size("ends")),
+        lambda i: F.when(i == 1, F.get("ends", F.lit(0))["first"] == "user").otherwise(
+            F.get("ends", i - 1)["first"] != F.get("ends", i - 2)["last"]
+        ),
     )
-    valid = (misfits == 0) & (F.col("most") == 1)
-    return sums.select("conv_id", "n_turns", "n_tokens", valid.alias("valid"))
+    valid = F.col("fits") & F.coalesce(joined, F.lit(False))
+    return whole.select("conv_id", "n_turns", "n_tokens", valid.alias("valid"))
 
 
 def gather_turns(
