@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from queries.conversations import SQL_VALID
 from queries.inputs import (
@@ -32,6 +32,7 @@ from weftline.operators.exchange import one_answer, teacher_map
 from weftline.operators.turn_tables import check_turns, gather_turns
 from weftline.plans import context_job, train_set, translation
 from weftline.session import stored
+from weftline.sources.jsonl import left_out, read_jsonl, write_jsonl
 from weftline.streaming.collect import collect_stream, reconcile
 
 
@@ -222,3 +223,33 @@ def translation_head(spark, sf_dir):
     path = new_folder(spark, "english")
     requests = translation.english_requests(nested, [RUN_LANGUAGE], path, SEED, n=12)
     return requests.select("conv_id", F.size("messages").cast("long").alias("n_turns"), "lang_name", "req_id")
+
+
+_BROKEN = "doc_id % 9 = 4"
+
+
+@query(
+    f"""SELECT 'reading' AS stage, 'lines' AS measure, count(*) AS n FROM documents
+    UNION ALL SELECT 'reading', 'unreadable', count(*) FROM documents WHERE {_BROKEN}
+    UNION ALL SELECT 'training', 'rows', count(*) FROM documents WHERE NOT {_BROKEN}
+    UNION ALL SELECT 'training', 'no_answer', count(*) FROM documents WHERE NOT {_BROKEN} AND doc_id % 4 = 1
+    UNION ALL SELECT 'training', 'no_reasoning', count(*) FROM documents WHERE NOT {_BROKEN} AND doc_id % 4 <> 1 AND doc_id % 5 = 0"""
+)
+def left_out_counts(spark, sf_dir):
+    """A job from JSON lines, some of them cut off, to training rows, and what it left out on the way."""
+    folder = new_folder(spark, "noisy")
+    answer = F.struct(
+        F.col("doc_id").cast("string").alias("prompt_id"),
+        F.col("text").alias("final_prompt"),
+        F.when(F.col("doc_id") % 4 != 1, F.lit("an answer")).alias("response"),
+        F.when(F.col("doc_id") % 5 != 0, F.lit("a reason")).alias("reasoning"),
+    )
+    line = F.to_json(answer)
+    cut = F.when(F.col("doc_id") % 9 == 4, F.substring(line, 1, 20)).otherwise(line)
+    table(spark, sf_dir, "documents").select(cut.alias("value")).write.text(f"{folder}/in")
+    reading, training = Observation("reading"), Observation("training")
+    schema = "prompt_id STRING, final_prompt STRING, response STRING, reasoning STRING"
+    lines = read_jsonl(spark, f"{folder}/in", schema, reading)
+    sound = lines.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    write_jsonl(train_set.generated_rows(sound, training), f"{folder}/out")
+    return left_out(spark, reading=reading, training=training)

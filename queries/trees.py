@@ -91,19 +91,20 @@ def topic_union_distinct(spark, sf_dir):
     return topic_tree.distinct_topics(*topic_levels(spark, sf_dir))
 
 
-_TOPIC_ASKED = f"SELECT *, {sql_request_id(topic_tree.PROMPT_JOB, 'lang_name', 'topic')} AS req_id FROM ({_ALL_TOPICS})"
+_TOPIC_ASKED = f"""SELECT *, {sql_request_id(topic_tree.PROMPT_JOB, 'lang_name', 'topic')} AS req_id,
+    row_number() OVER (PARTITION BY lang_name ORDER BY {sql_key('topic', seed=0)}) - 1 AS ordinal FROM ({_ALL_TOPICS})"""
 
 
 @query(
     f"""WITH answered AS ({sql_answered(_TOPIC_ASKED, lone=True)})
-    SELECT lang_name, topic, unnest(found) AS prompt FROM answered
-    UNION ALL SELECT lang_name, topic, NULL FROM answered WHERE found IS NULL OR len(found) = 0"""
+    SELECT lang_name, topic, ordinal AS "index", unnest(found) AS prompt FROM answered
+    UNION ALL SELECT lang_name, topic, ordinal, NULL FROM answered WHERE found IS NULL OR len(found) = 0"""
 )
 def topic_prompts(spark, sf_dir):
     topics = topic_tree.distinct_topics(*topic_levels(spark, sf_dir))
     requests = stored(topic_tree.prompt_requests(topics), "topic-prompt-requests")
     return topic_tree.topic_prompts(requests, responses(requests, "prompts")).select(
-        "lang_name", "topic", "prompt"
+        "lang_name", "topic", "index", "prompt"
     )
 
 
@@ -148,20 +149,21 @@ def scenario_union_all(spark, sf_dir):
     return scenario_tree.all_scenarios(detailed, broad).select("lang_name", "level", "scenario")
 
 
-_SCENARIO_ASKED = f"SELECT *, {sql_request_id(scenario_tree.PROMPT_JOB, 'node_id')} AS req_id FROM ({_ALL_SCENARIOS})"
+_SCENARIO_ASKED = f"""SELECT *, {sql_request_id(scenario_tree.PROMPT_JOB, 'node_id')} AS req_id,
+    row_number() OVER (PARTITION BY lang_name ORDER BY {sql_key('node_id', seed=0)}) - 1 AS ordinal FROM ({_ALL_SCENARIOS})"""
 
 
 @query(
     f"""WITH answered AS ({sql_answered(_SCENARIO_ASKED, lone=True)})
-    SELECT lang_name, node AS scenario, unnest(found) AS prompt FROM answered
-    UNION ALL SELECT lang_name, node, NULL FROM answered WHERE found IS NULL OR len(found) = 0"""
+    SELECT lang_name, node AS scenario, ordinal AS "index", unnest(found) AS prompt FROM answered
+    UNION ALL SELECT lang_name, node, ordinal, NULL FROM answered WHERE found IS NULL OR len(found) = 0"""
 )
 def scenario_prompts(spark, sf_dir):
     broad, detailed = scenario_levels(spark, sf_dir)
     scenarios = scenario_tree.all_scenarios(detailed, broad)
     requests = stored(scenario_tree.prompt_requests(scenarios), "scenario-prompt-requests")
     return scenario_tree.scenario_prompts(requests, responses(requests, "prompts")).select(
-        "lang_name", "scenario", "prompt"
+        "lang_name", "scenario", "index", "prompt"
     )
 
 

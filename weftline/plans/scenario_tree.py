@@ -8,6 +8,7 @@ from weftline import fixed_values as fixed
 from weftline.functions.answers import string_list, string_or_list, with_parsed_answer
 from weftline.operators.exchange import attach, request_id, retry
 from weftline.operators.explode import explode_strings
+from weftline.operators.sampling import with_hash_index
 from weftline.plans import requests as ask
 
 SCENARIO_JOB = "scenarios"
@@ -74,9 +75,11 @@ def all_scenarios(*levels: DataFrame) -> DataFrame:
 
 
 def prompt_requests(
-    scenarios: DataFrame, n: int = fixed.PROMPTS_PER_SCENARIO, template: str = fixed.PROMPT_SYSTEM
+    scenarios: DataFrame, n: int = fixed.PROMPTS_PER_SCENARIO, template: str = fixed.PROMPT_SYSTEM, seed: int = 0
 ) -> DataFrame:
-    keyed = scenarios.withColumns(
+    """Requests for prompts, one per scenario; ``index`` numbers the scenarios of a language from 0, in random order."""
+    numbered = with_hash_index(scenarios, ["scenario_id"], seed, "index", by=["lang_name"])
+    keyed = numbered.withColumns(
         {"attempt": F.lit(0), "req_id": request_id(PROMPT_JOB, "scenario_id")}
     )
     return ask.scenario_prompt_requests(keyed, n, template)
@@ -90,6 +93,7 @@ def scenario_prompts(requests: DataFrame, responses: DataFrame) -> DataFrame:
         request_id("prompt", "req_id", "pos").alias("prompt_id"),
         F.lit("scenario").alias("subset"),
         "lang_name",
+        "index",
         "scenario",
         "prompt",
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weftline import fixed_values as fixed
 from weftline.functions.answers import string_list, string_or_list, with_parsed_answer
 from weftline.operators.explode import explode_strings
+from weftline.operators.sampling import with_hash_index
 from weftline.operators.exchange import attach, request_id
 from weftline.plans import requests as ask
 
@@ -72,9 +73,11 @@ def _stack(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def prompt_requests(
-    topics: DataFrame, n: int = fixed.PROMPTS_PER_TOPIC, template: str = fixed.PROMPT_SYSTEM
+    topics: DataFrame, n: int = fixed.PROMPTS_PER_TOPIC, template: str = fixed.PROMPT_SYSTEM, seed: int = 0
 ) -> DataFrame:
-    keyed = topics.withColumns(
+    """Requests for prompts, one per topic; ``index`` numbers the topics of a language from 0, in random order."""
+    numbered = with_hash_index(topics, ["topic"], seed, "index", by=["lang_name"])
+    keyed = numbered.withColumns(
         {"attempt": F.lit(0), "req_id": request_id(PROMPT_JOB, "lang_name", "topic")}
     )
     return ask.topic_prompt_requests(keyed, n, template)
@@ -88,6 +91,7 @@ def topic_prompts(requests: DataFrame, responses: DataFrame) -> DataFrame:
         request_id("prompt", "req_id", "pos").alias("prompt_id"),
         F.lit("topic").alias("subset"),
         "lang_name",
+        "index",
         "topic",
         "prompt",
     )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -69,6 +70,75 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def _move(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder in one step; false if the target is there already."""
+    hadoop = spark._jvm.org.apache.hadoop
+    context = hadoop.fs.FileContext.getFileContext(
+        hadoop.fs.Path(target).toUri(), spark._jsc.hadoopConfiguration()
+    )
+    no_overwrite = spark.sparkContext._gateway.new_array(hadoop.fs.Options.Rename, 1)
+    no_overwrite[0] = hadoop.fs.Options.Rename.NONE
+    try:
+        context.rename(hadoop.fs.Path(source), hadoop.fs.Path(target), no_overwrite)
+    except Py4JJavaError as error:
+        kind = error.java_exception.getClass().getSimpleName()
+        if kind in ("FileAlreadyExistsException", "FileNotFoundException") or _exists(spark, target):
+            return False
+        raise
+    return True
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
+
+
+def _touch(spark: SparkSession, path: str) -> None:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).create(own).close()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def write_once(
+    spark: SparkSession, path: str, write: Callable[[str], None], force: bool = False
+) -> bool:
+    """Let ``write`` make the folder ``path``, once: false if another write was first, whose folder then stays.
+
+    ``write`` is given a folder aside, which is renamed when it is complete.  The rename is one step that fails where the folder
+    is already there, so of several drivers that write at the same time one wins as a whole, and
+    nobody reads half of one and half of the other.  What is left of a write that was cut off does not count: it is moved aside
+    and deleted.  With ``force`` a complete folder is replaced as well; readers of the old one have to be done.
+    Needs a file system with an atomic rename (HDFS, a local or mounted folder), not a bare object store.
+    """
+    path = path.rstrip("/")
+    if not force and is_complete(spark, path):
+        return False
+    name = uuid.uuid4().hex
+    aside = f"{path}.new-{name}"
+    write(aside)
+    _touch(spark, f"{aside}/_writer-{name}")
+    while True:
+        if _move(spark, aside, path):
+            if _exists(spark, f"{path}/_writer-{name}"):
+                return True
+            # a local file system, where another folder has come up since the rename looked, copies into that
+            _delete(spark, f"{path}/{aside.rsplit('/', 1)[-1]}")
+            return False
+        if not force and is_complete(spark, path):
+            _delete(spark, aside)
+            return False
+        old = f"{path}.old-{uuid.uuid4().hex}"
+        if _move(spark, path, old):
+            if not force and is_complete(spark, old) and _move(spark, old, path):
+                _delete(spark, aside)  # another driver was done in between: its folder is put back
+                return False
+            _delete(spark, old)
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], *plain: str) -> DataFrame:
     """Inner join on equal ``keys`` where two nulls are equal, with the keys of the left.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.operators.exchange import from_batch, to_batch
 from weftline.schemas import BATCH_RESULT
-from weftline.session import is_complete
+from weftline.session import write_once
 
 
 def write_requests(
@@ -14,11 +14,14 @@ def write_requests(
 ) -> None:
     """Write request lines, at most ``max_records`` per file (``settings`` as in ``to_batch``).
 
-    A run that was written completely before is left as it is, unless ``force`` is set.
+    A run that was written completely before is left as it is, unless ``force`` is set; of drivers that
+    write at the same time one wins.
     """
-    if force or not is_complete(requests.sparkSession, path):
-        writer = to_batch(requests, **settings).write.mode("overwrite")
-        writer.option("maxRecordsPerFile", max_records).json(path)
+
+    def write(aside: str) -> None:
+        to_batch(requests, **settings).write.option("maxRecordsPerFile", max_records).json(aside)
+
+    write_once(requests.sparkSession, path, write, force)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

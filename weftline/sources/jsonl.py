@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from weftline.functions.text import filesafe
 from weftline.schemas import PROMPTS
-from weftline.session import is_complete
+from weftline.session import write_once
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of JSON lines; a line that cannot be read is kept in ``_corrupt_record``."""
-    return spark.read.schema(f"{schema}, _corrupt_record STRING").json(path)
+def read_jsonl(
+    spark: SparkSession, path: str, schema: str, observation: Observation | None = None
+) -> DataFrame:
+    """Rows of JSON lines; a line that cannot be read is kept in ``_corrupt_record``.
+
+    ``observation`` counts the lines and those that cannot be read.
+    """
+    lines = spark.read.schema(f"{schema}, _corrupt_record STRING").json(path)
+    if observation is None:
+        return lines
+    return lines.observe(
+        observation, F.count(F.lit(1)).alias("lines"), F.count("_corrupt_record").alias("unreadable")
+    )
 
 
 def write_jsonl(
@@ -60,9 +70,18 @@ def read_prompt_files(spark: SparkSession, root: str, schema: str = PROMPTS) ->
 def freeze(sample: DataFrame, path: str) -> DataFrame:
     """The sample stored under ``path``; written the first time, only read after that.
 
-    A write that was cut off does not count as the first time.
+    A write that was cut off does not count as the first time.  Of drivers that come first together one
+    wins, and all read its sample.
     """
     spark = sample.sparkSession
-    if not is_complete(spark, path):
-        sample.write.mode("overwrite").json(path)
+    write_once(spark, path, lambda aside: sample.write.json(aside))
     return spark.read.schema(sample.schema).json(path)
+
+
+def left_out(spark: SparkSession, **observations: Observation) -> DataFrame:
+    """``(stage, measure, n)``: what the stages of a job counted while they ran, one row for each measure.
+
+    To be called after the job's output is written: an observation waits for its rows to pass.
+    """
+    rows = [(stage, name, n) for stage, seen in observations.items() for name, n in seen.get.items()]
+    return spark.createDataFrame(rows, "stage STRING, measure STRING, n BIGINT")
