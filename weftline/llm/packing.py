@@ -8,7 +8,7 @@ Bins that stay clearly underfull are taken apart and packed again with those of
 ever fewer groups, until one group is left.
 
 Token ids of a text are the ids of its parts between blanks: the tokenizer drops white space and never joins
-across it.  Parts are looked up in a table of bounded size that the tokenizer itself fills.
+across it.  Parts are looked up in a table of bounded size that the tokenizer and its merges fill.
 
 Defined results: a null text is an empty one, whose only token is the separator; an empty table
 gives an empty table; repeated rows are packed each by itself; ties are broken by row number;
@@ -17,12 +17,16 @@ other columns of the input are not looked at.
 
 from __future__ import annotations
 
+import string
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm.common import text_or_empty, tokenizer_path
@@ -33,96 +37,133 @@ SEPARATOR = 0
 VOCABULARY = "word_bpe_49k.json"
 #: pieces packed together in one task, about
 GROUP = 8192
-#: swap searches in one group, at most
-SEARCH_STEPS = 1500
+#: swap searches in one group for each of its bins, at most
+SEARCHES_PER_BIN = 16
 #: a bin with less than this share filled is packed again in the next round
 UNDERFULL = 0.97
-#: parts of texts whose ids are kept in a task before the table is emptied, and their longest length
-KEPT_PARTS = 600_000
+#: parts of texts whose ids are kept in each half of a worker's table, and their longest length
+KEPT_PARTS = 400_000
 LONGEST_PART = 64
-#: what often stands behind a word
-MARKS = ".,;:!?"
+#: characters of texts that are coded together, about
+CHARACTERS = 12_000_000
+#: what may stand behind a word and is one unit of the tokenizer
+MARKS = string.punctuation
+#: letters from here on may be split differently by different versions of the character tables
+FIRST_ODD_LETTER = "\u0250"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in the vocabulary, by the rule of byte-level BPE."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
 class PartCodes:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
-    Parts that are words of letters are encoded together, as one text: every word is one unit of the tokenizer,
-    and its last token ends in ``WORD_END``.  If there are not as many ends as words (letters that
-    fall apart when they are normalised), each is encoded by itself, as are all other parts.
+    A part that is a word of letters, as most are, is one unit of the tokenizer: its merges are applied to it directly.  Marks
+    behind a word are one more unit, looked up by themselves.  Everything else goes through the whole tokenizer.
+    Known parts are kept in two halves: when the newer one is full the older one is dropped, and a part
+    that is met again moves to the newer one.  So what is frequent stays, and memory is bounded.
     """
 
-    WORD_END = "</w>"
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_PARTS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        tokens = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(tokens.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in tokens.items() if t.endswith(self.WORD_END)]] = True
+        self.merges = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.kept = kept
         self.marks: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def each(self, parts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def words(self, parts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(parts), 2000):
-            own = parts[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) != len(own):
-                out += self.each(own)
-                continue
-            code, start = ids.tobytes(), 0
-            for stop in stops:
-                out.append(code[start:stop])
-                start = stop
-        return out
-
-    def learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Codes of parts; marks behind a word and capitals in plain letters need no encoding of their own."""
-        words: dict[str, None] = {}
-        made, others = [], []
+    def word(self, base: str) -> bytes | None:
+        """The code of a word of letters; None where it is no single unit of plain letters once it is normalised.
+
+        It is kept under the normalised word, for all its spellings.
+        """
+        if base.isascii():
+            unit = base.lower()
+        else:
+            unit = unicodedata.normalize("NFC", base).lower()
+            if max(unit) >= FIRST_ODD_LETTER or not unit.isalpha():
+                return None
+        code = self.known.get(unit) or self.older.get(unit)
+        if code is None:
+            bare = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
+            code = array("I", [t.id for t in self.merges(bare)]).tobytes()
+            if len(unit) <= LONGEST_PART:
+                self.known[unit] = code
+        return code
+
+    def learn(self, missing: list[str]) -> None:
+        """Codes of parts that are not known yet."""
+        others = []
         for part in missing:
             base = part.rstrip(MARKS)
-            mark = part[len(base) :]
-            if not base.isalpha():
+            code = self.word(base) if base.isalpha() else None
+            if code is None:
                 others.append(part)
                 continue
-            if base.isascii():
-                base = base.lower()
-            elif not unicodedata.normalize("NFC", base).lower().isalpha():
-                others.append(part)  # falls apart into letters and accents
-                continue
-            if mark and mark not in self.marks:
-                (self.marks[mark],) = self.each([mark])
-            made.append((part, base, mark))
-            if base not in self.known:
-                words[base] = None
-        new = dict(zip(words, self.words(list(words)), strict=True))
-        for part, base, mark in made:
-            code = new[base] if base in new else self.known[base]
-            new[part] = code + self.marks[mark] if mark else code
-        new.update(zip(others, self.each(others), strict=True))
-        return new
-
-    def codes(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > KEPT_PARTS:
-            self.known, self.marks = {"": b""}, {}
-        known = self.known
-        missing = list({p for ps in parts for p in ps if p not in known})
-        if missing:
-            known.update(self.learn(missing))
-        joined = [b"".join(map(known.__getitem__, ps)) for ps in parts]
+            mark = part[len(base) :]
+            if mark:
+                if mark not in self.marks:
+                    (self.marks[mark],) = self.each([mark])
+                code += self.marks[mark]
+            self.known[part] = code
+        self.known.update(zip(others, self.each(others), strict=True))
+
+    def coded(self, parts: list[str]) -> list[bytes]:
+        """Codes of different parts."""
+        if len(self.known) > self.kept:
+            self.older, self.known, self.marks = self.known, {"": b""}, {}
+        known, older = self.known, self.older
+        found = list(map(known.get, parts))
+        missing = [part for part, code in zip(parts, found) if code is None]
+        for part in missing:
+            if part in older:
+                known[part] = older.pop(part)
+        self.learn([part for part in missing if part not in known])
+        found = [known[part] if code is None else code for part, code in zip(parts, found)]
         for part in missing:
             if len(part) > LONGEST_PART:
-                del known[part]
-        return joined
+                known.pop(part, None)
+        return found
+
+    def codes(self, texts: list[str]) -> list[bytes]:
+        """Codes of texts: each different part is looked up once, and the ids of all are gathered together."""
+        spaced = pc.replace_substring(pa.array(texts, pa.string()), "\n", " ")
+        split = pc.split_pattern(spaced, " ")
+        parts = split.values.dictionary_encode()
+        found = self.coded(parts.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = parts.indices.to_numpy()
+        own = sizes[which]
+        ends = np.cumsum(own)
+        starts = (np.cumsum(sizes) - sizes)[which]
+        # the place of every token: from where its part's ids start, on
+        places = np.repeat(starts - ends + own, own) + np.arange(int(own.sum()))
+        whole = ids[places].tobytes()
+        cuts = (4 * np.concatenate([[0], ends]))[split.offsets.to_numpy()].tolist()
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+#: tables of this process: a worker that runs several tasks keeps what it knows
+_CODERS: dict[str, PartCodes] = {}
+
+
+def coder(path: str) -> PartCodes:
+    if path not in _CODERS:
+        _CODERS.clear()
+        _CODERS[path] = PartCodes(path)
+    return _CODERS[path]
 
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -145,13 +186,13 @@ def pieces(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = PartCodes(path)
+        own_codes = coder(path).codes
         for batch in batches:
             rows = []
-            # a few texts at a time, so that memory does not follow the batch
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                for own, code in zip(part["doc_id"], coder.codes(list(part["text"])), strict=True):
+            # so many characters at a time, so that memory does not follow the batch
+            volume = batch["text"].str.len().cumsum() // CHARACTERS
+            for _, part in batch.groupby(volume, sort=False):
+                for own, code in zip(part["doc_id"], own_codes(list(part["text"])), strict=True):
                     code += end
                     for n, start in enumerate(range(0, len(code), 4 * capacity)):
                         ids = code[start : start + 4 * capacity]
@@ -192,13 +233,15 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def swap_search(
-    bins: list[list[int]], lengths: np.ndarray, capacity: int, steps: int = SEARCH_STEPS
+    bins: list[list[int]], lengths: np.ndarray, capacity: int, steps: int | None = None
 ) -> list[list[int]]:
     """Empty the emptiest bins by moves and swaps that increase the sum of squared fills.
 
     A step takes one or two documents of the emptiest bin and gives them to another bin, for nothing
     (a move) or for one of its documents; the best such step is made.
     """
+    if steps is None:
+        steps = SEARCHES_PER_BIN * len(bins)
     fill = np.array([int(lengths[b].sum()) for b in bins], dtype=np.int64)
     of = np.empty(len(lengths), dtype=np.int64)
     for n, b in enumerate(bins):
@@ -289,7 +332,7 @@ def packed_pieces(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP)
     n = open_pieces.count()
     schema = "_uid long, length long, bin long, offset long, full boolean"
     done: list[DataFrame] = []
-    level = 0
+    level, before = 0, None
     while n:
         groups = max(1, -(-n // group))
         last = groups == 1
@@ -303,12 +346,16 @@ def packed_pieces(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP)
         tried = stored(tried, "packed")
         done.append(tried.filter("full").select("_uid", "bin", "offset"))
         open_pieces = tried.filter("NOT full").select("_uid", "length")
-        left = open_pieces.count()
-        # where rounds no longer help, larger groups do not either: the rest is packed as it is
-        if left > 0.7 * n and not last:
+        # every bin has one piece at its beginning
+        begins = F.col("offset") == 0
+        left, made, underfull = tried.agg(
+            F.count_if(~F.col("full")), F.count_if(begins), F.count_if(begins & ~F.col("full"))
+        ).first()
+        # a round that saves less than one bin for each of its groups is the last: larger groups save no more
+        if not last and before is not None and before - made < groups:
             done.append(tried.filter("NOT full").select("_uid", "bin", "offset"))
             break
-        n, level = left, level + 1
+        n, before, level = left, underfull, level + 1
     whole = numbered.filter(F.col("length") >= capacity).select(
         "_uid", F.col("_uid").alias("bin"), F.lit(0).cast("long").alias("offset")
     )
