@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -212,28 +213,43 @@ def clear_of(spans: Column, others: Column) -> Column:
     )
 
 
-#: bits of a key filter: one megabyte, whatever the number of keys
-FILTER_BITS = 1 << 23
+#: bits of a key filter: sixteen for a key, between one megabyte and 64
+LEAST_BITS = 1 << 23
+MOST_BITS = 1 << 29
 _CHUNK = 1 << 15
 
 
-def key_filter(keys: DataFrame, key: str) -> DataFrame:
-    """A bitmap of the hashes of ``keys``, at most ``FILTER_BITS`` long: ``(_chunk, _bits)``, at most 256 rows of 4 KB."""
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(FILTER_BITS))
+class KeyFilter(NamedTuple):
+    """A bitmap of hashes of keys: rows ``(_chunk, _bits)`` of 4 KB each, and how many bits there are in all."""
+
+    table: DataFrame
+    bits: int
+
+
+def _place(key: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(bits))
+
+
+def key_filter(keys: DataFrame, key: str) -> KeyFilter:
+    """A bitmap that tells most other keys from ``keys`` (a stored table), sized by their number."""
+    n, bits = keys.count(), LEAST_BITS
+    while bits < MOST_BITS and bits < 16 * n:
+        bits *= 2
+    place = _place(key, bits)
     hashed = keys.select(F.floor(place / _CHUNK).cast("int").alias("_chunk"), (place % _CHUNK).alias("_at"))
-    bits = hashed.groupBy("_chunk").agg(F.bitmap_construct_agg("_at").alias("_bits"))
-    return stored(bits, "key-filter")
+    chunks = hashed.groupBy("_chunk").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    return KeyFilter(stored(chunks, "key-filter"), bits)
 
 
-def may_match(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+def may_match(df: DataFrame, key: str, bitmap: KeyFilter) -> DataFrame:
     """``df`` with ``_may``: false only where ``key`` is none of the filter's keys.
 
-    Rows that cannot match need not be shuffled for a join.  The bitmap has a fixed size, so it is broadcast; with more
-    keys than it can tell apart it lets more rows through, and the join decides as before.
+    Rows that cannot match need not be shuffled for a join.  The bitmap has at most ``MOST_BITS``, so it is broadcast; beyond
+    some thirty million keys it lets more and more rows through, and the join decides as before.
     """
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(FILTER_BITS))
+    place = _place(key, bitmap.bits)
     own = df.withColumn("_chunk", F.floor(place / _CHUNK).cast("int"))
-    joined = own.join(F.broadcast(bitmap), "_chunk", "left")
+    joined = own.join(F.broadcast(bitmap.table), "_chunk", "left")
     at = place % _CHUNK
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.floor(byte / F.pow(F.lit(2.0), at % 8)) % 2 == 1

@@ -20,8 +20,10 @@ from weftline.llm.common import (
     Span,
     as_spans,
     clear_of,
+    key_filter,
     listed,
     matched,
+    may_match,
     n_of_kind,
     packed,
     replaced,
@@ -216,8 +218,13 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
         .groupBy("text_hash")
         .agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("_terms"))
     )
-    rows = packed(df, text)
-    joined = rows.join(by_text, F.xxhash64("_text") == F.col("text_hash"), "left").drop("text_hash")
+    # texts without such a term are not moved; the filter lets some of them through
+    by_text = stored(by_text, "marked-texts")
+    rows = packed(df, text).withColumn("text_hash", F.xxhash64("_text"))
+    rows = may_match(rows, "text_hash", key_filter(by_text, "text_hash"))
+    marked = rows.filter("_may").join(by_text, "text_hash", "left")
+    clear = rows.filter("NOT _may").withColumn("_terms", F.lit(None).cast("map<string,string>"))
+    joined = marked.unionByName(clear).drop("text_hash", "_may")
     found = base_found(joined)
     base = F.array_sort(
         F.concat(*[as_spans(F.col(f"_found_{k}"), k, i) for i, (k, _) in enumerate(BASE)])
