@@ -2,7 +2,8 @@
 
 Toxic documents go; one document of each group of near duplicates stays; personal data is replaced; sources are mixed to
 target weights (a document may then occur several times, or not at all); what is left is packed into sequences.
-Between stages everything is a table, so a lost executor repeats one stage at most.
+Between stages everything is a table, so a lost executor repeats one stage at most.  What a stage wrote for itself is
+deleted once its result is a table.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import mixing, ngram_join, packing, pii, toxicity
 from weftline.llm.common import n_words, own_shared_dir
-from weftline.session import stored
+from weftline.session import remove_stages, stage_tables, stored
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +70,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     own_shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with stage_tables() as made:
+            result = stage(spark, docs, sf_dir)
+        docs = stored(result, name)
+        remove_stages(spark, made)
     return STAGES[-1][1](spark, docs, sf_dir)

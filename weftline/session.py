@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,18 +29,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
 _STAGES: list[str] = []
 
 
-def remove_stages(spark: SparkSession) -> int:
-    """Delete the stage tables written so far; to be called once a job's output is complete.
+def remove_stages(spark: SparkSession, paths: Sequence[str] | None = None) -> int:
+    """Delete stage tables, all that were written so far or those of ``paths``; to be called once a job's output is complete.
 
     DataFrames that start from them can no longer be used.  Returns how many there were.
     """
     removed = 0
-    while _STAGES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
-        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for own in list(_STAGES if paths is None else paths):
+        if own in _STAGES:
+            _STAGES.remove(own)
+            path = spark._jvm.org.apache.hadoop.fs.Path(own)
+            removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return removed
 
 
+@contextmanager
+def stage_tables() -> Iterator[list[str]]:
+    """Collects the folders of the stage tables that are written inside, for ``remove_stages``."""
+    before, made = set(_STAGES), []
+    yield made
+    made += [path for path in _STAGES if path not in before]
+
+
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: the stage boundary.
 
