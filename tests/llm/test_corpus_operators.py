@@ -205,17 +205,79 @@ def plain_spans(texts):
     return {k: "".join(s for i, s in enumerate(own) if i not in gone[k]) for k, own in cut.items()}
 
 
+def plain_part_spans(texts):
+    """What is kept of every text by the rule with parts, run by run, as it is stated: no hashes, no shortcuts."""
+    import re
+
+    cuts, runs = {}, {}
+    for k, text in texts.items():
+        text = text or ""
+        sents = [m.span() for m in re.finditer(r"[^.!?\n]*[.!?\n]+[ \t\n\x0b\f\r]*|[^.!?\n]+", text)]
+        begins = {a for a, _ in sents} | {0}
+        for n, blank in enumerate(text):
+            if blank in " \t\n\x0b\f\r":
+                m = n + 1
+                while m < len(text) and not (text[m].isalnum() or text[m] == "_" or text[m].isspace()):
+                    m += 1
+                if m < len(text) and (text[m].isupper() or text[m].istitle()):
+                    begins.add(n + 1)
+        begins = sorted(begins)
+        parts = list(zip(begins, [*begins[1:], len(text)]))
+        cuts[k] = parts
+
+        def said(i, j):  # the words of parts i to j
+            return " ".join(re.findall(r"[^\W_]+", text[parts[i][0] : parts[j][1]].lower()))
+
+        at = {a: i for i, (a, _) in enumerate(parts)}
+        first = [at[a] for a, _ in sents]
+        last = [*(f - 1 for f in first[1:]), len(parts) - 1]
+        own = {}
+        for a, b in zip(first, last[1:]):
+            if len(said(a, b)) >= 40:
+                own[a, b] = False
+        worded = [i for i in range(len(parts)) if said(i, i)]
+        for n, i in enumerate(worded):
+            on = next((j for j in worded[n:] if len(said(i, j)) >= 80), None)
+            upto = next((j for j in reversed(worded[: n + 1]) if len(said(j, i)) >= 80), None)
+            for run in ([(i, on)] if on is not None else []) + ([(upto, i)] if upto is not None else []):
+                own.setdefault(run, True)
+        if worded and len(said(worded[0], worded[-1])) >= 40:
+            own.setdefault((worded[0], worded[-1]), True)
+        runs[k] = {run: (said(*run), by_parts) for run, by_parts in own.items()}
+    stands = {}
+    for k in sorted(runs):
+        for (a, b), (words_, _) in sorted(runs[k].items()):
+            stands.setdefault(words_, (k, a, b))
+    kept = {}
+    for k, parts in cuts.items():
+        gone = set()
+        for (a, b), (words_, by_parts) in runs[k].items():
+            own, at, end = stands[words_]
+            if own != k or a > (end if by_parts else at):
+                gone |= set(range(a, b + 1))
+        kept[k] = "".join((texts[k] or "")[x:y] for i, (x, y) in enumerate(parts) if i not in gone)
+    return kept
+
+
 def test_spans_equal_a_plain_pass(spark, sf_dir):
+    """Sentence runs alone, and with runs of parts, each against its rule, on made texts and on a whole table."""
     passage = f"{words(20, 1)}. {words(15, 2)}! {words(22, 3)}."
     texts = {i: f"{words(12, 50 + i)}. {passage} {words(9, 90 + i)}\n{words(14, 130 + i)}." for i in range(30)}
-    texts |= {40: "", 41: "...\n!!", 42: "no end", 43: passage + passage, 44: passage.upper()}
+    texts |= {40: "", 41: "...\n!!", 42: "no end", 43: passage + passage, 44: passage.upper(), 45: "Ha " * 200}
     table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    alone = {r["doc_id"]: r["text"] for r in sentence_spans.deduplicated(table, parts=False).collect()}
+    assert alone == plain_spans(texts)
     got = {r["doc_id"]: r["text"] for r in sentence_spans.deduplicated(table).collect()}
-    assert got == plain_spans(texts)
-    assert passage in got[0] and all(words(15, 2) not in got[i] for i in range(1, 30))
-    whole = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    assert got == plain_part_spans(texts)
+    for found in (alone, got):
+        assert passage in found[0] and all(words(15, 2) not in found[i] for i in range(1, 30))
+    docs_ = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    whole = {r[0]: r[1] for r in docs_.collect()}
+    alone = {r["doc_id"]: r["text"] for r in sentence_spans.deduplicated(docs_, parts=False).collect()}
+    assert alone == plain_spans(whole)
     found = {r["doc_id"]: r["text"] for r in queries.QUERIES["op7_sentence_spans"](spark, sf_dir).collect()}
-    assert found == plain_spans(whole)
+    assert found == plain_part_spans(whole)
+    assert sum(map(len, found.values())) < sum(map(len, alone.values()))
 
 
 def test_passages_in_the_middle_of_sentences(spark):

@@ -67,8 +67,11 @@ def cut(text: str) -> tuple[list[int], list[int]]:
     return at, [0, *(place[x] for x in ends)]
 
 
-def runs_of(text: str, run: int = RUN) -> dict[tuple[int, int], tuple[str, bool]]:
-    """``(first part, number of parts)`` of all runs of a text, with their plain text and whether they are runs of parts."""
+def runs_of(text: str, run: int = RUN, parts: bool = True) -> dict[tuple[int, int], tuple[str, bool]]:
+    """``(first part, number of parts)`` of all runs of a text, with their plain text and whether they are runs of parts.
+
+    Without ``parts`` these are the runs of sentences alone.
+    """
     at, first = cut(text)
     word = patterns()[2]
     plain = [" ".join(word.findall(text[a:b].lower())) for a, b in zip(at, at[1:])]
@@ -78,6 +81,8 @@ def runs_of(text: str, run: int = RUN) -> dict[tuple[int, int], tuple[str, bool]
         own = " ".join(whole[i : i + run])
         if len(own) >= RUN_CHARS:
             found[first[i], first[i + run] - first[i]] = own, False
+    if not parts:
+        return found
     worded = [i for i, p in enumerate(plain) if p]
     flat = " ".join(plain[i] for i in worded)
     begin = [0]  # of each part with words in ``flat``
@@ -96,7 +101,7 @@ def runs_of(text: str, run: int = RUN) -> dict[tuple[int, int], tuple[str, bool]
     return found
 
 
-def run_rows(run: int):
+def run_rows(run: int, parts: bool):
     """Function of record batches: ``(_uid, _id, place, size, of_parts, hash)`` of all runs of ``(_uid, _id, _text)``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,11 +110,11 @@ def run_rows(run: int):
                 some = batch.slice(start, STEP)
                 own, place, size, of_parts, hashes = [], [], [], [], []
                 for i, text in enumerate(some.column("_text").to_pylist()):
-                    for (at, n), (plain, parts) in runs_of(text, run).items():
+                    for (at, n), (plain, by_parts) in runs_of(text, run, parts).items():
                         own.append(i)
                         place.append(at)
                         size.append(n)
-                        of_parts.append(parts)
+                        of_parts.append(by_parts)
                         digest = blake2b(plain.encode(), digest_size=8).digest()
                         hashes.append(int.from_bytes(digest, "little", signed=True))
                 own = pa.array(own, pa.int64())
@@ -146,15 +151,18 @@ def without(texts: pd.Series, places: pd.Series, sizes: pd.Series) -> pd.DataFra
 
 
 def deduplicated(
-    df: DataFrame, text: str = "text", doc_id: str = "doc_id", run: int = RUN
+    df: DataFrame, text: str = "text", doc_id: str = "doc_id", run: int = RUN, parts: bool = True
 ) -> DataFrame:
-    """``df`` with repeated parts of sentences removed from ``text``, and ``n_sentences``, ``n_removed``."""
+    """``df`` with repeated parts of sentences removed from ``text``, and ``n_sentences``, ``n_removed``.
+
+    Without ``parts`` only runs of whole sentences count, and whole sentences go.
+    """
     rows = packed(df, text).withColumn("_uid", F.monotonically_increasing_id())
     rows = stored(rows, "sentence-rows")
     cut_rows = rows.select("_uid", F.col("_row")[doc_id].alias("_id"), "_text")
     added = {"place": T.IntegerType(), "size": T.IntegerType(), "of_parts": T.BooleanType(), "hash": T.LongType()}
     schema = T.StructType([*cut_rows.schema.fields[:2], *(T.StructField(n, t) for n, t in added.items())])
-    runs = cut_rows.mapInArrow(run_rows(run), schema)
+    runs = cut_rows.mapInArrow(run_rows(run, parts), schema)
     runs = stored(runs, "sentence-runs")
     occurrence = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_uid"), F.col("place"), F.col("size"))
     # only runs that may stand twice are moved with what they carry
