@@ -168,11 +168,52 @@ def test_join_odd_rows(spark):
     assert ngram_join.joined(wide.limit(0)).count() == 0
 
 
-def test_prefix_is_shortened_until_the_recall_is_met():
-    assert ngram_join.needed_depth(0.8, trees=1, depth=8, recall=0.9) == 1
-    d = ngram_join.needed_depth(0.8)
-    assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL
-    assert 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES < ngram_join.RECALL
+def test_lowest_similarity_by_trying_all():
+    for n in range(1, 80):
+        found = [i / (n + m - i) for m in range(1, 2 * n + 2) for i in range(min(n, m) + 1) if 5 * i >= 4 * (n + m - i) and i < n + m - i]
+        assert ngram_join.lowest_similarity(n) == min(found, default=1.0)
+        depth = ngram_join.set_depth(n)
+        missed = lambda d: (1 - min(found) ** d) ** ngram_join.TREES
+        assert (depth == 0) == (not found)
+        if found:
+            assert missed(depth) <= 1 - ngram_join.RECALL
+            assert depth == ngram_join.DEPTH or missed(depth + 1) > 1 - ngram_join.RECALL
+    assert ngram_join.set_depth(10**6) == ngram_join.SHORTEST
+
+
+def test_prefixes_are_shortened_as_far_as_a_set_needs(spark):
+    """The same paths, once of sets that need the whole path and once of sets that need less."""
+
+    def edges(depths):
+        paths = {1: "aabbccdd", 2: "aabbccdd", 3: "aabbccde", 4: "aabbccxx", 5: "aabbyyyy", 6: "zabbccdd"}
+        rows = [(s, depths, b"\x00" + "".join(f"{c}{c}" for c in p).encode()) for s, p in paths.items()]
+        found = ngram_join.forest_edges(spark.createDataFrame(rows, "_set long, depth int, path binary")).collect()
+        hung = {s: {s} for s in paths}
+        for r in found:
+            both = hung[r["a"]] | hung[r["b"]]
+            for s in both:
+                hung[s] = both
+        return {frozenset(s) for s in hung.values()}
+
+    one = lambda *sets: {frozenset(s) for s in sets}
+    assert edges(8) == one({1, 2}, {3}, {4}, {5}, {6})
+    assert edges(7) == one({1, 2, 3}, {4}, {5}, {6})
+    assert edges(6) == one({1, 2, 3, 4}, {5}, {6})
+
+
+@pytest.mark.parametrize(("size", "depth"), [(7, 8), (6, 7), (10, 6)])
+def test_candidates_at_the_lowest_similarity(spark, size, depth):
+    """Pairs at the lowest similarity their sizes allow, in data that end at different depths, are candidates."""
+    assert ngram_join.set_depth(size) == depth
+    draw, texts, low = random.Random(size), [], ngram_join.lowest_similarity(size)
+    for i in range(400):
+        own = [f"t{i}w{draw.randrange(10**6)}" for _ in range(size + 4)]
+        # the other text lacks or has one shingle, or two, at its end
+        less = next(k for k in (1, 2) if abs((size - k) / size - low) < 1e-9)
+        texts += [" ".join(own), " ".join(own[:-less])]
+    rows = {r["doc_id"]: r for r in ngram_join.joined(docs(spark, texts)).collect()}
+    met = sum(rows[2 * i]["class_id"] == rows[2 * i + 1]["class_id"] == 2 * i for i in range(400))
+    assert met >= 0.99 * 400
 
 
 def test_components_of_paths_stars_and_rings(spark):

@@ -1,14 +1,17 @@
 """Near-duplicate join: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-MinHash banding, in place of an LSH forest.  Every distinct shingle set gets ``TREES`` labels, each a hash of as many MinHash
-values as ``needed_depth`` says: the most, up to ``DEPTH``, with which a pair at the threshold shares a label with probability
-``RECALL``.  That depth follows from constants and is the same for all sets; no prefix is shortened for a single set.  Sets
-with an equal label are candidates.  Candidates are joined
-to the smallest set under their label, so edges grow with the sets and not with pairs; sets that hang together are
-then verified exactly against each other, all of them, in tiles of at most twice ``BLOCK`` sets: a tile is a matrix
+An LSH forest: every distinct shingle set gets ``TREES`` paths of ``DEPTH`` MinHash values, and the sorted paths of a tree are
+its prefix trie.  Two sets are candidates where their paths agree on a prefix.  It is first the whole path; for a set
+whose recall would be too low with that, prefixes are shortened until a similar set shares one of them in some
+tree with probability ``RECALL``.  How far that is depends on the set: a set of seven shingles has no partner between 0.8
+and 6/7, so its whole path will do, while one of ten has partners at exactly 0.8 and needs shorter prefixes.
+
+Equal paths are found by grouping, shorter common prefixes between neighbours in the order of a tree: what shares a prefix
+stands together there, so neighbours are enough to hang it together.  Edges grow with the sets and not with pairs.  Sets that
+hang together are then verified exactly against each other, all of them, in tiles of at most twice ``BLOCK`` sets: a tile is a matrix
 product over their common shingles, and gives each set its number of links and its class.  Copies count once.
 
-Joins are by shuffle at every size; of the texts only those that can be candidates by a bitmap of fixed size
+Joins are by shuffle at every size; of the texts only those that can be candidates by a bitmap of their rows
 go through one.
 
 Words are what stands between white space, in lower case.  A text of one to four words has them
@@ -22,12 +25,13 @@ columns stay, and columns named as an added one are replaced.  Sets are known by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from weftline.llm.common import key_filter, may_match, packed, unpacked
+from weftline.llm.common import key_filter, may_match, packed, text_or_empty, unpacked
 from weftline.llm.components import components
 from weftline.session import stored
 
@@ -37,6 +41,8 @@ SIMILAR = (4, 5)
 TREES = 24
 DEPTH = 8
 RECALL = 0.999
+#: sets of more shingles than this are taken to have partners at the threshold itself
+EXACT_SIZES = 512
 #: sets in a block; a tile holds two blocks
 BLOCK = 1024
 #: shingles multiplied at a time
@@ -50,6 +56,10 @@ def needed_depth(similarity: float, trees: int = TREES, depth: int = DEPTH, reca
     return depth
 
 
+#: the depth for partners at the threshold itself
+SHORTEST = needed_depth(SIMILAR[0] / SIMILAR[1])
+
+
 def words_of(text: Column) -> Column:
     """What stands between ASCII white space, in lower case."""
     spaced = F.lower(text)
@@ -81,19 +91,42 @@ def with_shingles(df: DataFrame, text: str = "_text") -> DataFrame:
     )
 
 
-def tree_labels(depth: int, trees: int = TREES):
-    """Column function: for each tree a hash of the first ``depth`` MinHash values of a set."""
+@cache
+def lowest_similarity(n: int) -> float:
+    """The lowest similarity, at or above the threshold, that a set of ``n`` can have to a set that differs from it; 1 if there is none."""
+    least, whole = SIMILAR
+    found = 1.0
+    for m in range(-(-least * n // whole), whole * n // least + 1):
+        common = -(-least * (n + m) // (least + whole))  # the fewest that reach the threshold
+        if common <= min(n, m) and n + m - common > common:
+            found = min(found, common / (n + m - common))
+    return found
+
+
+@cache
+def set_depth(n: int) -> int:
+    """How many values of a path a set of ``n`` shingles has to agree on; 0 where no other set is similar to it."""
+    lowest = lowest_similarity(min(n, EXACT_SIZES))
+    return needed_depth(lowest) if lowest < 1 else 0
+
+
+def tree_paths(trees: int = TREES, depth: int = DEPTH):
+    """Column function of shingles: the depth a set needs, and its path in each tree.
+
+    A path is the tree's number and ``depth`` values of two bytes, big end first, so that order of bytes is order in the trie.
+    """
     draw = np.random.default_rng(4)
     odd = draw.integers(0, 1 << 63, size=trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = draw.integers(0, 1 << 63, size=trees * depth, dtype=np.uint64)
-    place = draw.integers(0, 1 << 63, size=depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    @F.pandas_udf("array<bigint>")
-    def labels(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("depth int, paths array<binary>")
+    def paths(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            depths, out = [], []
             for own in batch:
-                if own is None or not len(own):
+                needed = set_depth(len(own)) if own is not None else 0
+                depths.append(needed)
+                if not needed:
                     out.append(None)
                     continue
                 x = np.asarray(own).astype(np.int64).view(np.uint64)
@@ -103,16 +136,34 @@ def tree_labels(depth: int, trees: int = TREES):
                 for at in range(0, len(x), 512):  # a strip stays in the cache
                     h = x[None, at : at + 512] * odd[:, None] + add[:, None]
                     np.minimum(least, (h >> np.uint64(8)).min(axis=1), out=least)
-                mixed = least.reshape(trees, depth)
-                mixed = (mixed ^ (mixed >> np.uint64(15))) * place[None, :]
-                total = mixed.sum(axis=1, dtype=np.uint64) + np.arange(trees, dtype=np.uint64) * np.uint64(
-                    0xD1B54A32D192ED03
-                )
-                total ^= total >> np.uint64(32)
-                out.append((total * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
-            yield pd.Series(out)
+                values = (least ^ (least >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
+                code = (values >> np.uint64(48)).astype(">u2").tobytes()
+                out.append([bytes([t]) + code[2 * depth * t : 2 * depth * (t + 1)] for t in range(trees)])
+            yield pd.DataFrame({"depth": pd.Series(depths, dtype="int32"), "paths": pd.Series(out, dtype=object)})
+
+    return paths
+
 
-    return labels
+def forest_edges(paths: DataFrame) -> DataFrame:
+    """``(a, b)`` that hang candidates together, from ``(_set, depth, path)``: one row for each set and tree."""
+    ends = paths.groupBy("path").agg(
+        F.min("_set").alias("a"), F.max("_set").alias("z"), F.min("depth").alias("depth")
+    )
+    ends = stored(ends, "trie-paths")
+    shared = ends.filter(F.col("a") < F.col("z")).select("path", "a")
+    whole = paths.select("path", F.col("_set").alias("b")).join(shared.hint("merge"), "path").select("a", "b")
+    # below the shortest prefix that any set needs nothing is compared
+    trunk = F.substring("path", 1, 1 + 2 * SHORTEST)
+    order = W.partitionBy(trunk).orderBy("path")
+    beside = ends.select(
+        F.col("a").alias("b"),
+        F.lag("a").over(order).alias("a"),
+        F.col("path").alias("own"),
+        F.lag("path").over(order).alias("other"),
+        F.least("depth", F.lag("depth").over(order)).alias("depth"),
+    )
+    agree = F.expr("substring(own, 1, 1 + 2 * depth)") == F.expr("substring(other, 1, 1 + 2 * depth)")
+    return whole.unionByName(beside.filter(F.col("a").isNotNull() & agree).select("a", "b"))
 
 
 def tile_links(sets: list[np.ndarray], left: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,18 +231,13 @@ def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """``(rows, sets)``: the stored rows ``(_row, _text, _uid, _set)`` and ``(_set, root, links)`` of all linked sets."""
-    depth = needed_depth(SIMILAR[0] / SIMILAR[1])
+    """``(rows, sets)``: the stored rows ``(_row, _uid, _set)`` with their ``_text``, and ``(_set, root, links)`` of all linked sets."""
     rows = with_shingles(packed(df, text)).withColumn("_uid", F.monotonically_increasing_id())
-    rows = rows.withColumn("_labels", tree_labels(depth)(F.col("_shingles"))).drop("_shingles")
-    rows = stored(rows, "shingle-sets")
-    under = rows.select("_set", F.explode("_labels").alias("label"))
-    least = (
-        under.groupBy("label")
-        .agg(F.min("_set").alias("a"), F.max("_set").alias("z"))
-        .filter(F.col("a") < F.col("z"))
-    )
-    edges = under.join(least.select("label", "a").hint("merge"), "label").select("a", F.col("_set").alias("b"))
+    rows = rows.withColumn("_tree", tree_paths()(F.col("_shingles"))).drop("_shingles", "_text")
+    # a text is stored once, in its row
+    rows = stored(rows, "shingle-sets").withColumn("_text", text_or_empty(F.col("_row")[text]))
+    forest = rows.select("_set", F.col("_tree")["depth"].alias("depth"), F.explode("_tree.paths").alias("path"))
+    edges = forest_edges(forest)
     hanging = components(edges, "candidates").select(F.col("node").alias("_set"), "root")
     # one row for each candidate set carries its shingles on
     one = (
