@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import mixing, ngram_join, packing, pii, toxicity
-from weftline.llm.common import n_words, own_shared_dir
+from weftline.llm.common import free_name, n_words, own_shared_dir
 from weftline.session import remove_stages, stage_tables, stored
 
 
@@ -25,12 +25,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near duplicates."""
-    keyed = docs.select(
-        F.struct(*docs.columns).alias("row"),
-        F.col("text").alias("text"),
-        F.col("doc_id").alias("doc_id"),
-    )
-    return ngram_join.joined(keyed).filter("first").select("row.*")
+    taken = [c for c in docs.columns if c.lower() in ("class_id", "n_links", "first")]
+    own = {c: free_name(docs, f"_{c}") for c in taken}
+    kept = ngram_join.joined(docs.withColumnsRenamed(own)).filter("first")
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
