@@ -42,10 +42,10 @@ SEARCHES_PER_BIN = 16
 #: a bin with less than this share filled is packed again in the next round
 UNDERFULL = 0.97
 #: parts of texts whose ids are kept in each half of a worker's table, and their longest length
-KEPT_PARTS = 400_000
+KEPT_PARTS = 200_000
 LONGEST_PART = 64
 #: characters of texts that are coded together, about
-CHARACTERS = 12_000_000
+CHARACTERS = 4_000_000
 #: what may stand behind a word and is one unit of the tokenizer
 MARKS = string.punctuation
 #: letters from here on may be split differently by different versions of the character tables
@@ -143,15 +143,16 @@ class PartCodes:
         parts = split.values.dictionary_encode()
         found = self.coded(parts.dictionary.to_pylist())
         ids = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
         which = parts.indices.to_numpy()
         own = sizes[which]
-        ends = np.cumsum(own)
-        starts = (np.cumsum(sizes) - sizes)[which]
+        ends = np.cumsum(own, dtype=np.int32)
+        starts = (np.cumsum(sizes, dtype=np.int32) - sizes)[which]
         # the place of every token: from where its part's ids start, on
-        places = np.repeat(starts - ends + own, own) + np.arange(int(own.sum()))
+        places = np.repeat(starts - ends + own, own)
+        places += np.arange(len(places), dtype=np.int32)
         whole = ids[places].tobytes()
-        cuts = (4 * np.concatenate([[0], ends]))[split.offsets.to_numpy()].tolist()
+        cuts = [4 * end for end in np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()]
         return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
