@@ -41,7 +41,7 @@ GROUP = 8192
 SEARCHES_PER_BIN = 16
 #: a bin with less than this share filled is packed again in the next round
 UNDERFULL = 0.97
-#: parts of texts whose ids are kept in each half of a worker's table, and their longest length
+#: parts of texts whose ids are kept in each half of a task's table, and their longest length
 KEPT_PARTS = 200_000
 LONGEST_PART = 64
 #: characters of texts that are coded together, about
@@ -156,17 +156,6 @@ class PartCodes:
         return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-#: tables of this process: a worker that runs several tasks keeps what it knows
-_CODERS: dict[str, PartCodes] = {}
-
-
-def coder(path: str) -> PartCodes:
-    if path not in _CODERS:
-        _CODERS.clear()
-        _CODERS[path] = PartCodes(path)
-    return _CODERS[path]
-
-
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -187,7 +176,7 @@ def pieces(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own_codes = coder(path).codes
+        own_codes = PartCodes(path).codes
         for batch in batches:
             rows = []
             # so many characters at a time, so that memory does not follow the batch
@@ -203,6 +192,7 @@ def pieces(
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
             out["doc_id"] = pd.Series([r[0] for r in rows], dtype=batch["doc_id"].dtype)
             yield out
+            pa.default_memory_pool().release_unused()  # a worker outlives its task
 
     narrow = df.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     return narrow.mapInPandas(cut, PIECES.format(id=kind))
