@@ -7,7 +7,8 @@ length, go through a logistic curve to a score between 0 and 1.
 
 Entries, weights, exception phrases and the curve are learned from labelled rows: at most
 ``TRAIN_ROWS`` of them, those with the smallest hash of their id.  Only
-texts and labels go in.  The model is small: at most ``MAX_ENTRIES`` entries and as many phrases.
+texts and labels go in.  Every word, stem and phrase that meets the thresholds is kept, of any length; that the rows
+are bounded bounds the model.
 
 Defined results: a null text scores as an empty one; without labels of both
 classes every score is 0; an empty table gives an empty table; repeated rows score alike; other
@@ -18,9 +19,11 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -30,13 +33,12 @@ from weftline.session import stored
 
 #: labelled rows the model is fitted on, at most
 TRAIN_ROWS = 20_000
-MAX_ENTRIES = 2_000
 STEMS = range(4, 11)
 MIN_TEXTS = 6
 MIN_WEIGHT = 1.5
 MIN_Z = 5.0
 #: features counted in a task before they are handed on
-FLUSH = 400_000
+FLUSH = 100_000
 THRESHOLD = 0.3
 
 #: Letters that look alike, and digits and signs that stand for letters.
@@ -104,6 +106,12 @@ class Model:
         return found
 
 
+def covered(hit: tuple, starts: list[int], reach: list[int]) -> bool:
+    """Whether one of the phrases holds the whole hit."""
+    before = bisect_right(starts, hit[0])
+    return before > 0 and hit[1] <= reach[before - 1]
+
+
 def weigh(automaton, text: str) -> tuple[float, int]:
     """Summed weight of the entries outside exception phrases, and the number of words."""
     folded = fold(text)
@@ -116,7 +124,11 @@ def weigh(automaton, text: str) -> tuple[float, int]:
         else:
             hits.append((end - length + 1, end, weight))
     if exempt:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in exempt)]
+        # the furthest end of all phrases that begin at or before a place
+        exempt.sort()
+        starts = [a for a, _ in exempt]
+        reach = list(accumulate((b for _, b in exempt), max))
+        hits = [h for h in hits if not covered(h, starts, reach)]
     # a word counts once, by its heaviest entry
     best: dict[int, float] = {}
     for start, _, weight in hits:
@@ -135,30 +147,30 @@ def features(text: str) -> set[str]:
     """Words and stems of a text, in their folded forms."""
     found = set()
     for word in set(fold(text).split()):
-        if len(word) <= 40:
-            found.add(f" {word} ")
-            found.update(f" {word[:n]}" for n in STEMS if n <= len(word))
+        found.add(f" {word} ")
+        found.update(f" {word[:n]}" for n in STEMS if n <= len(word))
     return found
 
 
 def counted(batches: Iterable[pd.DataFrame], of) -> Iterator[pd.DataFrame]:
     """Texts with each feature by label, summed inside the task as far as memory allows."""
 
-    def out(counts: Counter) -> pd.DataFrame:
-        keys = {f for f, _ in counts}
-        return pd.DataFrame(
-            [(f, counts.get((f, 1), 0), counts.get((f, 0), 0)) for f in keys],
-            columns=["feature", "pos", "neg"],
-        )
+    def out(label: int, counts: Counter) -> pd.DataFrame:
+        own = np.fromiter(counts.values(), np.int64, len(counts))
+        none = np.zeros(len(counts), np.int64)
+        pos, neg = (own, none) if label else (none, own)
+        return pd.DataFrame({"feature": pd.Series(list(counts), dtype=object), "pos": pos, "neg": neg})
 
-    counts: Counter = Counter()
+    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-            counts.update((f, toxic) for f in of(text))
-            if len(counts) > FLUSH:
-                yield out(counts)
-                counts = Counter()
-    yield out(counts)
+            own = counts[int(toxic == 1)]
+            own.update(of(text))
+            if len(own) > FLUSH:
+                yield out(int(toxic == 1), own)
+                own.clear()
+    for label, own in counts.items():
+        yield out(label, own)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
@@ -204,21 +216,32 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
         )
         # the strongest; among equals whole words and longer stems
         .orderBy(F.desc("z"), F.desc(F.length("feature")), "feature")
-        .limit(4 * MAX_ENTRIES)
+        .select("feature", "weight")
         .collect()
     )
-    entries: dict[str, float] = {}
-    for row in strong:
-        bare = row["feature"].strip()
-        kin = any(bare.startswith(e.strip()) or e.strip().startswith(bare) for e in entries)
-        if not kin and len(entries) < MAX_ENTRIES:
-            entries[row["feature"]] = float(row["weight"])
-    model = Model(entries)
+    model = Model(without_kin((row["feature"], float(row["weight"])) for row in strong))
     model.exceptions = learned_exceptions(summed, model, share)
     model.curve = fitted_curve(rows, model)
     return model
 
 
+def without_kin(strong: Iterable[tuple[str, float]]) -> dict[str, float]:
+    """Entries in the given order, without those that begin, or begin with, an earlier one.
+
+    What is kept is sorted and free of prefixes, so a prefix of a word can only stand right before it.
+    """
+    entries: dict[str, float] = {}
+    kept: list[str] = []
+    for feature, weight in strong:
+        bare = feature.strip()
+        at = bisect_left(kept, bare)
+        kin = at < len(kept) and kept[at].startswith(bare) or at > 0 and bare.startswith(kept[at - 1])
+        if not kin:
+            kept.insert(at, bare)
+            entries[feature] = weight
+    return entries
+
+
 def learned_exceptions(summed, model: Model, share: float) -> list[str]:
     """Two-word phrases with an entry in them that stand in harmless texts."""
     automaton = model.automaton()
@@ -245,8 +268,8 @@ def learned_exceptions(summed, model: Model, share: float) -> list[str]:
     harmless = (
         summed(phrases)
         .filter((F.col("neg") >= 4) & (F.col("pos") <= share * F.col("neg") * 0.5))
-        .orderBy(F.desc("neg"), "feature")
-        .limit(MAX_ENTRIES)
+        .orderBy("feature")
+        .select("feature")
         .collect()
     )
     return [r["feature"] for r in harmless]
