@@ -43,8 +43,9 @@ DEPTH = 8
 RECALL = 0.999
 #: sets of more shingles than this are taken to have partners at the threshold itself
 EXACT_SIZES = 512
-#: sets in a block; a tile holds two blocks
+#: sets in a block, and shingles in it, about; a tile holds two blocks
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 #: shingles multiplied at a time
 STRIP = 4096
 
@@ -187,9 +188,12 @@ def tile_links(sets: list[np.ndarray], left: int) -> tuple[np.ndarray, np.ndarra
         strip = np.zeros((n, min(STRIP, width - at)), dtype=np.float32)
         strip[owner[a:b], column[a:b] - at] = 1
         both += strip @ strip.T
-    inter = both.astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - inter
-    linked = SIMILAR[1] * inter >= SIMILAR[0] * union
+    # common / (both sizes - common) at or above the threshold, without a fraction
+    inter = both.astype(np.int32)
+    del both
+    inter *= sum(SIMILAR)
+    weight = (SIMILAR[0] * sizes).astype(np.int32)
+    linked = inter >= weight[:, None] + weight[None, :]
     np.fill_diagonal(linked, False)
     if left:
         linked[:left, :left] = False
@@ -233,7 +237,8 @@ def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """``(rows, sets)``: the stored rows ``(_row, _uid, _set)`` with their ``_text``, and ``(_set, root, links)`` of all linked sets."""
     rows = with_shingles(packed(df, text)).withColumn("_uid", F.monotonically_increasing_id())
-    rows = rows.withColumn("_tree", tree_paths()(F.col("_shingles"))).drop("_shingles", "_text")
+    rows = rows.withColumn("_tree", tree_paths()(F.col("_shingles")))
+    rows = rows.withColumn("_size", F.size("_shingles")).drop("_shingles", "_text")
     # a text is stored once, in its row
     rows = stored(rows, "shingle-sets").withColumn("_text", text_or_empty(F.col("_row")[text]))
     forest = rows.select("_set", F.col("_tree")["depth"].alias("depth"), F.explode("_tree.paths").alias("path"))
@@ -241,14 +246,14 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     hanging = components(edges, "candidates").select(F.col("node").alias("_set"), "root")
     # one row for each candidate set carries its shingles on
     one = (
-        rows.select("_set", "_uid")
+        rows.select("_set", "_uid", "_size")
         .join(hanging.hint("merge"), "_set")
         .groupBy("_set", "root")
-        .agg(F.min("_uid").alias("_uid"))
+        .agg(F.min("_uid").alias("_uid"), F.max("_size").alias("_size"))
     )
     one = stored(one, "candidate-sets")
-    sizes = one.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    sizes = one.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("volume"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("volume") / BLOCK_SHINGLES)).cast("int")
     placed = one.join(sizes, "root").withColumns(
         {"blocks": blocks, "block": F.pmod(F.xxhash64("_set", F.lit(1)), blocks).cast("int")}
     )
