@@ -6,7 +6,7 @@ Only pairs whose upper bound reaches the k-th best lower bound of their query ar
 the original vectors, in double precision.  Best pairs are kept in heaps across the tiles of a task and merged by
 rank at the end, so the result is exact.
 
-Query blocks are the smaller side and are the ones sent to all candidate blocks; nothing is
+Query blocks are the smaller side and are the ones sent, once to each place that holds candidate blocks; nothing is
 collected or broadcast.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without
@@ -31,6 +31,8 @@ QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
 #: queries whose heaps a task keeps before it hands them on
 KEPT_QUERIES = 100_000
+#: places that candidate blocks are dealt to, for each shuffle partition, at most
+PLACES_PER_TASK = 4
 
 BLOCKS = "dim int, n int, ids binary, vectors binary"
 FOUND = "query_id long, vec_id long, score double"
@@ -85,6 +87,12 @@ class Rounded:
         self.length = np.sqrt((kept * kept).sum(axis=1))
 
 
+def evened(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that squares neither overflow nor vanish; cosines stay the same to the last bit."""
+    _, power = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(vectors, -power)
+
+
 def tile_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products of int8 vectors.  Sums below 2**24 are exact in single precision, so 1,024 components go at a time."""
     total = np.zeros((len(a), len(b)))
@@ -98,6 +106,7 @@ def tile_best(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the ids and exact cosines of what can be among its k nearest in the tile."""
+    queries, vectors = evened(queries), evened(vectors)
     q, c = Rounded(queries), Rounded(vectors)
     length_q = np.sqrt((queries * queries).sum(axis=1))
     length_c = np.sqrt((vectors * vectors).sum(axis=1))
@@ -144,7 +153,9 @@ def nearest(
     )
     asked = clean.filter("q").groupBy("id").agg(F.min("vector").alias("vector"))
     queries = stored(blocks(asked, QUERY_BLOCK), "query-blocks")
-    n_places = max(1, candidates.count())
+    # a place holds a task's worth of candidate blocks: queries are sent once for each place, however many blocks it has
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_places = max(1, min(candidates.count(), PLACES_PER_TASK * tasks))
     place = F.pmod(F.xxhash64("own"), F.lit(n_places)).cast("int")
     sent = queries.select(
         "dim",
