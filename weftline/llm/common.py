@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,6 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 Span = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
+#: bytes of an Arrow batch, which a task holds several times over on both sides
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "8m"
+
 #: prefix sums are taken in blocks of so many elements, so that none is quadratic in the text
 BLOCK = 256
 
@@ -29,9 +33,16 @@ def own_shared_dir(spark: SparkSession) -> None:
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shared-"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` where the session sets no size: of long texts ten thousand rows are very large."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; the work on it starts from a folder for stage tables."""
     own_shared_dir(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -53,7 +64,12 @@ def n_words(text: str | Column = "text") -> Column:
 
 
 def running_sums(values: Column) -> Column:
-    """Sums up to and with each element of an int array, in two levels of blocks."""
+    """Sums up to and with each element of an int array."""
+    return running(values, lambda total, v: total + v)
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What ``step`` makes of 0 and the elements up to and with each one of an int array, in two levels of blocks."""
 
     def block(state: Column, index: Column) -> Column:
         part = F.slice(values, index * BLOCK + 1, F.lit(BLOCK))
@@ -61,8 +77,8 @@ def running_sums(values: Column) -> Column:
             part,
             F.struct(F.array().cast("array<int>").alias("sums"), state["total"].alias("total")),
             lambda s, v: F.struct(
-                F.concat(s["sums"], F.array(s["total"] + v)).alias("sums"),
-                (s["total"] + v).alias("total"),
+                F.concat(s["sums"], F.array(step(s["total"], v))).alias("sums"),
+                step(s["total"], v).alias("total"),
             ),
         )
         return F.struct(
@@ -205,12 +221,31 @@ def replaced(text: Column, spans: Column, put: dict[str, str]) -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
-def clear_of(spans: Column, others: Column) -> Column:
-    """Spans that overlap none of ``others``."""
-    return F.filter(
+def clear_of(spans: Column, others: Column, kind: str = Span) -> Column:
+    """Spans, an array of type ``kind``, that overlap none of ``others``, in order of their ends.
+
+    Ends of spans and starts of others stand in one sorted array.  A span is clear if the furthest end among the others that
+    begin before its own end is not behind its start.
+    """
+    none = F.lit(None).cast(kind.removeprefix("array<").removesuffix(">"))
+    ends = F.transform(
         spans,
-        lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])),
+        lambda s: F.struct(
+            s["end"].alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("reach"), s["start"].alias("start"), s.alias("span")
+        ),
+    )
+    starts = F.transform(
+        others,
+        lambda o: F.struct(
+            o["start"].alias("at"), F.lit(1).alias("turn"), o["end"].alias("reach"), F.lit(0).alias("start"), none.alias("span")
+        ),
+    )
+    events = F.array_sort(F.concat(ends, starts))
+    reach = running(F.transform(events, lambda e: e["reach"]), lambda furthest, end: F.greatest(furthest, end))
+    clear = F.zip_with(
+        events, reach, lambda e, r: F.when((e["turn"] == 0) & (r <= e["start"]), e["span"])
     )
+    return F.when(F.size(others) > 0, F.filter(clear, lambda s: s.isNotNull())).otherwise(spans)
 
 
 #: bits of a key filter: sixteen for a key, between one megabyte and 64

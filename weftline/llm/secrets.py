@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weftline.llm.common import (
     Span,
     as_spans,
+    clear_of,
     listed,
     matched,
     n_of_kind,
@@ -37,7 +38,11 @@ ASSIGN = (
 ACCESS = r"AKIA[A-Z0-9]+"
 #: 32 or more, from the start of a run: a shorter run fails as a whole
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+#: fewer characters than the shortest assigned secret cannot be told from a word
+LEAST_TOKEN = 8
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}+"
+
+MATCHES = "array<struct<start:int,end:int,value:string>>"
 
 BASE = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))
 
@@ -49,6 +54,9 @@ BACKOFF = 10.0
 #: a token is taken as random at this mean log ratio per transition and this sum, in nats
 MEAN_RATIO = 0.5
 SUM_RATIO = 12.0
+#: the same for letters in one or no change of case, which long or foreign words also are
+WORD_MEAN_RATIO = 1.0
+WORD_SUM_RATIO = 18.0
 
 IDENTIFIER = r"^[A-Za-z]+(?:[_/-][A-Za-z]+)*[0-9]{0,4}$"
 
@@ -162,15 +170,9 @@ def scan(df: DataFrame, text: str = "text", weights: list[float] | None = None)
     )
     found = found.withColumn("_base", base).drop(*[f"_found_{k}" for k, _ in BASE])
     found = matched(found, "_text", (("markov", TOKEN),), {})
-    # plain words, however rare, and plain numbers are no random strings
-    lettered = F.filter(
-        "_found_markov",
-        lambda m: m["value"].rlike("[A-Za-z]") & m["value"].rlike("[0-9]|[a-z][A-Z]"),
-    )
-    free = F.filter(
-        lettered,
-        lambda m: ~F.exists("_base", lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"])),
-    )
+    # plain numbers are no random strings
+    lettered = F.filter("_found_markov", lambda m: m["value"].rlike("[A-Za-z]"))
+    free = clear_of(lettered, F.col("_base"), MATCHES)
     scored = F.filter(
         F.transform(
             free,
@@ -178,10 +180,11 @@ def scan(df: DataFrame, text: str = "text", weights: list[float] | None = None)
                 m["start"].alias("start"),
                 m["end"].alias("end"),
                 ratio(m["value"], weights).alias("ratio"),
+                (~m["value"].rlike("[0-9]|[a-z][A-Z]")).alias("word"),
             ),
         ),
-        lambda m: (m["ratio"] >= SUM_RATIO)
-        & (m["ratio"] >= MEAN_RATIO * (m["end"] - m["start"] - 1)),
+        lambda m: (m["ratio"] >= F.when(m["word"], WORD_SUM_RATIO).otherwise(SUM_RATIO))
+        & (m["ratio"] >= F.when(m["word"], WORD_MEAN_RATIO).otherwise(MEAN_RATIO) * (m["end"] - m["start"] - 1)),
     )
     found = found.withColumn("_scored", scored).drop("_found_markov")
     added = as_spans(F.col("_scored"), "markov", len(BASE))
