@@ -123,6 +123,47 @@ def test_held_out_accuracy(spark):
     assert sum(r["predicted"] == r["toxic"] for r in rows) >= 0.85 * len(rows)
 
 
+def plain_weight(model, text):
+    """Summed weight of a text by looking for every entry and phrase one by one."""
+    folded, best = toxicity.fold(text), {}
+
+    def spots(part):
+        at = folded.find(part)
+        while at >= 0:
+            yield at, at + len(part)
+            at = folded.find(part, at + 1)
+
+    exempt = [spot for phrase in model.exceptions for spot in spots(phrase)]
+    for entry, weight in model.entries.items():
+        for a, b in spots(entry):
+            if not any(c <= a and b <= d for c, d in exempt):
+                best[a] = max(weight, best.get(a, 0))
+    return sum(best.values())
+
+
+def test_scores_equal_a_plain_scorer(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.fit(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.entries:  # the small table need not have enough labels
+        model = toxicity.Model({" the ": 1.5, " und": 2.0, " de": 0.5}, [" the end ", " of the "], (-2.0, 1.0, 0.5))
+    for row in toxicity.scored(table, model).collect():
+        text = row["text"] or ""
+        weight, n = plain_weight(model, text), toxicity.fold(text).count(" ")
+        z = float(np.dot(model.curve, [1, np.log1p(weight), np.log1p(100 * weight / (n + 20))]))
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+        assert row["predicted"] == (row["score"] >= 0.3)
+
+
+def test_lexicon_has_no_limits_of_number_or_length():
+    names = ["".join("abcdefghij"[int(c)] for c in f"{i:05d}") for i in range(9000)]
+    strong = [(f" {name} ", 1.0) for name in names] + [(" aa", 1.0), (" aaaabx ", 1.0), (f" {'y' * 90} ", 2.0)]
+    kept = toxicity.without_kin(strong)
+    assert len(kept) == 9001 and f" {'y' * 90} " in kept
+    assert f" {'y' * 90} " in toxicity.features("so " + "y" * 90)
+    model = toxicity.Model(kept, [" not aaaaf "])
+    assert toxicity.weigh(model.automaton(), "not aaaaf aaaaf aiajj " + "Y" * 90)[0] == 4.0
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (None, 0), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(odd_docs(spark), labels)
@@ -145,9 +186,10 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_join_equals_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "shingles"), [(1024, 1 << 20), (8, 1 << 20), (1024, 300)])
+def test_join_equals_all_pairs(spark, monkeypatch, block, shingles):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles)
     texts = near_texts()
     table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.joined(table).collect()}
@@ -445,6 +487,21 @@ def test_neighbour_odd_rows(spark):
     assert block_knn.nearest(table.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_huge_and_tiny_vectors_have_the_same_neighbours(spark):
+    draw = np.random.default_rng(8)
+    vectors = draw.normal(size=(60, 8))
+    sizes = 2.0 ** np.resize([0, 900, -900], 60)
+
+    def found(table):
+        rows = [(i, v.tolist()) for i, v in enumerate(table)]
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        out = block_knn.nearest(frame, F.col("vec_id") % 5 == 0).orderBy("query_id", "rank").collect()
+        return [tuple(r) for r in out]
+
+    plain = found(vectors)
+    assert len(plain) == 60 and found(vectors * sizes[:, None]) == plain
+
+
 def test_rounding_errors_stay_within_their_bound():
     draw = np.random.default_rng(2)
     a, b = draw.normal(size=(40, 70)), draw.normal(size=(50, 70))

@@ -1,7 +1,11 @@
 """Quality rules, personal data and secrets."""
 
+import base64
 import hashlib
+import math
+import random
 import re
+import string
 
 import pytest
 from compare import compare, duck
@@ -9,7 +13,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from llm_helpers import DOCS, docs, odd_docs
 
 from weftline.llm import pii, quality, queries, secrets
-from weftline.llm.common import replaced
+from weftline.llm.common import Span, clear_of, replaced
 
 CARD = "4111 1111 1111 1111"
 
@@ -217,3 +221,74 @@ def test_rules_name_what_fails(spark):
     only = quality.judge(docs(spark, [good]), rules=(quality.Rule("short", "n_words", None, 10),))
     assert only.first()["quality"]["failed"] == ["short"]
     assert DOCS
+
+
+def test_clear_spans_equal_a_plain_comparison(spark):
+    from pyspark.sql import functions as F
+
+    draw = random.Random(5)
+
+    def some(n, width):
+        found = [(a, 0, a + 1 + draw.randrange(width), "x") for a in (draw.randrange(900) for _ in range(n))]
+        return sorted(found)
+
+    rows = [(i, some(draw.choice([0, 3, 300]), 4), some(draw.choice([0, 1, 40, 600]), 9)) for i in range(12)]
+    table = spark.createDataFrame(rows, f"id long, spans {Span}, others {Span}")
+    for row in table.withColumn("clear", clear_of(F.col("spans"), F.col("others"))).collect():
+        wanted = [s for s in row["spans"] if not any(o["start"] < s["end"] and s["start"] < o["end"] for o in row["others"])]
+        assert sorted(row["clear"]) == sorted(wanted)
+
+
+def plain_weights(texts):
+    """The log ratios by the docstring of the module, in plain Python."""
+    random_, ordinary = set(), set()
+    for text in texts:
+        for a, _, b, kind in plain_secrets(text):
+            own = text[a:b]
+            random_.add(re.fullmatch(secrets.ASSIGN, own).group(2) if kind == "assign" else own)
+        ordinary |= {w for w in text.split(" ") if len(w) >= 8 and re.fullmatch(secrets.IDENTIFIER[1:-1], w)}
+    made = (hashlib.sha256(str(i).encode()).digest() for i in range(secrets.DIGESTS))
+    random_ |= {base64.b64encode(d).decode().rstrip("=") for d in made}
+    size = len(secrets.ALPHABET) + 1
+    chances = []
+    for values in (random_, ordinary):
+        table = [[0] * size for _ in range(size)]
+        for value in values:
+            at = [secrets.ALPHABET.find(c) + 1 for c in value]
+            for a, b in zip(at, at[1:]):
+                table[a][b] += 1
+        whole = [sum(row[b] for row in table) + 0.5 for b in range(size)]
+        lean = [secrets.BACKOFF * w / sum(whole) for w in whole]
+        chances.append([[(row[b] + lean[b]) / (sum(row) + secrets.BACKOFF) for b in range(size)] for row in table])
+    return lambda a, b: math.log(chances[0][a][b] / chances[1][a][b])
+
+
+def plain_markov(text, weight):
+    base, out = plain_secrets(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        own = m.group()
+        if len(own) < 8 or not re.search("[A-Za-z]", own) or any(a < m.end() and m.start() < b for a, _, b, _ in base):
+            continue
+        at = [secrets.ALPHABET.find(c) + 1 for c in own]
+        total = sum(weight(a, b) for a, b in zip(at, at[1:]))
+        least, mean = (12, 0.5) if re.search("[0-9]|[a-z][A-Z]", own) else (18, 1.0)
+        if total >= least and total >= mean * (len(own) - 1):
+            out.append((m.start(), 3, m.end(), "markov"))
+    return out
+
+
+def test_markov_spans_equal_a_plain_scorer(spark, sf_dir):
+    texts = [r[0] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    draw = random.Random(11)
+    signs = [string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + string.digits]
+    for i in range(0, len(texts), 5):  # random strings of all lengths and alphabets, in the middle of real texts
+        own = "".join(draw.choice(signs[i % 3]) for _ in range(draw.choice([8, 10, 12, 15, 24, 48])))
+        texts[i] = f"{texts[i][:200]} {own} {texts[i][200:]}"
+    weight = plain_weights(texts)
+    lengths = set()
+    for row in secrets.scan(docs(spark, texts)).collect():
+        wanted = sorted([*plain_secrets(row["text"]), *plain_markov(row["text"], weight)])
+        assert as_tuples(row["spans"]) == wanted
+        lengths |= {row["text"][a:b].islower() for a, _, b, kind in wanted if kind == "markov"}
+        lengths |= {b - a for a, _, b, kind in wanted if kind == "markov"}
+    assert min(lengths - {True, False}) < 16 and True in lengths  # beyond the fixed forms, short and of letters alone
