@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import mixing, ngram_join, packing, pii, toxicity
-from weftline.llm.common import free_name, n_words, own_shared_dir
+from weftline.llm.common import free_name, n_words, own_shared_dir, small_batches
 from weftline.session import remove_stages, stage_tables, stored
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon, fitted on the labelled ones among them, does not reject."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     model = toxicity.fit(docs, labels)
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
@@ -25,6 +26,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near duplicates."""
+    small_batches(spark)
     taken = [c for c in docs.columns if c.lower() in ("class_id", "n_links", "first")]
     own = {c: free_name(docs, f"_{c}") for c in taken}
     kept = ngram_join.joined(docs.withColumnsRenamed(own)).filter("first")
@@ -48,6 +50,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences."""
+    small_batches(spark)
     return packing.packed(docs).drop("ids")
 
 
