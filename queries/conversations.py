@@ -18,6 +18,7 @@ from queries.inputs import (
 )
 from queries.registry import query
 from weftline import fixed_values as fixed
+from weftline.functions.answers import with_message_list
 from weftline.functions.turns import (
     conversation_tokens,
     length_ratio_ok,
@@ -104,6 +105,42 @@ def bad_token_filter(spark, sf_dir):
     return clean.select("prompt_id", F.md5("final_prompt").alias("final_md5"))
 
 
+@query(
+    f"""SELECT c.conv_id, count(*) AS n_messages, md5(string_agg(c.role || ':' || c.text ||
+        CASE WHEN c.conv_id % 4 = 3 THEN ' \\(x\\)' ELSE '' END, '|' ORDER BY turn)) AS messages_md5
+    FROM conversations c JOIN ({SQL_SENT}) k ON c.conv_id = k.conv_id GROUP BY c.conv_id"""
+)
+def message_list_literals(spark, sf_dir):
+    """Translations written as Python, by ``conv_id % 4``: a tuple, a trailing comma, adjacent strings, a formula."""
+    k = F.col("conv_id") % 4
+
+    def literal(text):
+        for raw, escaped in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r")):
+            text = F.replace(text, F.lit(raw), F.lit(escaped))
+        return F.concat(F.lit("'"), text, F.lit("'"))
+
+    def written(message):
+        content = message["content"]
+        half = (F.length(content) / 2).cast("int")
+        tail = F.substring(content, half + 1, F.length(content))
+        formula = F.concat(F.substring(literal(content), F.lit(1), F.length(literal(content)) - 1), F.lit(" \\(x\\)'"))
+        adjacent = F.concat_ws(" ", literal(F.substring(content, F.lit(1), half)), literal(tail))
+        value = F.when(k == 2, adjacent).when(k == 3, formula).otherwise(literal(content))
+        return F.concat(F.lit("{'role': "), literal(message["role"]), F.lit(", 'content': "), value, F.lit("}"))
+
+    body = F.array_join(F.transform("messages", written), ", ")
+    tuples = F.concat(F.lit("("), body, F.lit(",)"))
+    answer = F.when(k == 0, tuples).otherwise(F.concat(F.lit("["), body, F.when(k == 1, ",").otherwise(""), F.lit("]")))
+    answers = translation_inputs(spark, sf_dir).select("conv_id", answer.alias("answer"))
+    found = with_message_list(answers, "answer", "found").filter(well_formed_messages(F.col("found")))
+    lines = F.transform(typed_messages(F.col("found")), lambda m: F.concat_ws(":", m["role"], m["content"]))
+    return found.select(
+        "conv_id",
+        F.size("found").cast("long").alias("n_messages"),
+        F.md5(F.array_join(lines, "|")).alias("messages_md5"),
+    )
+
+
 @query(
     f"""SELECT conv_id, conv_id % 16 <> 0 AS same_turns FROM ({SQL_SENT})
     WHERE conv_id % 16 NOT IN (4, 5, 6, 7)"""

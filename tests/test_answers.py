@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from weftline.functions.answers import (
@@ -16,6 +17,7 @@ from weftline.functions.answers import (
     string_value,
     with_message_list,
     with_parsed_answer,
+    with_plain_literals,
 )
 from weftline.functions.text import filesafe, is_sound_text, render, strip, token_count, truncate_tokens
 from weftline.functions.turns import (
@@ -159,6 +161,40 @@ def test_message_lists(spark):
     assert native == [True, True, True, False, False, False, False, False, False]
 
 
+def test_only_unread_messages_enter_python(spark):
+    """Sound rows of every kind are read before the Python node, which stands behind a filter of its own."""
+    sound = [
+        '[{"role": "user", "content": "a"}]',
+        "[{'role': 'user', 'content': 'a'}]",
+        "[{'role': 'user', 'content': 'a'},]",
+        "({'role': 'user', 'content': 'a' \"it's\"},)",
+        "()",
+        "[{'role': 'user', 'content': '\\(x^2\\) \\\\ \\\"'}]",
+    ]
+    odd = ["[{'role': 'user', 'content': '\\x41'}]", "[{'role': 'user', 'content': '''b'''}]", "Sorry, no.", "[{'a': 1, 'a': 2}]"]
+    df = one_column(spark, [*sound, *odd, None])
+    parsed = with_message_list(df, "x", "m")
+    assert results(parsed, F.expr("size(m)"))[:6] == [1, 1, 1, 1, 0, 1]
+    assert results(parsed, F.expr("get(m, 0)['content'] :: string"))[5:8] == ['\\(x^2\\) \\ "', "A", "b"]
+    assert results(parsed, F.expr("size(get(m, 0))"))[8:] == [None, 1, None]
+    plan = plan_of(parsed)
+    below = plan[plan.index("ArrowEvalPython") :]
+    assert plan.count("ArrowEvalPython") == 1 and "_unread" in below[: below.index("Scan")]
+    stored_rows = parsed.inputFiles()
+    marked = spark.read.parquet(*stored_rows).filter("_unread").count()
+    assert marked == len(odd)
+    assert parsed.columns == ["i", "x", "m"]
+
+
+def test_a_long_literal_needs_no_deep_stack(spark):
+    many = "(" + "{'role': 'user', 'content': 'a' \"b\",}, " * 20_000 + ")"
+    open_quote = "[" + "{'role': 'user', 'content': 'a'}, " * 20_000 + "{'role': 'x"
+    one = "[{'role': 'user', 'content': '" + "\"\\'x" * 100_000 + "',}]"
+    df = with_plain_literals(one_column(spark, [many, open_quote, one]), "x", "m")
+    assert results(df, F.expr("size(m)")) == [20_000, None, 1]
+    assert results(df, F.expr("length(get(m, 0)['content'] :: string)")) == [2, None, 300_000]
+
+
 def test_conversation_format(spark):
     user, assistant = '{"role":"user","content":"u"}', '{"role":"assistant","content":"a"}'
     cases = {

@@ -4,6 +4,7 @@ import ast
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.answers import (
@@ -13,6 +14,7 @@ from weftline.functions.answers import (
     string_or_list,
     with_message_list,
     with_parsed_answer,
+    with_plain_literals,
 )
 from weftline.functions.text import strip
 
@@ -146,3 +148,86 @@ def test_message_lists(spark):
             assert found == expected, repr(texts[i])
             readable += 1
     assert readable > 100
+
+
+def plain_model(text):
+    """What a Python literal holds, as JSON values; the marker where it is none."""
+    try:
+        return json.loads(json.dumps(ast.literal_eval(text)))
+    except (ValueError, SyntaxError, TypeError):
+        return Ellipsis
+
+
+def variant_lists(df, name):
+    as_text = F.to_json(F.transform(name, lambda m: F.transform_values(m, lambda _, v: F.to_json(v))))
+    rows = df.select("i", as_text).collect()
+    return {i: None if t is None else [{k: json.loads(v) for k, v in m.items()} for m in json.loads(t)] for i, t in rows}
+
+
+def test_plain_literals_are_read_without_python(spark):
+    """Literals written by rule, so what they hold is known; all of them have to be read natively."""
+    rng = random.Random(5)
+    letters = ["a", "b c", "'", '"', "\\", "\n", "\t", "{", "},", "[", "é", "\U0001f600", ":", "(", "True", "\b", "\x7f"]
+
+    def literal(value):
+        """A string in one or more quoted pieces, none of them empty next to another."""
+        cuts = sorted(rng.sample(range(1, len(value)), min(len(value) - 1, rng.choice([0, 0, 1, 2])))) if len(value) > 1 else []
+        pieces = [value[a:b] for a, b in zip([0, *cuts], [*cuts, len(value)])]
+        out = []
+        for piece in pieces:
+            quote = rng.choice("'\"")
+            body = "".join(
+                {"\\": "\\\\", "\n": "\\n", "\b": "\\u0008", quote: "\\" + quote}.get(c, c) for c in piece
+            )
+            out.append(quote + body + quote)
+        return rng.choice([" ", "\n ", "\t"]).join(out)
+
+    def scalar():
+        kind = rng.randrange(6)
+        if kind == 0:
+            return rng.choice([("True", True), ("False", False), ("None", None), ("0", 0), ("-12", -12), ("123456789012345678", 123456789012345678)])
+        value = "".join(rng.choices(letters, k=rng.randint(0, 6)))
+        return literal(value), value
+
+    def message():
+        keys = rng.sample(["role", "content", "x", "it's"], rng.randint(0, 3))
+        pairs = [(k, *scalar()) for k in keys]
+        blank = rng.choice(["", " ", "\n"])
+        body = f",{blank}".join(f"{literal(k)}:{blank}{written}" for k, written, _ in pairs)
+        return "{" + body + ("," if pairs and rng.random() < 0.2 else "") + "}", {k: v for k, _, v in pairs}
+
+    texts, held = [], []
+    for _ in range(3000):
+        some = [message() for _ in range(rng.randint(0, 4))]
+        body = ", ".join(written for written, _ in some)
+        if rng.random() < 0.5:
+            text = "[" + body + ("," if some and rng.random() < 0.3 else "") + "]"
+        else:
+            text = "(" + body + ("," if len(some) == 1 or some and rng.random() < 0.3 else "") + ")"
+        if "'''" in text or '"""' in text:
+            continue
+        texts.append(rng.choice(["", " "]) + text + rng.choice(["", " ", "\n"]))
+        held.append([value for _, value in some])
+    assert [plain_model(t) for t in texts] == held
+    found = variant_lists(with_plain_literals(frame(spark, texts), "x", "m"), "m")
+    for i, expected in enumerate(held):
+        assert found[i] == expected, repr(texts[i])
+
+
+@pytest.mark.filterwarnings("ignore:.*invalid escape sequence:SyntaxWarning")
+def test_what_plain_literals_say_python_says(spark):
+    """Texts of random pieces: what is read natively is what Python reads, the rest is left to it."""
+    pieces = [
+        "[", "]", "(", ")", "{", "}", ",", ":", " ", "\n", "\t", "'", '"', "'a'", '"b"', "'k':", "1", "0", "-", "007", "1.5", "True",
+        "None", "true", "\\", "\\(", "\\é", "\\u00e9", "'\\x41'", "'\\''", "#", "r'c'", "{'k': 1}", "{'k': 'v',}", "{'k': 1, 'k': 2}", "{1: 2}", "{'k': {}}",
+    ]
+    bodies = random_texts(pieces, 6000, 3, seed=6)
+    framed = [f"{a}{t}{b}" for t in bodies for a, b in (("[{'k': ", "}]"), ("({'k': 0,", "},)"), ("(", ",)"), ("[{'k': 'v", "'}]"))]
+    texts = sorted({*random_texts(pieces, 8000, 6, seed=7), *framed})
+    found = variant_lists(with_plain_literals(frame(spark, texts), "x", "m"), "m")
+    read = 0
+    for i, text in enumerate(texts):
+        if found[i] is not None:
+            assert found[i] == plain_model(text), repr(text)
+            read += 1
+    assert read > 300

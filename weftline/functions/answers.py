@@ -1,8 +1,8 @@
 """Teacher answers: fences, strict JSON, key extraction, reasoning, finish reason.
 
 All native columns.  Python is used in one place only, for translated
-messages that are neither JSON nor single-quoted JSON
-(:func:`literal_messages`).
+messages that are neither JSON nor plain literals
+(:func:`literal_messages`); no other row is sent to it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline import fixed_values as fixed
 from weftline.functions.text import strip
+from weftline.session import stored
 
 MESSAGE_MAPS = "array<map<string,variant>>"
 _JSON_READ = {"allowBackslashEscapingAnyCharacter": "true"}
@@ -127,12 +128,91 @@ def parse_message_list(text: Column) -> Column:
     return F.when(in_object.isNotNull(), F.try_element_at(in_list, F.lit(1)))
 
 
+#: escapes that JSON and Python read alike
+_SAME = r"""\\(?:[\\'"nrtbf]|u[0-9A-Fa-f]{4})"""
+#: a backslash that Python keeps, as it escapes nothing there
+_KEPT = r"""[^\\'"nrtbfavxNuU0-7\x00-\x1f]"""
+#: inside of a quoted literal: no line breaks, no other escapes
+_ESCAPE = rf"(?:{_SAME}|\\{_KEPT})"
+_PLAIN = r"\x00-\x08\x0a-\x1f\\"
+#: pieces of a literal; the last alternative takes all the rest, from the first piece that is none
+_PIECE = "|".join(
+    [
+        rf"'[^'{_PLAIN}]*+(?:{_ESCAPE}[^'{_PLAIN}]*+)*+'",
+        rf'"[^"{_PLAIN}]*+(?:{_ESCAPE}[^"{_PLAIN}]*+)*+"',
+        r"[\[\](){},:]",
+        r"(?:0|-?[1-9][0-9]{0,17})(?![0-9A-Za-z_.])",
+        r"(?:True|False|None)(?![0-9A-Za-z_])",
+        r"[ \t\r\n]++",
+        r"[\s\S]++",
+    ]
+)
+_QUOTES = "['\"]"
+_PAIR = rf"{_QUOTES}++:(?:{_QUOTES}++|[-0-9TFN])"
+_MAP = rf"\{{(?:{_PAIR}(?:,{_PAIR})*+,?+)?+\}}"
+_MAPS = rf"(?:{_MAP}(?:,{_MAP})*+,?+)?+"
+#: first characters of the pieces of a list or a tuple of flat maps
+_MESSAGES = rf"^(?:\[{_MAPS}\]|\((?:{_MAP},{_MAPS})?+\))$"
+
+
+def with_plain_literals(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the message list of Python literals that are a list or tuple of flat maps, else null.
+
+    Read without Python: strings in either quotes, adjacent strings, backslashes that escape nothing (as in formulas), whole
+    numbers, ``True``, ``False`` and ``None``, trailing commas, tuples.  The text is cut into pieces that know of quotes; the first characters of the
+    pieces show whether it is such a list, and each piece then becomes JSON by itself and its neighbours.
+    Null, and so left to :func:`literal_messages`, is all that might mean something else there: other escapes,
+    triple quotes, other numbers, comments, nested values, keys that are no strings or stand twice.
+    """
+    whole = F.col(text)
+    may_be = whole.rlike(r"^[ \t]*+[\[(]") & ~whole.contains("'''") & ~whole.contains('"""')
+    pieces = F.filter(
+        F.regexp_extract_all(F.when(may_be, whole), F.lit(f"({_PIECE})"), F.lit(0)),
+        lambda piece: ~F.substring(piece, 1, 1).isin(" ", "\t", "\r", "\n"),
+    )
+    df = df.select("*", F.explode(F.array(pieces)).alias("_pieces"))
+    shape = F.array_join(F.transform("_pieces", lambda piece: F.substring(piece, 1, 1)), "")
+    df = df.withColumn("_pieces", F.when(shape.rlike(_MESSAGES), F.col("_pieces")))
+
+    def quoted(piece: Column) -> Column:
+        return F.coalesce(F.substring(piece, 1, 1).isin("'", '"'), F.lit(False))
+
+    def inside(piece: Column) -> Column:
+        bare = F.replace(F.substring(piece, F.lit(2), F.length(piece) - 2), F.lit("\t"), F.lit("\\t"))
+        bare = F.regexp_replace(bare, rf"\G([^\\]*+(?:{_SAME}[^\\]*+)*+)\\({_KEPT})", r"$1\\\\$2")
+        unquoted = F.regexp_replace(bare, r'\G([^"\\]*+(?:\\[\s\S][^"\\]*+)*+)"', r'$1\\"')
+        return F.when(F.substring(piece, 1, 1) == "'", unquoted).otherwise(bare)
+
+    def as_json(piece: Column, i: Column) -> Column:
+        before, behind = F.get("_pieces", i - 1), F.get("_pieces", i + 1)
+        opening = F.when(quoted(before), "").otherwise('"')
+        closing = F.when(quoted(behind), "").otherwise('"')
+        return (
+            F.when(quoted(piece), F.concat(opening, inside(piece), closing))
+            .when((piece == ",") & behind.isin("]", "}", ")"), "")
+            .when(piece == "(", "[")
+            .when(piece == ")", "]")
+            .when(piece == "True", "true")
+            .when(piece == "False", "false")
+            .when(piece == "None", "null")
+            .otherwise(piece)
+        )
+
+    found = parse_message_list(F.array_join(F.transform("_pieces", as_json), ""))
+    df = df.select("*", F.explode(F.array(found)).alias(name)).drop("_pieces")
+    once = F.forall(name, lambda m: F.size(F.array_distinct(F.map_keys(m))) == F.size(m))
+    return df.withColumn(name, F.when(once, F.col(name)))
+
+
 def literal_messages(text: Column) -> Column:
     """JSON text of a Python-literal message list; null where there is nothing to read."""
 
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ast
         import json
+        import warnings
+
+        warnings.simplefilter("ignore", SyntaxWarning)
 
         def to_json(value):
             if value is None:
@@ -153,16 +233,23 @@ def with_message_list(
 ) -> DataFrame:
     """Add the parsed message list of a translated answer.
 
-    With ``python_literals`` the answers that the native reader could not take go
-    through Python; all others reach it as nulls.
+    With ``python_literals`` the answers that are no JSON are read as literals, the plain
+    ones natively; so are those with an escape that JSON does not have, as the JSON
+    reader would drop its backslash.  The table is then stored, so that only rows whose answer is
+    still unread enter Python, and nothing before is done twice for them.
     """
-    parsed = df.select("*", F.explode(F.array(parse_message_list(F.col(text)))).alias(name))
+    answer = F.col(text)
+    if python_literals:
+        json_only = rf"^[^\\]*+(?:(?:{_SAME}|\\/)[^\\]*+)*+$"
+        answer = F.when(answer.rlike(json_only), answer)
+    parsed = df.select("*", F.explode(F.array(parse_message_list(answer))).alias(name))
     if not python_literals:
         return parsed
-    residue = F.when(F.col(name).isNull(), F.col(text))
-    rescued = parse_message_list(F.col("_literal"))
-    return (
-        parsed.withColumn("_literal", literal_messages(residue))
-        .withColumn(name, F.coalesce(F.col(name), rescued))
-        .drop("_literal")
-    )
+    other = parsed.withColumn("_other", F.when(F.col(name).isNull(), F.col(text)))
+    plain = with_plain_literals(other, "_other", "_plain")
+    read = plain.withColumn(name, F.coalesce(F.col(name), F.col("_plain")))
+    unread = F.col(text).isNotNull() & F.col(name).isNull()
+    rows = stored(read.withColumn("_unread", unread).drop("_other", "_plain"), "message-lists")
+    residue = rows.filter("_unread").withColumn("_literal", literal_messages(F.col(text)))
+    rescued = residue.withColumn(name, parse_message_list(F.col("_literal"))).drop("_literal")
+    return rows.filter("NOT _unread").unionByName(rescued).drop("_unread")
