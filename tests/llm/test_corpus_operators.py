@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from compare import compare, duck
+from conftest import plan_of
 from llm_helpers import docs, near_classes, odd_docs
 from pyspark.sql import functions as F
 
@@ -502,6 +503,26 @@ def test_huge_and_tiny_vectors_have_the_same_neighbours(spark):
     assert len(plain) == 60 and found(vectors * sizes[:, None]) == plain
 
 
+def test_no_block_is_broadcast_or_repeated(spark, monkeypatch):
+    """Query blocks below the broadcast threshold used to be multiplied by the places of candidates and sent to the driver whole."""
+    monkeypatch.setattr(block_knn, "CANDIDATE_BLOCK", 8)
+    monkeypatch.setattr(block_knn, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(block_knn, "CANDIDATE_GROUPS", 4, raising=False)
+    monkeypatch.setattr(block_knn, "GROUP_BLOCKS", 2, raising=False)
+    draw = np.random.default_rng(5)
+    long, short = draw.normal(size=(200, 12)).astype(np.float32), draw.normal(size=(100, 6)).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*long, *short])]
+    out = block_knn.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0)
+    got = defaultdict(list)
+    for r in out.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    wanted = plain_nearest(list(range(200)), long.astype(float), range(0, 200, 10), 5)
+    wanted |= plain_nearest(list(range(200, 300)), short.astype(float), range(200, 300, 10), 5)
+    assert dict(got) == wanted
+    plan = plan_of(out)
+    assert "Broadcast" not in plan and "explode" not in plan
+
+
 def test_rounding_errors_stay_within_their_bound():
     draw = np.random.default_rng(2)
     a, b = draw.normal(size=(40, 70)), draw.normal(size=(50, 70))

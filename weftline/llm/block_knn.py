@@ -6,8 +6,8 @@ Only pairs whose upper bound reaches the k-th best lower bound of their query ar
 the original vectors, in double precision.  Best pairs are kept in heaps across the tiles of a task and merged by
 rank at the end, so the result is exact.
 
-Query blocks are the smaller side and are the ones sent, once to each place that holds candidate blocks; nothing is
-collected or broadcast.
+Blocks of each side are dealt to groups, and a task compares one group of queries with one of candidates.  Each side is moved
+once, however many groups the other has: no row is repeated for the groups, nothing is collected or broadcast.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without
 id; vectors of different length are never compared; a repeated query id is one query,
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import FloatType
 
 from weftline.session import stored
 
@@ -31,8 +32,10 @@ QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
 #: queries whose heaps a task keeps before it hands them on
 KEPT_QUERIES = 100_000
-#: places that candidate blocks are dealt to, for each shuffle partition, at most
-PLACES_PER_TASK = 4
+#: groups of candidate blocks, at most: a task hands on k rows for each of its queries, so these rows grow with the groups
+CANDIDATE_GROUPS = 32
+#: query blocks in a group, about: a task holds them and the heaps of their queries
+GROUP_BLOCKS = 32
 
 BLOCKS = "dim int, n int, ids binary, vectors binary"
 FOUND = "query_id long, vec_id long, score double"
@@ -49,8 +52,14 @@ def usable(vector: Column) -> Column:
     )
 
 
+def number_type(df: DataFrame) -> str:
+    """What the components of column ``vector`` are packed as: singles stay singles, which is half the bytes."""
+    return "<f4" if isinstance(df.schema["vector"].dataType.elementType, FloatType) else "<f8"
+
+
 def blocks(df: DataFrame, size: int) -> DataFrame:
     """Rows ``(id, vector)`` packed into rows of at most ``size`` vectors of one length."""
+    kind = number_type(df)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -58,13 +67,13 @@ def blocks(df: DataFrame, size: int) -> DataFrame:
         def row(dim: int) -> pd.DataFrame:
             rows = waiting.pop(dim)
             ids = np.array([r[0] for r in rows], "<i8").tobytes()
-            vectors = np.stack([r[1] for r in rows]).astype("<f8").tobytes()
+            vectors = np.stack([r[1] for r in rows]).tobytes()
             return pd.DataFrame({"dim": [dim], "n": [len(rows)], "ids": [ids], "vectors": [vectors]})
 
         for batch in batches:
             for own, vector in zip(batch["id"], batch["vector"], strict=True):
                 own_rows = waiting.setdefault(len(vector), [])
-                own_rows.append((own, np.asarray(vector, dtype=np.float64)))
+                own_rows.append((own, np.asarray(vector, dtype=kind)))
                 if len(own_rows) >= size:
                     yield row(len(vector))
         for dim in list(waiting):
@@ -145,25 +154,16 @@ def nearest(
     """``(query_id, rank, vec_id, score)``: the k nearest rows of each query row by cosine."""
     clean = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vector"), is_query.alias("q"))
     clean = clean.filter(F.col("id").isNotNull() & usable(F.col("vector")))
-    candidates = stored(
-        blocks(clean.select("id", "vector"), CANDIDATE_BLOCK).withColumn(
-            "own", F.monotonically_increasing_id()
-        ),
-        "candidate-blocks",
-    )
+    kind = number_type(clean)
+    candidates = stored(blocks(clean.select("id", "vector"), CANDIDATE_BLOCK), "candidate-blocks")
     asked = clean.filter("q").groupBy("id").agg(F.min("vector").alias("vector"))
     queries = stored(blocks(asked, QUERY_BLOCK), "query-blocks")
-    # a place holds a task's worth of candidate blocks: queries are sent once for each place, however many blocks it has
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_places = max(1, min(candidates.count(), PLACES_PER_TASK * tasks))
-    place = F.pmod(F.xxhash64("own"), F.lit(n_places)).cast("int")
-    sent = queries.select(
-        "dim",
-        F.col("ids").alias("query_ids"),
-        F.col("vectors").alias("queries"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_places - 1))).alias("place"),
-    )
-    tiles = sent.join(candidates.withColumn("place", place), ["place", "dim"])
+    n_queries, tasks = queries.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_places = max(1, min(candidates.count(), CANDIDATE_GROUPS))
+    n_groups = max(1, min(n_queries, max(-(-tasks // n_places), -(-n_queries // GROUP_BLOCKS))))
+    # every group of one side meets every group of the other in a task of its own, which holds the queries
+    sent = queries.select("dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries")).repartition(n_groups)
+    tiles = candidates.repartition(n_places).join(sent.hint("shuffle_replicate_nl"), "dim")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heaps: dict[int, list[tuple[float, int]]] = {}
@@ -177,9 +177,9 @@ def nearest(
             for t in batch.itertuples(index=False):
                 tile = (
                     np.frombuffer(t.query_ids, "<i8"),
-                    np.frombuffer(t.queries, "<f8").reshape(-1, t.dim),
+                    np.frombuffer(t.queries, kind).reshape(-1, t.dim).astype(np.float64),
                     np.frombuffer(t.ids, "<i8"),
-                    np.frombuffer(t.vectors, "<f8").reshape(-1, t.dim),
+                    np.frombuffer(t.vectors, kind).reshape(-1, t.dim).astype(np.float64),
                 )
                 for own, ids, scores in tile_best(*tile, k):
                     heap = heaps.setdefault(own, [])
