@@ -30,6 +30,8 @@ from weftline.session import stored
 K = 5
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
+#: queries that are compared with a block of candidates at a time; a worker holds some ten numbers for each of these pairs
+TILE_ROWS = 64
 #: queries whose heaps a task keeps before it hands them on
 KEPT_QUERIES = 100_000
 #: groups of candidate blocks, at most: a task hands on k rows for each of its queries, so these rows grow with the groups
@@ -119,8 +121,8 @@ def tile_best(
     q, c = Rounded(queries), Rounded(vectors)
     length_q = np.sqrt((queries * queries).sum(axis=1))
     length_c = np.sqrt((vectors * vectors).sum(axis=1))
-    for at in range(0, len(query_ids), 256):
-        rows = slice(at, at + 256)
+    for at in range(0, len(query_ids), TILE_ROWS):
+        rows = slice(at, at + TILE_ROWS)
         near = tile_product(q.int8[rows], c.int8) * q.step[rows] * c.step.T
         slack = (
             q.length[rows, None] * c.error
