@@ -532,6 +532,12 @@ def test_rounding_errors_stay_within_their_bound():
     assert (np.abs(near - q.unit @ c.unit.T) <= slack + 1e-12).all()
 
 
+def test_products_of_long_vectors_are_whole_numbers():
+    draw = np.random.default_rng(4)
+    a, b = (draw.integers(100, 128, size=(n, 2500)).astype(np.int8) for n in (5, 7))
+    assert (block_knn.tile_product(a, b) == a.astype(int) @ b.astype(int).T).all()
+
+
 # --- packing ---
 
 

@@ -2,8 +2,8 @@
 
 Vectors are packed into blocks; each block of queries meets each block of candidates as one row, a tile.  In a tile
 the unit vectors, rounded to int8, give all cosines at once, with an error that is bounded by the lengths of what was rounded off.
-Only pairs whose upper bound reaches the k-th best lower bound of their query are computed again from
-the original vectors, in double precision.  Best pairs are kept in heaps across the tiles of a task and merged by
+Only pairs whose upper bound reaches the k-th best lower bound of their query, or the k-th best cosine of the tiles before, are
+computed again from the original vectors, in double precision.  Best pairs are kept in heaps across the tiles of a task and merged by
 rank at the end, so the result is exact.
 
 Blocks of each side are dealt to groups, and a task compares one group of queries with one of candidates.  Each side is moved
@@ -106,44 +106,50 @@ def evened(vectors: np.ndarray) -> np.ndarray:
 
 def tile_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products of int8 vectors.  Sums below 2**24 are exact in single precision, so 1,024 components go at a time."""
-    total = np.zeros((len(a), len(b)))
-    for at in range(0, a.shape[1], 1024):
-        part = a[:, at : at + 1024].astype(np.float32) @ b[:, at : at + 1024].astype(np.float32).T
+    single = np.float32
+    parts = (
+        a[:, at : at + 1024].astype(single, copy=False) @ b[:, at : at + 1024].astype(single, copy=False).T
+        for at in range(0, a.shape[1], 1024)
+    )
+    total = next(parts)
+    for part in parts:
+        total = total.astype(np.float64, copy=False)
         total += part
     return total
 
 
 def tile_best(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
+    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, bars: np.ndarray
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the ids and exact cosines of what can be among its k nearest in the tile."""
+    """For each query the ids and exact cosines of what can be among its k nearest in the tile.
+
+    ``bars``: cosines that k others are known to reach, of each query; -inf where none is known.
+    """
     queries, vectors = evened(queries), evened(vectors)
     q, c = Rounded(queries), Rounded(vectors)
     length_q = np.sqrt((queries * queries).sum(axis=1))
     length_c = np.sqrt((vectors * vectors).sum(axis=1))
+    # one bound for all candidates of a query; near, in single precision, adds some 4e-7
+    slack = q.length * c.error.max() + q.error * (c.length + c.error).max() + 1e-6
+    asked = np.flatnonzero(np.isin(ids, query_ids))
+    steps, int8 = c.step.T.astype(np.float32), c.int8.astype(np.float32)
     for at in range(0, len(query_ids), TILE_ROWS):
         rows = slice(at, at + TILE_ROWS)
-        near = tile_product(q.int8[rows], c.int8) * q.step[rows] * c.step.T
-        slack = (
-            q.length[rows, None] * c.error
-            + q.error[rows, None] * c.length
-            + q.error[rows, None] * c.error
-            + 1e-9
-        )
-        own = query_ids[rows, None] == ids[None, :]
-        low = np.where(own, -np.inf, near - slack)
-        high = np.where(own, -np.inf, near + slack)
-        if low.shape[1] > k:
-            bar = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k, None]
-        else:
-            bar = np.full((len(low), 1), -np.inf)
-        survivors = (high >= bar) & ~own
-        for i in range(len(low)):
-            which = np.flatnonzero(survivors[i])
-            if len(which):
-                n = at + i
-                dots = np.einsum("ij,j->i", vectors[which], queries[n])
-                yield int(query_ids[n]), ids[which], dots / (length_c[which] * length_q[n])
+        near = tile_product(q.int8[rows], int8).astype(np.float32, copy=False)
+        near *= q.step[rows].astype(np.float32)
+        near *= steps
+        own, place = np.nonzero(query_ids[rows, None] == ids[None, asked])
+        near[own, asked[place]] = -np.inf
+        bar = bars[rows].copy()
+        new = np.flatnonzero(np.isneginf(bar))
+        if len(new) and near.shape[1] > k:
+            bar[new] = np.partition(near[new], near.shape[1] - k, axis=1)[:, near.shape[1] - k] - slack[at + new]
+        bar = np.maximum(bar - slack[rows], -2.0)  # no cosine is below, only the query itself
+        survivors = near >= bar[:, None].astype(np.float32)
+        for i in np.flatnonzero(survivors.any(axis=1)).tolist():
+            which, n = np.flatnonzero(survivors[i]), at + i
+            dots = np.einsum("ij,j->i", vectors[which], queries[n])
+            yield int(query_ids[n]), ids[which], dots / (length_c[which] * length_q[n])
 
 
 def nearest(
@@ -183,7 +189,9 @@ def nearest(
                     np.frombuffer(t.ids, "<i8"),
                     np.frombuffer(t.vectors, kind).reshape(-1, t.dim).astype(np.float64),
                 )
-                for own, ids, scores in tile_best(*tile, k):
+                known = [heaps.get(own, ()) for own in tile[0].tolist()]
+                bars = np.array([heap[0][0] if len(heap) == k else -np.inf for heap in known])
+                for own, ids, scores in tile_best(*tile, k, bars):
                     heap = heaps.setdefault(own, [])
                     for i, s in zip(ids.tolist(), scores.tolist(), strict=True):
                         if len(heap) < k:
